@@ -26,15 +26,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Every edge points at a root, and no node has two."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(edges.select("b", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return not seen.where("out > 1 or (out = 1 and in = 1)").limit(1).count()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) as longs -> (node, component): component is the smallest node reachable. Nodes without edges are not in it."""
-    mark = lambda e: e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
-    edges = saved(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), "edges")
-    before = None
-    while (now := mark(edges)) != before:
-        before = now
-        if not now[0]:
-            break
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    edges = saved(edges.distinct(), "edges")
+    while not _settled(edges):
         edges = saved(_small_star(_large_star(edges)), "edges")
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

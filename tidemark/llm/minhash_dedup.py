@@ -5,9 +5,11 @@ shingles as a leading-zero count (6 bits) and mantissa bits (10). (Buckets that
 short documents; with a permutation each they do not.) Bands of 4 registers put documents into buckets; a Jaccard estimate
 corrected for chance collisions of the compressed registers drops hopeless pairs; the rest are verified on full sets.
 
-Documents with equal sets form a class first, and only one of a class goes on. In a bucket, members are compared with one
-pivot, in rounds with other pivots, as long as that joins components; what is still apart in a bucket is then compared with
-everything in it that belongs to other components, in blocks of bounded size, so no link is lost to a bucket's size.
+Documents with equal sets form a class first, and only one of a class goes on. In a bucket, members are compared with the
+smallest one; where that leaves a bucket in several components, each member is compared with its likeliest partners in
+other components; what is apart even then is compared with everything in the bucket that belongs to other components. The
+last two work in blocks of bounded size. Members of one component need no comparison, so large groups of copies cost a few
+pairs a member, and no link is lost to a bucket's size.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from tidemark.llm.ragged import Words, chunks, mix, prefix_sums, range_hash
 REGISTERS, MANTISSA, ROWS = 128, 10, 4
 _A = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, REGISTERS + 1001, dtype=np.uint64))
-#: A register comparison is a coin of variance 0.75 * 0.25 / 128 at the threshold; five deviations below it.
-SLACK = 0.2
+#: A register comparison is a coin of variance 0.75 * 0.25 / 128 at the threshold; four deviations below it.
+SLACK = 0.15
 #: Members of a bucket that are held together at a time in the last comparison.
 BLOCK = 2048
 
@@ -103,13 +105,14 @@ def signatures(df: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, s1 long, s2 long, registers binary")
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+def _likely(pairs: DataFrame, reps: DataFrame, least: float, percent: int) -> DataFrame:
     """The pairs (a, b) whose estimate reaches `least`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
-            good = estimate(x, y, b.column("na").to_numpy(), b.column("nb").to_numpy()) >= least
+            n, m = (b.column(c).to_numpy() for c in ("na", "nb"))
+            good = (estimate(x, y, n, m) >= least) & _sizes_fit(n, m, percent)
             yield b.select(["a", "b"]).filter(pa.array(good))
 
     side = lambda c: reps.select(F.col("rep").alias(c), F.col("registers").alias(f"r{c}"), F.col("n").alias(f"n{c}"))
@@ -148,8 +151,13 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _others(mixed: DataFrame, least: float) -> DataFrame:
-    """Likely pairs of different components of each bucket; mixed: key, size, rep, component, n, registers."""
+def _sizes_fit(n, m, percent: int):
+    """Sets of n and m shingles can reach the similarity at all."""
+    return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+
+
+def _others(mixed: DataFrame, least: float, percent: int, best: int | None) -> DataFrame:
+    """Likely pairs of different components of each bucket (for each member, in each pair of blocks, the `best` ones, or all); mixed: key, size, rep, component, n, registers."""
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK).cast("int"), F.lit(1))
     dealt = mixed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -161,15 +169,32 @@ def _others(mixed: DataFrame, least: float) -> DataFrame:
         regs = np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         out = []
         for i in np.flatnonzero(own == x):
-            js = np.flatnonzero((own == y) & (comp != comp[i]) & ((rep > rep[i]) | (x != y)))
+            js = np.flatnonzero((own == y) & (comp != comp[i]) & ((rep > rep[i]) | (x != y) | (best is not None)))
             if len(js):
-                good = js[estimate(regs[i][None], regs[js], n[i], n[js]) >= least]
+                js = js[_sizes_fit(n[i], n[js], percent)]
+                e = estimate(regs[i][None], regs[js], n[i], n[js])
+                good = js[e >= least] if best is None else js[np.argsort(-e, kind="stable")[:best]][np.sort(-e)[:best] <= -least]
                 out += [(max(rep[i], rep[j]), min(rep[i], rep[j])) for j in good]
         return pa.table([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
     return dealt.groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
+def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
+    """The members, with their component, of buckets (key) that hold several components."""
+    now = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    apart = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    return now.join(apart, "key")
+
+
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links."""
+    links = saved(links, "links")
+    if not links.limit(1).count():
+        return label
+    return saved(components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "components")
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of df.
 
@@ -184,36 +209,20 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     reps = saved(sets.groupBy("s1", "s2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").cast("long").alias("rep"), F.any_value("registers").alias("registers")), "sets")
     band = F.explode(F.expr(f"transform(sequence(0, {REGISTERS // ROWS - 1}), b -> xxhash64(b, substring(registers, b * {2 * ROWS} + 1, {2 * ROWS})))"))
     bands = reps.select("rep", band.alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key", "size")
+    shared = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot"), F.max("rep").alias("hi")).where("pivot < hi").drop("hi")
     members = saved(bands.join(shared, "key"), "members")
     texts = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
 
-    label = reps.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
-    edges, tried, turn = None, None, 0
-    while True:
-        now = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        pivot = now.groupBy("key").agg(F.min_by("rep", F.when(F.lit(turn) > 0, F.xxhash64("rep", F.lit(turn))).otherwise(F.col("rep"))).alias("pivot"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        pivot = pivot.where("lo < hi").select("key", "pivot")
-        at = now.select(F.col("rep").alias("pivot"), F.col("component").alias("there")).distinct()
-        pairs = now.join(pivot.join(at, "pivot"), "key").where("component <> there").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        likely = saved(_likely(pairs, reps, least), "likely")
-        found = saved(verified(likely, texts, n, percent), "links")
-        if not found.limit(1).count():
-            break
-        tried = likely if tried is None else tried.union(likely)
-        edges = found if edges is None else edges.union(found)
-        label = saved(components(edges), "components")
-        turn += 1
-
-    apart = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    mixed = now.join(apart, "key").join(reps.select("rep", "n", "registers"), "rep")
-    rest = _others(mixed, least)
-    rest = rest.join(likely if tried is None else tried.union(likely), ["a", "b"], "left_anti")
-    last = saved(verified(saved(rest, "rest"), texts, n, percent), "links")
-    if last.limit(1).count():
-        label = saved(components(last if edges is None else edges.union(last)), "components")
+    tried = saved(_likely(members.where("rep > pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), reps, least, percent), "likely")
+    label = saved(components(verified(tried, texts, n, percent)), "components")
+    mixed = saved(_mixed(members.select("key", "size", "rep"), label).join(reps.select("rep", "n", "registers"), "rep"), "mixed")
+    if mixed.limit(1).count():
+        near = saved(_others(mixed, least, percent, 3).join(tried, ["a", "b"], "left_anti"), "near")
+        label = _joined(label, verified(near, texts, n, percent))
+        rest = _others(_mixed(mixed.drop("component"), label), least, percent, None)
+        rest = saved(rest.join(tried.union(near), ["a", "b"], "left_anti"), "rest")
+        if rest.limit(1).count():
+            label = _joined(label, verified(rest, texts, n, percent))
     of_set = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
     # no set: joined under a key of its own, as a null would be the same for all
     out = sig.drop("registers").join(of_set, ["s1", "s2", "n_shingles"], "left")

@@ -55,8 +55,11 @@ class Words:
         last = self.data[self.end] == 10
         self.first = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(last) + 1])
         self.text = np.cumsum(last) - last
-        self.sums = prefix_sums(self.data.astype(np.uint64))
-        self.hash = range_hash(self.sums, self.start, self.end)
+        self.hash = np.empty(len(self.start), np.uint64)
+        cuts = np.flatnonzero(np.diff(self.end // (1 << 20), prepend=-1, append=1 << 62))
+        for i, j in zip(cuts, cuts[1:], strict=False):  # in pieces of about 1 MB, as the sums take 8 bytes a byte
+            lo = self.start[i]
+            self.hash[i:j] = range_hash(prefix_sums(self.data[lo : self.end[j - 1]].astype(np.uint64)), self.start[i:j] - lo, self.end[i:j] - lo)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First words of all runs of n words inside a text, and their hashes."""

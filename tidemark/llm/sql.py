@@ -37,3 +37,85 @@ reach as (select doc_id, doc_id as c from n union select link.b, reach.c from re
 select n.doc_id, cast(n.n as bigint) as n_shingles, min(c) as component_id, min(c) = n.doc_id as kept
 from n join reach using (doc_id) group by n.doc_id, n.n
 """
+
+_ITEM_WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP6 = rf"""
+with d as (select doc_id, {_ITEM_WORDS.format(_LOWER)} as w from documents),
+b as (select item_id, {_ITEM_WORDS.format(_LOWER)} as w from benchmark),
+win as (
+  select distinct item_id, list_slice(w, p, p + 9) as s
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as p from b where len(w) > 0)
+),
+sizes as (select distinct len(s) as n from win),
+places as (select doc_id, n, w, unnest(range(1, greatest(len(w) - n + 1, 0) + 1)) as p from d, sizes),
+hit as (select doc_id, p, n, item_id from places join win on win.s = list_slice(w, p, p + n - 1)),
+words as (select doc_id, count(distinct q) as h from (select doc_id, unnest(range(p, p + n)) as q from hit) group by 1),
+items as (select doc_id, count(distinct item_id) as k, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as i from hit group by 1)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(h, 0) as bigint) as n_hit, cast(coalesce(k, 0) as bigint) as n_items,
+  sha256(coalesce(i, '')) as items_sha256, coalesce(h, 0) > 0 as contaminated
+from d left join words using (doc_id) left join items using (doc_id)
+"""
+
+
+def _op9() -> str:
+    """The mix in SQL: the same permutations, a nested query for each round."""
+    from tidemark.llm.mixing import GROUP_ROWS, ROUNDS
+
+    def bits(x: str, digits: int) -> str:
+        return f"cast('0x' || substr(md5({x}), 1, {digits}) as bigint)"
+
+    def shuffled(rel: str, number: str, size: str, key: str, name: str) -> str:
+        """Materialized steps, so that no step's expression is repeated in the next; the last is called `name`, with the place as x."""
+        steps = [f"{name}0 as materialized (select *, {number} as x from {rel})"]
+        for i in range(ROUNDS):
+            tag = f"{key} || ':{i}:'"
+            mirror = f"((({bits(tag + " || 'point'", 12)} - x) % {size}) + {size}) % {size}"
+            swap = f"substr(md5({tag} || cast(greatest(m, x) as varchar)), 1, 1)"
+            steps.append(f"{name}m{i} as materialized (select *, {mirror} as m from {name}{i})")
+            steps.append(f"{name}{i + 1} as materialized (select * exclude (m, x), case when {swap} < '8' then m else x end as x from {name}m{i})")
+        return ", ".join(steps) + f", {name} as (select * from {name}{ROUNDS})"
+
+    places = shuffled("slots", "slot", "total", "'1:slots'", "placed")
+    blocks = shuffled("dealt", "idx", "blocks", "'1:' || cast(rank as varchar) || ':' || cast(epoch as varchar)", "picked")
+    return rf"""
+with sized as (select doc_id, source, cast(len(WORDS) as bigint) as size from documents),
+s0 as (select source, sum(size) as source_size from sized group by 1),
+s1 as (select *, row_number() over (order by source nulls last) as rank from s0),
+s2 as (select *, cast([5, 2, 1][(rank - 1) % 3 + 1] as double) as weight, cast(source_size * 2 as double) as lim from s1),
+s3 as (select *, lim / weight as fill from s2),
+s4 as (
+  select *, coalesce(sum(lim) over (order by fill, rank rows between unbounded preceding and 1 preceding), 0) as below,
+    sum(weight) over (order by fill, rank rows between current row and unbounded following) as rest
+  from s3
+),
+s5 as (select *, (sum(source_size) over () * 1.5::double - below) / rest as lvl from s4),
+s6 as (select *, max(case when lvl <= fill then lvl end) over () as level from s5),
+aims as (select source, cast(source_size as bigint) as source_size, rank, least(lim, coalesce(level * weight, lim)) as target from s6),
+c0 as (select rank, source_size, target, cast(ceil(source_size / 128) as bigint) as blocks from aims),
+c1 as (select rank, blocks, case when blocks > 0 then cast(least(floor(target * blocks / source_size + 0.5), blocks * 2) as bigint) else 0 end as slots from c0),
+c2 as (select rank, blocks, slots, cast(sum(slots) over (order by rank) as bigint) as stop from c1),
+slots as (select unnest(range(t)) as slot, t as total from (select cast(sum(slots) as bigint) as t from c1)),
+{places},
+dealt as (
+  select slot, rank, blocks, (x - (stop - slots)) // blocks as epoch, (x - (stop - slots)) % blocks as idx
+  from placed join c2 on x >= stop - slots and x < stop
+),
+{blocks},
+times as (select rank, x as block, count(*) as times from picked group by 1, 2),
+g as (select greatest(1, cast(ceil(count(*) / {GROUP_ROWS}) as bigint)) as g from sized),
+laid as (
+  select doc_id, size, rank, source_size, target, sum(size) over (
+    partition by rank order by ((coalesce(doc_id, 0) % g) + g) % g, doc_id, size rows between unbounded preceding and current row) - size as start
+  from sized join aims on sized.source is not distinct from aims.source, g
+),
+cut as (
+  select doc_id, rank, block, least((block + 1) * 128 - start, size) - greatest(block * 128 - start, 0) as n
+  from (select *, unnest(range(cast(start // 128 as bigint), cast((start + size - 1) // 128 as bigint) + 1)) as block from laid where size > 0)
+),
+took as (select doc_id, sum(n * times) as taken from cut join times using (rank, block) group by 1)
+select doc_id, size, source_size, target, cast(coalesce(taken, 0) as bigint) as taken from laid left join took using (doc_id)
+""".replace("WORDS", _WORDS)
+
+
+OP9 = _op9()

@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_bytes
-from tidemark.llm.ragged import Words, chunks, gather, range_hash, same_bytes
+from tidemark.llm.ragged import Words, chunks, gather, prefix_sums, range_hash, same_bytes
 
 #: Bytes of text whose windows meet in one bucket, on average.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 #: Packed bytes that a task holds before it sends them off.
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 16 << 20
 _PACKED = "bucket int, texts binary, sizes binary, place binary, doc binary, tag binary, word binary"
 
 
@@ -96,11 +96,12 @@ def _pack(k: int, m: int, n_buckets: int):
                 w = Words([x for _, x in part])
                 head, n, bucket = super_k_mers(w, k, m, n_buckets)
                 lo, hi = w.start[head], w.end[head + n + k - 2]
+                sums = prefix_sums(w.hash)
                 doc, tag = (np.array([key[i] for key, _ in part], t) for i, t in ((0, np.int64), (1, np.int16)))
                 of = w.text[head]
                 data = gather(w.data, lo, hi - lo)
                 ends = np.cumsum(hi - lo)
-                held.append((data, ends - (hi - lo), hi - lo, range_hash(w.sums, lo, hi), bucket, doc[of], tag[of], head - w.first[of]))
+                held.append((data, ends - (hi - lo), hi - lo, range_hash(sums, head, head + n + k - 1), bucket, doc[of], tag[of], head - w.first[of]))
                 size += len(data)
                 if size >= BLOCK_BYTES:
                     yield from block(held)
