@@ -119,3 +119,20 @@ select doc_id, size, source_size, target, cast(coalesce(taken, 0) as bigint) as
 
 
 OP9 = _op9()
+
+OP4 = r"""
+with d as (select doc_id, string_split(text, chr(10)) as l from documents where text is not null),
+e as (select doc_id, l, unnest(range(1, len(l) + 1)) as p from d),
+one as (select doc_id, p, l[p] as x from e),
+long as (select doc_id, p from (select *, row_number() over (partition by x order by doc_id, p) as k from one where length(x) >= 100) where k > 1),
+two as (
+  select doc_id, p from (select doc_id, p, row_number() over (partition by l[p], l[p + 1] order by doc_id, p) as k from e where p < len(l)) where k > 1
+),
+gone as (
+  select doc_id, p from long union select doc_id, p from two union select doc_id, p + 1 from two
+),
+lists as (select doc_id, list(p) as g from gone group by 1)
+select documents.doc_id, cast(coalesce(len(l), 0) as bigint) as n_lines, cast(coalesce(len(g), 0) as bigint) as n_removed,
+  sha256(array_to_string(list_filter(coalesce(l, ['']), lambda x, i: not list_contains(coalesce(g, []), i)), chr(10))) as kept_sha256
+from documents left join d using (doc_id) left join lists using (doc_id)
+"""
