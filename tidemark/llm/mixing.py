@@ -26,7 +26,7 @@ SHARE = 1.5
 MOST = 2
 ROUNDS = 8
 #: Documents of a source that are laid end to end in one group; groups follow each other.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 1_000
 
 
 def _digest(*parts: Column) -> Column:
