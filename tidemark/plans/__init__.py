@@ -1,0 +1 @@
+"""Composed queries behind dashboards and exports."""
