@@ -1,0 +1,301 @@
+"""The training-data operators against brute force on small fixtures: nulls, empty and long texts, ties, repeated rows, clashing columns."""
+
+import hashlib
+import re
+from collections import defaultdict
+from itertools import combinations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def words(text):
+    return SPACE.findall(text or "")
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Copies, near copies, shared passages, and odd rows: (doc_id, text)."""
+    rng = np.random.default_rng(5)
+    made = lambda n: " ".join("".join(rng.choice(list("abcdeé"), 4)) for _ in range(n))
+    passage, long = made(60), made(400)
+    rows = [(i, made(int(rng.integers(3, 80)))) for i in range(30)]
+    rows += [(40 + i, f"{made(20)} {passage}\n{made(10)}") for i in range(8)]
+    near = long.split()
+    for i in range(8):
+        copy = list(near)
+        for at in rng.choice(len(copy), 2 + i, replace=False):
+            copy[at] = "changed"
+        rows.append((60 + i, " ".join(copy)))
+    rows += [(80, long), (81, long.upper()), (82, long + " tail"), (83, None), (84, ""), (85, "  \n "), (86, "two words"), (87, "Two  Words"), (None, long), (None, None), (80, long), (90, "a " * 3000), (91, "a " * 3000)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark, corpus):
+    return spark.createDataFrame([(i, t, "x", 1) for i, t in corpus], "doc_id long, text string, kept string, tag int")
+
+
+def test_substring_dedup(docs, corpus):
+    from tidemark.llm.substring_dedup import dedup_substrings
+
+    least = {}
+    for i, t in corpus:
+        w = words(t)
+        for p in range(len(w) - 12):
+            if i is not None:
+                least[tuple(w[p : p + 13])] = min(i, least.get(tuple(w[p : p + 13]), i))
+    want = []
+    for i, t in corpus:
+        w, gone = words(t), set()
+        for p in range(len(w) - 12):
+            if i is not None and least[tuple(w[p : p + 13])] < i:
+                gone.update(range(p, p + 13))
+        want.append((i if i is not None else -1, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    got = [(r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_removed, r.kept) for r in dedup_substrings(docs).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_near_duplicates(docs, corpus):
+    from tidemark.llm.minhash_dedup import near_duplicates
+
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    sets = defaultdict(list)
+    for i, t in corpus:
+        w = words(lower(t))
+        sets[i].append({" ".join(w)} if 0 < len(w) < 5 else {" ".join(w[p : p + 5]) for p in range(len(w) - 4)})
+    parent = {i: i for i in sets if i is not None}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(sorted(parent), 2):
+        if any(x and y and 100 * len(x & y) >= 75 * len(x | y) for x in sets[a] for y in sets[b]):
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = near_duplicates(docs).collect()
+    assert len(got) == len(corpus)
+    for r in got:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert (r.component_id, r.kept) == (find(r.doc_id), find(r.doc_id) == r.doc_id)
+            assert r.n_shingles in {len(s) for s in sets[r.doc_id]}
+    assert find(67) == find(80) == 60
+
+
+def test_token_counts(spark, corpus):
+    import public_tokenizers
+
+    from tidemark.llm.token_counts import count_tokens, load
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = load(path)
+    odd = ["it's we'll 'S", "a<|endoftext|>b", "　 x\x85y\x1cz  ", "日本 ٣ \U0001f600", "\n\n  x\t", "x" * 5000, " " * 300]
+    rows = [(i, x) for i, x in corpus] + [(200 + k, x) for k, x in enumerate(odd)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in count_tokens(df, path, keep=("doc_id",)).collect())
+    n = lambda x: len(t.encode(x or "", add_special_tokens=False).ids)
+    assert got == sorted((i or -1, len((x or "").encode()), n(x), n(x) > 1024) for i, x in rows)
+
+
+@pytest.mark.parametrize("lines", [1, 2, 3])
+def test_line_dedup(spark, lines):
+    from tidemark.llm.line_dedup import dedup_lines
+
+    rng = np.random.default_rng(2)
+    texts = ["\n".join(rng.choice(list("abcdef"), int(rng.integers(1, 9)))) for _ in range(25)] + [None, "", "\n\n", "y" * 120, "q\n" + "y" * 120]
+    rows = list(enumerate(texts))
+    seen, longs, want = set(), set(), []
+    for _, t in rows:
+        own, gone = (t.split("\n") if t is not None else []), set()
+        for p in range(len(own)):
+            run = tuple(own[p : p + lines])
+            if len(run) == lines:
+                if run in seen:
+                    gone.update(range(p, p + lines))
+                seen.add(run)
+            if len(own[p]) >= 100:
+                if own[p] in longs:
+                    gone.add(p)
+                longs.add(own[p])
+        want.append(None if t is None else "\n".join(x for p, x in enumerate(own) if p not in gone))
+    df = spark.createDataFrame([(i, t, 0) for i, t in rows] + [(None, "a\nb", 0)], "doc_id long, text string, n_removed int").drop("n_removed")
+    got = {r.doc_id: r.text for r in dedup_lines(df, lines=lines).collect()}
+    assert [got[i] for i, _ in rows] == want
+    assert got[None] == "a\nb"
+
+
+def test_decontamination(spark):
+    from tidemark.llm.decontamination import decontaminate
+
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(40)]
+    made = lambda n: list(rng.choice(vocabulary, n))
+    items = [(i, made(int(rng.integers(10, 25)))) for i in range(12)] + [(20, made(4)), (21, []), (22, ["w1"] * 14)]
+    texts = [made(int(rng.integers(0, 60))) for _ in range(40)]
+    for k in range(15):
+        i = int(rng.integers(0, 12))
+        texts[k] = texts[k][:5] + items[i][1][: int(rng.integers(9, 20))] + texts[k][5:]
+    texts += [items[12][1] + ["x"], ["w1"] * 30]
+    item_rows = [(i, "  ".join(w)) for i, w in items] + [(30, None)]
+    rows = [(i, "-".join(w).upper()) for i, w in enumerate(texts)] + [(99, None), (3, "w1 w2")]
+    windows = {i: {tuple(w[p : p + 10]) for p in range(max(1, len(w) - 9))} for i, w in items if w}
+    want = []
+    for i, t in rows:
+        w, hit, found = re.findall(r"[a-z0-9]+", (t or "").lower()), set(), set()
+        for item, wins in windows.items():
+            for win in wins:
+                for p in range(len(w) - len(win) + 1):
+                    if tuple(w[p : p + len(win)]) == win:
+                        hit.update(range(p, p + len(win)))
+                        found.add(str(item))
+        want.append((i, len(w), len(hit), sorted(found), bool(hit)))
+    want[-1] = (3, 2, want[3][2], want[3][3], want[3][4])  # rows of one id share what was found
+    df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, item_id long")
+    it = spark.createDataFrame(item_rows, "item_id long, text string")
+    got = [(r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in decontaminate(df, it).collect()]
+    assert sorted(got) == sorted(want)
+    assert any(x[4] for x in want) and not all(x[4] for x in want)
+    assert decontaminate(df.limit(0), it).count() == 0
+    assert {r.contaminated for r in decontaminate(df, it.limit(0)).collect()} == {False}
+
+
+def test_mixing(spark):
+    from tidemark.llm.mixing import mix
+
+    rows = [(i, "w " * (i % 50), ["a", "b", "c", None][min(i % 7, 3)]) for i in range(400)] + [(None, "x y", "a"), (1, None, "b"), (1, "z", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(df, block=8).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mix(df, block=8).collect()), key=str)
+    assert len(got) == len(rows)
+    by = defaultdict(lambda: [0, 0])
+    for r in got:
+        assert 0 <= r.taken <= 2 * r["size"]
+        by[r.source_size, r.target][0] += r.taken
+        by[r.source_size, r.target][1] += r["size"]
+    total = sum(r["size"] for r in got)
+    for (size, target), (taken, own) in by.items():
+        assert own == size and target <= 2 * size and abs(taken - target) <= 16
+    assert abs(sum(t for _, t in by) - 1.5 * total) < 1e-6
+    assert mix(df.limit(0)).count() == 0
+
+
+def test_mixed_text_holds_what_the_plan_takes(spark):
+    from tidemark.llm.mixing import mix, mixed_text
+
+    df = spark.createDataFrame([(i, " ".join(f"d{i}w{k}" for k in range(20 + i)), "ab"[i % 2]) for i in range(12)], "doc_id long, text string, source string")
+    taken = {r.doc_id: r.taken for r in mix(df, block=8).collect()}
+    seen = defaultdict(int)
+    for r in mixed_text(df, block=8).collect():
+        for w in r.text.split():
+            seen[int(w[1 : w.index("w")])] += 1
+    assert {k: v for k, v in taken.items() if v} == dict(seen)
+
+
+def test_shuffle_is_a_permutation(spark):
+    from tidemark.llm.mixing import shuffled
+
+    for n in (1, 2, 37, 1000):
+        got = [r.x for r in spark.range(n).select(shuffled(F.col("id"), F.lit(n).cast("long"), F.lit("k")).alias("x")).collect()]
+        assert sorted(got) == list(range(n))
+
+
+def test_nearest_neighbours(spark):
+    from tidemark.llm.ann import nearest
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 16))
+    x[100:400] = x[7]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5050, [0.0] * 16), (5100, [float("nan")] * 16), (5150, [None] * 16), (5200, [1.0] * 3), (None, x[3].tolist())]
+    df = spark.createDataFrame([(i, v, 0.5) for i, v in rows], "vec_id long, embedding array<double>, score double")
+    got = nearest(df, df.where("vec_id % 50 = 0"), least=1200).collect()
+    by = defaultdict(dict)
+    for r in got:
+        by[r.query_id][r["rank"]] = (r.vec_id, r.score)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert set(by) == set(range(0, 1500, 50))
+    hit = 0
+    for q, found in by.items():
+        s = u @ u[q]
+        s[q] = -9
+        best = np.lexsort((np.arange(len(s)), -np.round(s, 12)))[:5]
+        hit += len({v for v, _ in found.values()} & set(best.tolist()))
+        assert sorted(found) == [1, 2, 3, 4, 5]
+        assert all(abs(s[v] - c) < 1e-12 for v, c in found.values())
+    assert hit / (5 * len(by)) >= 0.9
+    assert [v for v, _ in (by[150][k] for k in range(1, 6))] == [7, 100, 101, 102, 103]
+    assert nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_language_models_against_brute_force(spark):
+    import math
+
+    from tidemark.llm.lm_scoring import cross_entropy_difference
+
+    rows = [(1, "abracadabra", True), (2, "abc abc é", None), (3, "", True), (4, None, False), (5, "zzz", False), (5, "zzz", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, good boolean")
+
+    def model(texts):
+        n = [defaultdict(int) for _ in range(3)]
+        for t in texts:
+            d = b"\0\0" + t.encode() + b"\0"
+            for i in range(len(d) - 2):
+                for k in range(3):
+                    n[k][d[i + 2 - k : i + 3]] += 1
+
+        def p(gram):
+            out = (n[0].get(gram[2:], 0) + len(n[0]) / 256) / (sum(n[0].values()) + len(n[0]))
+            for k in (1, 2):
+                g = gram[2 - k :]
+                same = {x: c for x, c in n[k].items() if x[:-1] == g[:-1] and c}
+                if same:
+                    out = (same.get(g, 0) + len(same) * out) / (sum(same.values()) + len(same))
+            return out
+
+        return p
+
+    good, every = model([t or "" for _, t, g in rows if g]), model([t or "" for _, t, _ in rows])
+    got = {(r.doc_id, r.n_tokens): r for r in cross_entropy_difference(df, "good").collect()}
+    for i, t, _ in rows:
+        d = b"\0\0" + (t or "").encode() + b"\0"
+        grams = [d[k : k + 3] for k in range(len(d) - 2)]
+        r = got[i, len(grams)]
+        for loss, p in ((r.target_loss, good), (r.background_loss, every)):
+            assert abs(loss - -sum(math.log(p(g)) for g in grams) / len(grams)) < 1e-5
+    assert abs(got[5, 4].score - (got[5, 4].target_loss - got[5, 4].background_loss)) < 1e-9
+
+
+def test_toxicity_held_out_accuracy(spark):
+    from tidemark.llm.toxicity import score, train
+
+    rng = np.random.default_rng(8)
+    clean = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300)]
+    bad = ["vil" + "".join(rng.choice(list("abcdefghij"), 3)) for _ in range(60)]
+    rows = []
+    for i in range(1200):
+        w = list(rng.choice(clean, int(rng.integers(5, 120))))
+        if i % 6 == 0:
+            for at in rng.choice(len(w), 3):
+                w[at] = str(rng.choice(bad[:40] if i % 12 else bad[40:]))
+        rows.append((i, " ".join(w), int(i % 6 == 0), "x"))
+    docs = spark.createDataFrame([(i, t, s) for i, t, _, s in rows] + [(5001, None, "x"), (5002, "", "x"), (None, "a", "x"), (1, rows[1][1], "x")], "doc_id long, text string, score string").drop("score")
+    labels = spark.createDataFrame([(i, y) for i, _, y, _ in rows if i % 5] + [(9999, 1), (5001, None)], "doc_id long, toxic int")
+    out = score(docs, train(docs, labels)).collect()
+    assert len(out) == len(rows) + 4
+    y = {i: t for i, _, t, _ in rows}
+    tested = [r for r in out if r.doc_id in y and r.doc_id % 5 == 0]
+    assert sum(r.predicted == y[r.doc_id] for r in tested) / len(tested) > 0.9
+    assert all(0 <= r.score <= 1 for r in out)
+    assert score(docs.limit(0), train(docs, labels.limit(0))).count() == 0
+
+
+def test_kept_text_digest_is_of_utf8(docs):
+    from tidemark.llm.substring_dedup import dedup_substrings
+
+    r = dedup_substrings(docs.where("doc_id = 3")).select("kept", F.sha2(F.col("kept").cast("binary"), 256).alias("h")).first()
+    assert r.h == hashlib.sha256(r.kept.encode()).hexdigest()
