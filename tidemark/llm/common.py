@@ -38,8 +38,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, else df as it is; df should be a saved table."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df with a broadcast hint if it has at most so many rows, else df as it is; df should be a saved table, whose count is in its footers."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def ascii_lower(text: Column) -> Column:

@@ -1,13 +1,13 @@
 """Near-duplicate documents by HyperMinHash.
 
-Each document's set of word shingles gives 128 registers. A register keeps the smallest hash of its own permutation of the
+Each document's set of word shingles gives 256 registers. A register keeps the smallest hash of its own permutation of the
 shingles as a leading-zero count (6 bits) and mantissa bits (10). (Buckets that share one permutation would stay empty in
-short documents; with a permutation each they do not.) Bands of 4 registers put documents into buckets; a Jaccard estimate
+short documents; with a permutation each they do not.) Bands of 4 of the first 128 registers put documents into buckets; a Jaccard estimate
 corrected for chance collisions of the compressed registers drops hopeless pairs; the rest are verified on full sets.
 
 Documents with equal sets form a class first, and only one of a class goes on. In a bucket, members are compared with the
-smallest one; where that leaves a bucket in several components, each member is compared with its likeliest partners in
-other components; what is apart even then is compared with everything in the bucket that belongs to other components. The
+smallest one; where that leaves a bucket in several components, each member outside the largest one is compared with its
+likeliest partner in another; what is apart even then is compared with everything in the bucket that belongs to other components. The
 last two work in blocks of bounded size. Members of one component need no comparison, so large groups of copies cost a few
 pairs a member, and no link is lost to a bucket's size.
 """
@@ -21,15 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved
+from tidemark.llm.common import saved, small
 from tidemark.llm.components import components
 from tidemark.llm.ragged import Words, chunks, mix, prefix_sums, range_hash
 
-REGISTERS, MANTISSA, ROWS = 128, 10, 4
+#: Registers of a signature; bands are of the first ones, estimates of all.
+REGISTERS, MANTISSA, BANDS, ROWS = 256, 10, 32, 4
 _A = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, REGISTERS + 1001, dtype=np.uint64))
-#: A register comparison is a coin of variance 0.75 * 0.25 / 128 at the threshold; four deviations below it.
-SLACK = 0.15
+#: A register comparison is a coin of variance 0.75 * 0.25 / 256 at the threshold; four deviations below it.
+SLACK = 0.11
+#: Ids of documents to verify that may be broadcast (16 MB), so that only their texts are shuffled; beyond, all texts are.
+IDS = 2_000_000
 #: Members of a bucket that are held together at a time in the last comparison.
 BLOCK = 2048
 
@@ -146,7 +149,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(a_id[good]), pa.array(b_id[good])], ["a", "b"])
 
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    some = texts.join(needed, "id", "left_semi")
+    some = texts.join(small(saved(needed, "needed"), IDS), "id", "left_semi")
     side = lambda c: some.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
@@ -168,8 +171,12 @@ def _others(mixed: DataFrame, least: float, percent: int, best: int | None) -> D
         own, rep, comp, n = (t.column(c).to_numpy() for c in ("own", "rep", "component", "n"))
         regs = np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         out = []
-        for i in np.flatnonzero(own == x):
-            js = np.flatnonzero((own == y) & (comp != comp[i]) & ((rep > rep[i]) | (x != y) | (best is not None)))
+        ask = own == x
+        if best is not None:  # members of the largest component are asked for by the others
+            names, size = np.unique(comp, return_counts=True)
+            ask = comp != names[size.argmax()]
+        for i in np.flatnonzero(ask):
+            js = np.flatnonzero((comp != comp[i]) if best is not None else (own == y) & (comp != comp[i]) & ((rep > rep[i]) | (x != y)))
             if len(js):
                 js = js[_sizes_fit(n[i], n[js], percent)]
                 e = estimate(regs[i][None], regs[js], n[i], n[js])
@@ -207,7 +214,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     least = percent / 100 - SLACK
     sets = sig.where("n_shingles > 0 and doc_id is not null")
     reps = saved(sets.groupBy("s1", "s2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").cast("long").alias("rep"), F.any_value("registers").alias("registers")), "sets")
-    band = F.explode(F.expr(f"transform(sequence(0, {REGISTERS // ROWS - 1}), b -> xxhash64(b, substring(registers, b * {2 * ROWS} + 1, {2 * ROWS})))"))
+    band = F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(registers, b * {2 * ROWS} + 1, {2 * ROWS})))"))
     bands = reps.select("rep", band.alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot"), F.max("rep").alias("hi")).where("pivot < hi").drop("hi")
     members = saved(bands.join(shared, "key"), "members")
@@ -217,7 +224,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     label = saved(components(verified(tried, texts, n, percent)), "components")
     mixed = saved(_mixed(members.select("key", "size", "rep"), label).join(reps.select("rep", "n", "registers"), "rep"), "mixed")
     if mixed.limit(1).count():
-        near = saved(_others(mixed, least, percent, 3).join(tried, ["a", "b"], "left_anti"), "near")
+        near = saved(_others(mixed, least, percent, 1).join(tried, ["a", "b"], "left_anti"), "near")
         label = _joined(label, verified(near, texts, n, percent))
         rest = _others(_mixed(mixed.drop("component"), label), least, percent, None)
         rest = saved(rest.join(tried.union(near), ["a", "b"], "left_anti"), "rest")
