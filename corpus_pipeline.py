@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved
+from tidemark.llm.common import saved, small
 from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.minhash_dedup import near_duplicates
@@ -15,6 +15,12 @@ from tidemark.llm.toxicity import score, train
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the ids of gone; ids alone are broadcast, up to a counted bound, so that texts stay where they are."""
+    ids = small(saved(gone.select("doc_id").distinct(), "gone"), 2_000_000)
+    return docs.join(ids, "doc_id", "left_anti").select(*COLUMNS)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -31,15 +37,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one of the smallest id."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return _without(docs, near_duplicates(docs).where("not kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    gone = decontaminate(docs, items).where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return _without(docs, decontaminate(docs, items).where("contaminated"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
