@@ -116,8 +116,8 @@ def disclosing_terms(contexts: DataFrame, texts: DataFrame, rule: Disclosure) ->
     pairs = saved(pairs.join(mentions, ["kind", "entity"]), "pairs")
     if not pairs.limit(1).count():
         return pairs.select("term")
-    candidates = small(saved(pairs.select("term").distinct(), "candidates"))
-    held = texts.select(F.explode(_text_words()).alias("term")).join(candidates, "term", "left_semi").groupBy("term").agg(F.count("*").alias("held"))
+    # counted before the join: a candidate may be one of the most frequent words
+    held = texts.select(F.explode(_text_words()).alias("term")).groupBy("term").agg(F.count("*").alias("held"))
     share = lambda n: n / F.lit(float(texts.count()))
     scored = pairs.join(held, "term").withColumn("held", F.greatest("held", "together"))
     pmi = F.log(share(F.col("together")) / (share(F.col("mentions")) * share(F.col("held"))))
