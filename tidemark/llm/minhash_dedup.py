@@ -1,6 +1,6 @@
 """Near-duplicate documents by HyperMinHash.
 
-Each document's set of word shingles gives 256 registers. A register keeps the smallest hash of its own permutation of the
+Each document's set of word shingles gives 512 registers. A register keeps the smallest hash of its own permutation of the
 shingles as a leading-zero count (6 bits) and mantissa bits (10). (Buckets that share one permutation would stay empty in
 short documents; with a permutation each they do not.) Bands of 4 of the first 128 registers put documents into buckets; a Jaccard estimate
 corrected for chance collisions of the compressed registers drops hopeless pairs; the rest are verified on full sets.
@@ -26,11 +26,11 @@ from tidemark.llm.components import components
 from tidemark.llm.ragged import Words, chunks, mix, prefix_sums, range_hash
 
 #: Registers of a signature; bands are of the first ones, estimates of all.
-REGISTERS, MANTISSA, BANDS, ROWS = 256, 10, 32, 4
+REGISTERS, MANTISSA, BANDS, ROWS = 512, 10, 32, 4
 _A = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, REGISTERS + 1001, dtype=np.uint64))
-#: A register comparison is a coin of variance 0.75 * 0.25 / 256 at the threshold; four deviations below it.
-SLACK = 0.11
+#: A register comparison is a coin of variance 0.75 * 0.25 / 512 at the threshold; four deviations below it.
+SLACK = 0.08
 #: Ids of documents to verify that may be broadcast (16 MB), so that only their texts are shuffled; beyond, all texts are.
 IDS = 2_000_000
 #: Members of a bucket that are held together at a time in the last comparison.
