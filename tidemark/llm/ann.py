@@ -27,6 +27,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import saved
 
+#: Vectors that every query is compared with: what is further off than the k + 1 best of them is in no result, so blocks
+#: need not return it. With 64 single-precision components 2 MB are broadcast.
+ANCHORS = 8192
 #: Vectors of a leaf that meet in one task with the leaf's queries.
 BLOCK = 4096
 
@@ -138,6 +141,12 @@ def _cosine(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (q @ v.T) / (np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1)))
 
 
+def _last(s: np.ndarray, k: int) -> np.ndarray:
+    """The k + 1 best score of each row; the worst one if there are fewer."""
+    at = max(0, s.shape[1] - k - 1)
+    return np.partition(s, at, axis=1)[:, at] if s.shape[1] else np.full(len(s), -np.inf)
+
+
 def nearest(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 5, trees: int = 16, leaf: int = 128, share: float = 0.5, least: int = 8000, max_fit: int = 100_000) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (cosine): the k nearest found of each row of queries (vec_id, embedding) in df.
 
@@ -146,7 +155,8 @@ def nearest(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding
     every = saved(classes(df, vec_id, embedding, k), "classes")
     n = every.count()
     part = every if n <= max_fit else every.orderBy(F.xxhash64("class")).limit(max_fit)
-    fitted = part.select("vector").toArrow().column("vector")
+    picked = part.select("class", "vector", "ids").orderBy("class", "ids").toArrow().combine_chunks()
+    fitted = picked.column("vector")
     schema = "query_id long, rank int, vec_id long, score double"
     if not len(fitted):
         return df.sparkSession.createDataFrame([], schema)
@@ -154,6 +164,7 @@ def nearest(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     forest = df.sparkSession.sparkContext.broadcast(grow(x, trees, leaf))
     enough = max(least, int(share * len(x)))
+    anchors = df.sparkSession.sparkContext.broadcast((_unit(picked.column("vector").slice(0, ANCHORS)), picked.column("ids").slice(0, ANCHORS).to_pylist()))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,7 +178,17 @@ def nearest(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding
             if len(b):
                 u = _unit(b.column("vector"))
                 found = search(forest.value, u / np.linalg.norm(u, axis=1, keepdims=True), enough)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int64()))], [*b.schema.names, "leaves"])
+                bound = np.concatenate([_last(_cosine(u[lo : lo + 512], anchors.value[0]), k) for lo in range(0, len(u), 512)])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bound), pa.array(found, pa.list_(pa.int64()))], [*b.schema.names, "bound", "leaves"])
+
+    def at_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, ids = anchors.value
+        for b in batches:
+            for lo in range(0, len(b), 512):
+                part = b.slice(lo, 512)
+                s = _cosine(_unit(part.column("vector")), v)
+                i, j = np.nonzero(s >= _last(s, k)[:, None])
+                yield pa.RecordBatch.from_arrays([part.column("class").take(pa.array(i)), part.column("class2").take(pa.array(i)), pa.array(s[i, j]), pa.array([ids[x] for x in j], pa.list_(pa.int64()))], ["class", "class2", "score", "ids"])
 
     kind = every.schema["vector"].dataType.simpleString()
     asked = queries.select(F.col(vec_id).cast("long").alias("query_id"), _vector(queries, embedding).cast(kind).alias("v")).where("query_id is not null and v is not null")
@@ -177,9 +198,9 @@ def nearest(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding
     # a leaf of many vectors is dealt to several blocks, and its queries go to each of them
     size = saved(index, "index")
     blocks = size.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    index = size.join(blocks, "leaf").select("leaf", F.pmod(F.xxhash64("ids"), F.col("blocks")).cast("int").alias("block"), F.lit(None).cast("long").alias("class"), F.lit(None).cast("long").alias("class2"), "vector", "ids")
-    visits = some.mapInArrow(visit, "class long, class2 long, vector " + kind + ", leaves array<long>").select("class", "class2", "vector", F.explode("leaves").alias("leaf"))
-    visits = visits.join(blocks, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class", "class2", "vector", F.lit(None).cast("array<long>").alias("ids"))
+    index = size.join(blocks, "leaf").select("leaf", F.pmod(F.xxhash64("ids"), F.col("blocks")).cast("int").alias("block"), F.lit(None).cast("long").alias("class"), F.lit(None).cast("long").alias("class2"), "vector", F.lit(None).cast("double").alias("bound"), "ids")
+    visits = some.mapInArrow(visit, "class long, class2 long, vector " + kind + ", bound double, leaves array<long>").select("class", "class2", "vector", "bound", F.explode("leaves").alias("leaf"))
+    visits = visits.join(blocks, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class", "class2", "vector", "bound", F.lit(None).cast("array<long>").alias("ids"))
 
     def rerank(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -191,14 +212,15 @@ def nearest(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding
             c1, c2 = asks.column("class").to_pylist(), asks.column("class2").to_pylist()
             for lo in range(0, len(asks), 512):
                 s = _cosine(_unit(asks.column("vector").slice(lo, 512)), v)
-                # the classes that can reach the k + 1 best: all that tie with the last of them as well
-                last = np.partition(s, max(0, s.shape[1] - k - 1), axis=1)[:, max(0, s.shape[1] - k - 1)]
+                # of the block's k + 1 best (and ties) those that are as near as the query's k + 1 nearest anchors
+                last = np.maximum(_last(s, k), asks.column("bound").slice(lo, 512).to_numpy() - 1e-9)
                 for i, j in zip(*np.nonzero(s >= last[:, None]), strict=True):
                     for c, x in zip(cols, (c1[lo + i], c2[lo + i], float(s[i, j]), ids[j]), strict=True):
                         c.append(x)
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.list_(pa.int64()))], ["class", "class2", "score", "ids"])
 
     found = visits.unionByName(index).groupBy("leaf", "block").applyInArrow(rerank, "class long, class2 long, score double, ids array<long>")
+    found = found.union(some.mapInArrow(at_anchors, "class long, class2 long, score double, ids array<long>"))
     each = found.select("class", "class2", F.explode("ids").alias("vec_id"), "score").groupBy("class", "class2", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("class", "class2").orderBy(F.desc("score"), "vec_id")
     best = each.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
