@@ -42,7 +42,7 @@ ODD = [
 def test_base_spans_match_the_plain_patterns(spark):
     rows = [(i if i != 3 else None, t, "x") for i, t in enumerate(ODD)] + [(1, "", "x"), (1, "q@r.st", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
-    out = find_personal_data(df.select("doc_id", "text"), keep=("doc_id",)).join(df, "doc_id", "left") if False else find_personal_data(df, keep=("doc_id", "text"))
+    out = find_personal_data(df, keep=("doc_id", "text"))
     got = sorted((r["text"] or "", [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["base"]]) for r in out.collect())
     assert got == sorted((t or "", plain_spans(t or "")) for _, t, _ in rows)
 
@@ -56,7 +56,7 @@ def test_base_spans_on_documents(spark):
 
 def test_terms_that_disclose_an_entity_are_generalised(spark):
     near = [f"w{i} u{i} Zorro joe@x.org v{i} t{i}" for i in range(6)]
-    far = [f"common words {i} Zorro" for i in range(0)] + [f"plain text number {i}" for i in range(40)]
+    far = [f"plain text number {i}" for i in range(40)]
     copies = ["aa bb Qelt ann@x.org cc dd"] * 5
     df = spark.createDataFrame(list(enumerate(near + far + copies + ["Zorro again"])), "doc_id long, text string")
     out = find_personal_data(df, keep=("doc_id", "text"), rule=Disclosure())
