@@ -299,3 +299,23 @@ def test_kept_text_digest_is_of_utf8(docs):
 
     r = dedup_substrings(docs.where("doc_id = 3")).select("kept", F.sha2(F.col("kept").cast("binary"), 256).alias("h")).first()
     assert r.h == hashlib.sha256(r.kept.encode()).hexdigest()
+
+
+def test_toxicity_sees_what_lies_behind_long_beginnings(spark):
+    from tidemark.llm.toxicity import Model, Scorer, marked_words, n_grams, score, train
+
+    rng = np.random.default_rng(9)
+    start = "plain simple common words " * 600  # 15,600 characters
+    made = lambda i, bad: start + " ".join([*rng.choice(["tree", "house", "river", "cloud", "stone"], 15), "vilhorrid" if bad else f"calm{i % 9}"])
+    docs = spark.createDataFrame([(i, made(i, i % 2)) for i in range(160)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(160) if i % 5], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in score(docs, train(docs, labels)).collect()}
+    tested = [i for i in got if i % 5 == 0]
+    assert min(got[i] for i in tested if i % 2) > max(got[i] for i in tested if not i % 2) + 0.3
+    # behind the 64th character of an unspaced run, too, and across the pieces' edges
+    model = Model(np.zeros(1 << 17, np.float32), 0.0)
+    model.weight[n_grams("vilhor")] = 50.0
+    for n in (0, 50, 60, 64, 500):
+        for run in ("x" * n + "vilhorrid" + "x" * 70, "日本" * n + "vilhorrid"):
+            assert Scorer(model)(run) > Scorer(model)(run.replace("vilhorrid", "x")) + 0.1
+    assert {w for w in marked_words("ab cd-e")} == {"<ab>", "<cd-e>"}

@@ -6,9 +6,13 @@ mean gives its class. Embeddings and softmax are trained together by gradient de
 drown in the mean of all words, texts are cut into segments of SEGMENT words and a document scores as its worst segment;
 in training, too, a document's gradient goes to its worst segment.
 
-The model is fitted on the driver on a bounded sample of labelled rows (`max_rows` documents of each class, picked by a
-hash of the text), of which only the words are used. Scoring covers all rows and whole texts, in tasks, with the model
-folded into one number for each n-gram bucket (mean and softmax are linear), whatever the number of documents.
+The model is fitted on the driver on a sample of labelled rows that is bounded by rows alone (`max_rows` documents of each
+class, picked by a hash of the text); texts are learned from whole. Tasks cut them into words, which the driver numbers.
+Scoring covers all rows and whole texts, in tasks, with the model folded into one number for each n-gram bucket (mean and
+softmax are linear), whatever the number of documents.
+
+Unspaced runs count as one word up to PIECE characters; longer ones are cut into pieces that overlap by as much as the
+longest n-gram needs, each a word, so that every n-gram of a run is seen and no insult drowns in a long run.
 
 Results: null, empty and wordless texts score as the model's bias alone. Unlabelled rows, null labels and labels other
 than 0 and 1 are not learned from; nor are held-out ones. Every row gives one row, null and repeated ids included.
@@ -31,6 +35,8 @@ from tidemark.llm.common import saved
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5, 6)
 SEGMENT = 16
+#: Characters of a piece of a long run, the marks for its ends included.
+PIECE = 66
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _MEMO = 300_000
 
@@ -44,15 +50,23 @@ class Model:
 
 
 def n_grams(word: str) -> np.ndarray:
-    """Buckets of a lower-case word's character n-grams and of the whole word."""
-    w = f"<{word[:64]}>".encode()
+    """Buckets of a marked word's character n-grams and of the whole word."""
+    w = word.encode()
     grams = {w} | {w[i : i + n] for n in SIZES for i in range(len(w) - n + 1)}
     return np.array([crc32(g) % BUCKETS for g in sorted(grams)], np.int32)
 
 
-def segments(text: str | None) -> list[list[str]]:
-    words = _WORD.findall(text.lower()) if text else []
-    return [words[i : i + SEGMENT] for i in range(0, len(words), SEGMENT)] or [[]]
+def marked_words(text: str | None) -> list[str]:
+    """The lower-case words of a text with marks for their ends, long runs in pieces."""
+    out = []
+    for word in _WORD.findall(text.lower()) if text else []:
+        w = f"<{word}>"
+        if len(w) <= PIECE:
+            out.append(w)
+        else:
+            step = PIECE - max(SIZES) + 1
+            out += [w[i : i + PIECE] for i in range(0, len(w) - max(SIZES) + 1, step)]
+    return out
 
 
 def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
@@ -60,6 +74,13 @@ def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(lists).astype(np.int64) if len(lists) else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum(sizes)])
 
 
+def _segment_sizes(n: int) -> np.ndarray:
+    """Words of each segment of a text of n words; a wordless text is one empty segment."""
+    sizes = np.full(max(1, -(-n // SEGMENT)), SEGMENT)
+    sizes[-1] = n - SEGMENT * (len(sizes) - 1)
+    return sizes
+
+
 def _ragged(flat: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The entries of some rows of a ragged array, and which of the rows each is of."""
     n = starts[rows + 1] - starts[rows]
@@ -67,15 +88,17 @@ def _ragged(flat: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.
     return flat[at], np.repeat(np.arange(len(rows)), n)
 
 
-def fit(texts: list[str], toxic: np.ndarray, dim: int = 16, epochs: int = 12, rate: float = 0.5, batch: int = 256, seed: int = 7) -> Model:
-    """Jointly trained embeddings (BUCKETS x dim) and softmax (dim x 2), by Adagrad; classes weigh as in the sample."""
+def fit(docs: list[np.ndarray], vocabulary: list[np.ndarray], toxic: np.ndarray, dim: int = 16, epochs: int = 12, rate: float = 0.5, batch: int = 256, seed: int = 7) -> Model:
+    """Jointly trained embeddings (BUCKETS x dim) and softmax (dim x 2), by Adagrad; classes weigh as in the sample.
+
+    docs: the numbers of each document's words in vocabulary, which holds each word's n-grams.
+    """
     rng = np.random.default_rng(seed)
-    vocabulary: dict[str, int] = {}
-    docs = [[np.array([vocabulary.setdefault(w, len(vocabulary)) for w in s], np.int32) for s in segments(t)] for t in texts]
-    grams, gram_at = _flat([n_grams(w) for w in vocabulary])
+    grams, gram_at = _flat(vocabulary)
     gram_n = np.diff(gram_at)
-    seg_words, seg_at = _flat([s for d in docs for s in d])
-    doc_segs = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    seg_words = np.concatenate(docs)
+    doc_segs = np.concatenate([[0], np.cumsum([max(1, -(-len(d) // SEGMENT)) for d in docs])])
+    seg_at = np.concatenate([[0], np.cumsum(np.concatenate([_segment_sizes(len(d)) for d in docs]))])
     emb = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     soft = rng.normal(0, 0.1, (dim, 2)).astype(np.float32)
     bias = np.log(np.maximum(np.bincount(toxic, minlength=2), 1) / max(1, len(toxic))).astype(np.float32)
@@ -135,7 +158,7 @@ class Scorer:
         return self.memo[w]
 
     def __call__(self, text: str | None) -> float:
-        words = _WORD.findall(text.lower()) if text else []
+        words = marked_words(text)
         worst = 0.0
         if words:
             parts = np.array([self.memo.get(w) or self.word(w) for w in words])
@@ -149,7 +172,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 2500) -> Model:
+def _gathered(texted: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], list[int]]:
+    """Of rows of id, mark, y and text: the word numbers of each document, the n-grams of each word, and the documents' classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [marked_words(t.as_py()) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("mark"), b.column("id"), b.column("y"), pa.array(words, pa.list_(pa.string()))], ["mark", "id", "y", "words"])
+
+    part = texted.select("mark", "id", "y", "text")
+    t = part.mapInArrow(run, f"mark long, id {part.schema['id'].dataType.simpleString()}, y int, words array<string>").toArrow()
+    vocabulary: dict[str, int] = {}
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in x.as_py()], np.int32) for x in t.column("words")]
+    keys = [*zip(t.column("y").to_pylist(), t.column("mark").to_pylist(), t.column("id").to_pylist(), strict=True)]
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    return [docs[k] for k in order], [n_grams(w) for w in vocabulary], [keys[k][0] for k in order]
+
+
+def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 4000) -> Model:
     """A model of at most max_rows labelled documents of each class, in the order of a hash of their text; more toxic rows or fewer, the bias is set for the classes' share among all labelled rows."""
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("y"))
     mark = F.xxhash64(text)
@@ -158,13 +198,11 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     share = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = [rows.where(F.col("y") == c).orderBy("mark", "id").limit(max_rows) for c in (0, 1)]
     picked = F.broadcast(saved(picked[0].union(picked[1]).distinct(), "picked"))  # at most 2 * max_rows rows
-    # a document's first 12,000 characters are enough to learn from; scoring takes whole texts
-    texted = df.select(F.col(doc_id).alias("id"), mark.alias("mark"), F.substring(text, 1, 12_000).alias("text")).join(picked, ["id", "mark"])
-    got = sorted(texted.select("mark", "id", "y", "text").collect(), key=lambda r: (r["y"], r["mark"], r["id"]))
-    texts, y = [r["text"] for r in got], [r["y"] for r in got]
-    if not texts:
+    texted = df.select(F.col(doc_id).alias("id"), mark.alias("mark"), F.col(text).alias("text")).join(picked, ["id", "mark"])
+    docs, vocabulary, y = _gathered(texted)
+    if not docs:
         return Model(np.zeros(BUCKETS, np.float32), -3.0)
-    model = fit(texts, np.array(y, np.int64))
+    model = fit(docs, vocabulary, np.array(y, np.int64))
     in_sample, in_all = (max(y.count(1), 1) / max(y.count(0), 1), max(share.get(1, 0), 1) / max(share.get(0, 0), 1))
     model.bias += float(np.log(in_all / in_sample))
     return model
