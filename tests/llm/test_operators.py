@@ -319,3 +319,23 @@ def test_toxicity_sees_what_lies_behind_long_beginnings(spark):
         for run in ("x" * n + "vilhorrid" + "x" * 70, "日本" * n + "vilhorrid"):
             assert Scorer(model)(run) > Scorer(model)(run.replace("vilhorrid", "x")) + 0.1
     assert {w for w in marked_words("ab cd-e")} == {"<ab>", "<cd-e>"}
+
+
+def test_nearest_neighbours_come_by_the_forest_alone(spark):
+    from tidemark.llm.ann import nearest
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(40, 16)).repeat(250, axis=0) + rng.normal(size=(10_000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = range(0, 10_000, 100)
+
+    def recall(**how):
+        by = defaultdict(set)
+        for r in nearest(df, df.where("vec_id % 100 = 0"), max_fit=1000, leaf=32, **how).collect():
+            assert abs(u[r.query_id] @ u[r.vec_id] - r.score) < 1e-12
+            by[r.query_id].add(r.vec_id)
+        return sum(len(by[q] & (set(np.argsort(-(u @ u[q]))[:6].tolist()) - {q})) for q in asked) / (5 * len(asked))
+
+    assert recall(least=1, share=0.0) < 0.6  # one leaf of one tree
+    assert recall(least=2000, share=0.5) >= 0.9

@@ -2,7 +2,7 @@
 
 A tree splits vectors by the hyperplane between two sampled ones, at the median, until leaves are small. A query walks all
 trees through one shared queue, always following the branch that is least beyond its hyperplanes, until the leaves it has
-reached hold enough candidates. Candidates are reranked by exact cosine in double precision.
+reached hold enough candidates. Candidates are reranked by exact cosine in double precision; no others are in the result.
 
 The hyperplanes are fitted on the driver on a bounded sample (`max_fit` vectors); every vector is indexed, by a join of
 vectors and queries on (tree, leaf). Equal vectors form a class and are searched as one, with the k + 1 smallest ids of the
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import saved
 
-#: Vectors that every query is compared with: what is further off than the k + 1 best of them is in no result, so blocks
-#: need not return it. With 64 single-precision components 2 MB are broadcast.
-ANCHORS = 8192
+#: Sampled vectors of the first leaves that a query visits, from which it takes its bound: what is further off than the
+#: k + 1 best of them is in no result, so blocks need not return it. They bound alone; what is returned comes from blocks.
+FIRST = 8192
 #: Vectors of a leaf that meet in one task with the leaf's queries.
 BLOCK = 4096
 
@@ -113,6 +113,24 @@ def search(f: Forest, q: np.ndarray, enough: int) -> list[list[int]]:
     return out
 
 
+def members(f: Forest, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of x by leaf, one leaf after the other, and where each leaf's begin."""
+    at = leaves(f, x)
+    order = np.argsort(at, axis=None, kind="stable")
+    return (order // at.shape[1]).astype(np.int32), np.searchsorted(at.ravel()[order], np.arange(len(f.count) + 1))
+
+
+def first_rows(rows: np.ndarray, start: np.ndarray, visited: list[int], most: int) -> np.ndarray:
+    """The distinct rows in the first of the visited leaves, until they hold `most`, with repeats."""
+    part, found = [], 0
+    for n in visited:
+        part.append(rows[start[n] : start[n + 1]])
+        found += len(part[-1])
+        if found >= most:
+            break
+    return np.unique(np.concatenate(part)) if part else rows[:0]
+
+
 def _vector(df: DataFrame, embedding: str):
     """The vectors as they are if single precision, which is half to ship; else as doubles."""
     single = df.schema[embedding].dataType.simpleString() == "array<float>"
@@ -162,9 +180,10 @@ def nearest(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding
         return df.sparkSession.createDataFrame([], schema)
     x = _unit(fitted)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    forest = df.sparkSession.sparkContext.broadcast(grow(x, trees, leaf))
+    grown = grow(x, trees, leaf)
+    forest = df.sparkSession.sparkContext.broadcast(grown)
     enough = max(least, int(share * len(x)))
-    anchors = df.sparkSession.sparkContext.broadcast((_unit(picked.column("vector").slice(0, ANCHORS)), picked.column("ids").slice(0, ANCHORS).to_pylist()))
+    sample = df.sparkSession.sparkContext.broadcast((x.astype(np.float32), *members(grown, x)))  # at most max_fit vectors
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,19 +196,14 @@ def nearest(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding
         for b in batches:
             if len(b):
                 u = _unit(b.column("vector"))
-                found = search(forest.value, u / np.linalg.norm(u, axis=1, keepdims=True), enough)
-                bound = np.concatenate([_last(_cosine(u[lo : lo + 512], anchors.value[0]), k) for lo in range(0, len(u), 512)])
+                u = u / np.linalg.norm(u, axis=1, keepdims=True)
+                found = search(forest.value, u, enough)
+                vectors, rows, start = sample.value
+                near = [first_rows(rows, start, visited, FIRST) for visited in found]
+                # fewer than k + 1 vectors bound nothing; single precision is off by less than 1e-5
+                bound = np.array([_last(q[None] @ vectors[r].T, k)[0] - 1e-5 if len(r) > k else -np.inf for q, r in zip(u.astype(np.float32), near, strict=True)], float)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bound), pa.array(found, pa.list_(pa.int64()))], [*b.schema.names, "bound", "leaves"])
 
-    def at_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, ids = anchors.value
-        for b in batches:
-            for lo in range(0, len(b), 512):
-                part = b.slice(lo, 512)
-                s = _cosine(_unit(part.column("vector")), v)
-                i, j = np.nonzero(s >= _last(s, k)[:, None])
-                yield pa.RecordBatch.from_arrays([part.column("class").take(pa.array(i)), part.column("class2").take(pa.array(i)), pa.array(s[i, j]), pa.array([ids[x] for x in j], pa.list_(pa.int64()))], ["class", "class2", "score", "ids"])
-
     kind = every.schema["vector"].dataType.simpleString()
     asked = queries.select(F.col(vec_id).cast("long").alias("query_id"), _vector(queries, embedding).cast(kind).alias("v")).where("query_id is not null and v is not null")
     asked = asked.select("query_id", F.xxhash64("v").alias("class"), F.xxhash64(F.lit(1), "v").alias("class2"))
@@ -212,15 +226,14 @@ def nearest(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding
             c1, c2 = asks.column("class").to_pylist(), asks.column("class2").to_pylist()
             for lo in range(0, len(asks), 512):
                 s = _cosine(_unit(asks.column("vector").slice(lo, 512)), v)
-                # of the block's k + 1 best (and ties) those that are as near as the query's k + 1 nearest anchors
-                last = np.maximum(_last(s, k), asks.column("bound").slice(lo, 512).to_numpy() - 1e-9)
+                # of the block's k + 1 best (and ties) those that are within the query's bound
+                last = np.maximum(_last(s, k), asks.column("bound").slice(lo, 512).to_numpy())
                 for i, j in zip(*np.nonzero(s >= last[:, None]), strict=True):
                     for c, x in zip(cols, (c1[lo + i], c2[lo + i], float(s[i, j]), ids[j]), strict=True):
                         c.append(x)
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.list_(pa.int64()))], ["class", "class2", "score", "ids"])
 
     found = visits.unionByName(index).groupBy("leaf", "block").applyInArrow(rerank, "class long, class2 long, score double, ids array<long>")
-    found = found.union(some.mapInArrow(at_anchors, "class long, class2 long, score double, ids array<long>"))
     each = found.select("class", "class2", F.explode("ids").alias("vec_id"), "score").groupBy("class", "class2", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("class", "class2").orderBy(F.desc("score"), "vec_id")
     best = each.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
