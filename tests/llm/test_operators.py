@@ -339,3 +339,53 @@ def test_nearest_neighbours_come_by_the_forest_alone(spark):
 
     assert recall(least=1, share=0.0) < 0.6  # one leaf of one tree
     assert recall(least=2000, share=0.5) >= 0.9
+
+
+def test_word_language_models_against_brute_force(spark):
+    import math
+
+    from tidemark.llm.word_lm import cross_entropy_difference
+
+    rows = [(1, "a b a c", True), (2, "a b d é 日本 ok", None), (3, "", True), (4, None, False), (5, "z\n z  z", False), (5, "z\n z  z", False), (None, "b a", True)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, good boolean, n int")
+    marked = lambda t: ["", *words(t), ""]
+    vocabulary = {w for _, t, _ in rows for w in marked(t)}
+
+    def model(texts):
+        one, two = defaultdict(int), defaultdict(int)
+        for t in texts:
+            for b, c in zip(marked(t), marked(t)[1:]):
+                one[c] += 1
+                two[b, c] += 1
+
+        def p(b, c):
+            out = (one[c] + len([w for w in one if one[w]]) / len(vocabulary)) / (sum(one.values()) + len([w for w in one if one[w]]))
+            same = {k: n for k, n in two.items() if k[0] == b and n}
+            return (same.get((b, c), 0) + len(same) * out) / (sum(same.values()) + len(same)) if same else out
+
+        return p
+
+    for labels in ([g for *_, g in rows], [False] * len(rows)):
+        good = [t for (_, t, _), g in zip(rows, labels) if g] or [t for _, t, _ in rows]
+        models = model(good), model([t for _, t, _ in rows])
+        ours = df.drop("good").withColumn("good", F.col("doc_id").isin(1, 3) | F.col("doc_id").isNull() if any(labels) else F.lit(False))
+        got = cross_entropy_difference(ours, "good", keep=("doc_id", "text")).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            m = marked(r.text)
+            assert r.n_tokens == len(m) - 1
+            for loss, p in zip((r.target_loss, r.background_loss), models):
+                assert abs(loss - -sum(math.log(p(b, c)) for b, c in zip(m, m[1:])) / (len(m) - 1)) < 1e-9
+            assert abs(r.score - (r.target_loss - r.background_loss)) < 1e-12
+    assert cross_entropy_difference(df.limit(0), "good").count() == 0
+
+
+def test_the_language_model_grows_with_the_corpus(spark):
+    from tidemark.llm.queries import QUERIES
+    from tidemark.llm.word_lm import count_bigrams
+
+    made = lambda n: spark.range(n).select(F.concat_ws(" ", F.sha2(F.col("id").cast("string").cast("binary"), 256), F.lit("end")).alias("text"))
+    assert [count_bigrams(made(n), F.col("text"), F.lit(True)).count() for n in (100, 1000)] == [2 * 100 + 1, 2 * 1000 + 1]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    tokens = {r.doc_id: r.n_tokens for r in QUERIES["op7_lm_scoring"](spark, "/root/testdata/sf0.001").collect()}
+    assert tokens == {r.doc_id: len(words(r.text)) + 1 for r in docs.collect()}

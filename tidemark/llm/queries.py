@@ -63,7 +63,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.lm_scoring import cross_entropy_difference
+    from tidemark.llm.word_lm import cross_entropy_difference
 
     good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct()
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")

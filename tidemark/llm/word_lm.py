@@ -1,0 +1,140 @@
+"""Language-model scoring by cross-entropy difference, with word bigrams over the whole corpus's vocabulary.
+
+Two models of one order, smoothing and vocabulary are counted: a target model on documents known to be good and a background
+model on all documents. A document's score is the mean, over its tokens, of its loss under the target minus its loss under
+the background: the lower, the more it is like the target.
+
+Tokens are runs between white space (with a mark for the start and the end of a text). The vocabulary is every word of the
+corpus, without a cut-off, and what is gathered, all words and all bigrams, grows with the corpus. It never comes to the
+driver: tasks count what they read, counts are summed by bigram, totals of contexts and words are joined to them, and
+probabilities are joined to the bigrams of each document, which tasks have counted by document. Those joins run shuffled;
+words and contexts are broadcast up to a counted bound. A bigram has one row on the model's side, so frequent ones are
+split as skewed partitions on the documents' side alone.
+
+Probabilities are interpolated by Witten-Bell: P(c | b) = (n(bc) + t(b) P(c)) / (n(b) + t(b)), with t the number of distinct
+words seen behind; likewise for P(c), down to the uniform one over the vocabulary. Words, bigrams and texts are told apart
+by 64-bit hashes.
+
+Results: null texts count as empty (one token, the end mark). Labels other than the target's and null ones do not count. With
+no target document at all, every score is 0. Every row gives one row; repeated rows count as often as they occur.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from hashlib import blake2b
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import WORD, saved, small
+
+EDGE = 0  # the mark
+CHUNK = 1 << 18
+_MEMO = 500_000
+_WORD = re.compile(WORD)
+
+
+class Hasher:
+    """Hashes of words; one for each worker process."""
+
+    def __init__(self):
+        self.memo: dict[str, int] = {}
+
+    def word(self, w: str) -> int:
+        if len(self.memo) >= _MEMO:
+            self.memo.clear()
+        h = self.memo[w] = int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "little", signed=True)
+        return h
+
+    def __call__(self, text: str) -> np.ndarray:
+        get = self.memo.get
+        return np.array([EDGE, *((h if (h := get(w)) is not None else self.word(w)) for w in _WORD.findall(text)), EDGE], np.int64)
+
+
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each pair (splitmix64's finaliser over both)."""
+    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + b.view(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def _chunks(b: pa.RecordBatch, hasher: Hasher) -> Iterator[tuple[list[np.ndarray], list]]:
+    """The hashed words of some texts and their marks, about CHUNK words at a time."""
+    held, marks, size = [], [], 0
+    for t, m in zip(b.column("text"), b.column("mark").to_pylist(), strict=True):
+        held.append(hasher(t.as_py()))
+        marks.append(m)
+        size += len(held[-1])
+        if size >= CHUNK:
+            yield held, marks
+            held, marks, size = [], [], 0
+    if held:
+        yield held, marks
+
+
+def count_bigrams(df: DataFrame, text: Column, target: Column) -> DataFrame:
+    """pair, before, word, n, good: how often each bigram occurs in all texts, and in those of the target."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for b in batches:
+            for texts, good in _chunks(b, hasher):
+                before, word = np.concatenate([t[:-1] for t in texts]), np.concatenate([t[1:] for t in texts])
+                pair, first, at, n = np.unique(pair_hash(before, word), return_index=True, return_inverse=True, return_counts=True)
+                of_good = np.bincount(at, np.repeat(np.array(good, float), [len(t) - 1 for t in texts]), len(pair)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pair, before[first], word[first], n.astype(np.int64), of_good)], ["pair", "before", "word", "n", "good"])
+
+    part = df.select(text.alias("text"), target.alias("mark")).mapInArrow(run, "pair long, before long, word long, n long, good long")
+    return part.groupBy("pair").agg(F.first("before").alias("before"), F.first("word").alias("word"), F.sum("n").alias("n"), F.sum("good").alias("good"))
+
+
+def document_bigrams(df: DataFrame, text: Column, key: Column) -> DataFrame:
+    """key, pair, n: how often each bigram occurs in each text, once for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for b in batches:
+            for texts, keys in _chunks(b, hasher):
+                own = [np.unique(pair_hash(t[:-1], t[1:]), return_counts=True) for t in texts]
+                key = np.repeat(np.array(keys, np.int64), [len(p) for p, _ in own])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([p for p, _ in own])), pa.array(np.concatenate([n for _, n in own]).astype(np.int32))], ["key", "pair", "n"])
+
+    return df.select(text.alias("text"), key.alias("mark")).mapInArrow(run, "key long, pair long, n int")
+
+
+def log_probabilities(bigrams: DataFrame) -> DataFrame:
+    """pair, target, background: ln P of each bigram's word behind its context under both models. bigrams: a saved table."""
+    seen = lambda n: F.count_if(F.col(n) > 0)
+    words = saved(bigrams.groupBy("word").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "words")
+    behind = saved(bigrams.groupBy("before").agg(F.sum("n").alias("b_n"), seen("n").alias("t_n"), F.sum("good").alias("b_good"), seen("good").alias("t_good")), "contexts")
+    of = words.agg(*(f(n).alias(a + n) for n in ("n", "good") for f, a in ((F.sum, "sum_"), (seen, "seen_")))).first()
+    size = float(of["seen_n"] or 1)
+    logs = []
+    for n, name in (("good", "target"), ("n", "background")):
+        n = n if of["sum_good"] else "n"
+        one = (F.col(f"w_{n}") + of[f"seen_{n}"] / size) / F.lit(float((of[f"sum_{n}"] or 0) + (of[f"seen_{n}"] or 0) or 1))
+        two = F.when(F.col(f"b_{n}") > 0, (F.col(n) + F.col(f"t_{n}") * one) / (F.col(f"b_{n}") + F.col(f"t_{n}"))).otherwise(one)
+        logs.append(F.log(two).alias(name))
+    words = words.select("word", F.col("n").alias("w_n"), F.col("good").alias("w_good"))
+    return bigrams.join(small(words), "word").join(small(behind), "before").select("pair", *logs)
+
+
+def cross_entropy_difference(df: DataFrame, target: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of `keep`, n_tokens, target_loss, background_loss (nats a token), score for each row of df; target: a boolean column."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    bigrams = saved(count_bigrams(df, whole, F.coalesce(F.col(target), F.lit(False))), "bigrams")
+    if not bigrams.limit(1).count():
+        return df.select(*keep, *(F.lit(None).cast(t).alias(n) for n, t in (("n_tokens", "long"), ("target_loss", "double"), ("background_loss", "double"), ("score", "double"))))
+    model = saved(log_probabilities(bigrams), "model")
+    told = document_bigrams(df, whole, F.xxhash64(whole)).join(small(model), "pair")
+    # copies of a text add up alike above and below
+    loss = lambda name: (-F.sum(F.col("n") * F.col(name)) / F.sum("n")).alias(f"{name}_loss")
+    losses = told.groupBy("key").agg(loss("target"), loss("background"))
+    rows = df.select(*keep, F.xxhash64(whole).alias("key"), (F.regexp_count(whole, F.lit(WORD)) + 1).cast("long").alias("n_tokens"))
+    return rows.join(losses, "key").select(*keep, "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
