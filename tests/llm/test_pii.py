@@ -70,3 +70,26 @@ def test_terms_that_disclose_an_entity_are_generalised(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert find_personal_data(df).count() == 0
+
+
+def _sanitised(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = find_personal_data(df, keep=("doc_id", "text"))
+    return [r["s"] for r in out.select(sanitise(F.col("text"), F.col("spans")).alias("s")).orderBy("doc_id").collect()]
+
+
+def test_copies_do_not_hide_a_disclosing_term(spark):
+    near = [f"w{i} u{i} Zorro joe@x.org v{i} t{i}" for i in range(6)]
+    got = _sanitised(spark, near * 20 + [f"plain text number {i}" for i in range(40)] + ["Zorro again"])
+    assert got[:120] == [f"w{i} u{i} [TERM] [EMAIL] v{i} t{i}" for i in range(6)] * 20
+    assert got[-1] == "[TERM] again"
+
+
+def test_terms_may_be_far_off_and_have_marks_and_digits(spark):
+    far = "some words that stand in between. "
+    near = [f"(Holloway{',;.!'[i % 4]} w{i} {far * 9} u{i} joe@x.org v{i} {far * 9} EMP-4411{':)?'[i % 3]}" for i in range(6)]
+    copies = [f"aa bb Qelt ann@x.org cc dd ee {k}" for k in range(9)]
+    got = _sanitised(spark, near + copies + [f"{far} number {i}" for i in range(60)] + ['"Holloway" and EMP-4411.'])
+    assert got[-1] == '"[TERM]" and [TERM].'
+    assert got[0].startswith("([TERM], w0 some words") and got[0].endswith("[TERM]:")
+    assert "Qelt" in got[6] and got[20] == f"{far} number 5"

@@ -1,10 +1,11 @@
 """Personal data: patterns, then information-theoretic sanitisation. DataFrame functions alone.
 
 Patterns find the protected entities (addresses, card and phone numbers). Corpus co-occurrence then estimates how strongly
-a term near an entity's mentions reveals it: with probabilities over distinct contexts, a term t discloses an entity c if
-PMI(c; t) >= threshold * IC(c), that is, if knowing t removes that share of the uncertainty about c. Disclosing terms are
-generalised to a placeholder wherever they occur. Evidence has to come from several distinct contexts, so that copies
-of one document prove nothing.
+a term of the documents that mention an entity reveals it: with probabilities over distinct texts, a term t discloses an
+entity c if PMI(c; t) >= threshold * IC(c), that is, if knowing t removes that share of the uncertainty about c. Any word of
+the whole text is a term, without the marks around it. Disclosing terms are generalised to a placeholder wherever they
+occur. The texts of the evidence have to mention the entity in several distinct contexts (the words next to it), so that
+copies and near copies of one document prove nothing.
 
 Positions are code points, end exclusive. Null texts count as empty. Every row gives one row; term spans are those of the
 row's own text, so repeated rows and null ids are safe. Other columns do not matter.
@@ -27,12 +28,15 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
+#: A word without the marks around it: from its first letter or digit to its last.
+TERM = r"[\p{L}\p{N}](?:[^\x20\x09-\x0D]*[\p{L}\p{N}\p{M}])?"
+
 _SPANS = "array<struct<start:int,end:int,kind:string,match:string>>"
 
 
 @dataclass(frozen=True)
 class Disclosure:
-    """When a term counts as disclosing: how near to a mention (words), in how many distinct contexts, what share of IC."""
+    """When a term counts as disclosing: with an entity that is mentioned in how many distinct contexts (`near` words on each side tell them apart), what share of IC."""
 
     near: int = 3
     contexts: int = 3
@@ -98,48 +102,48 @@ def _near(text: Column, span: Column, near: int) -> Column:
     return F.concat(F.reverse(F.slice(F.reverse(before), 1, near)), F.slice(after, 1, near))
 
 
-def _text_words() -> Column:
-    return F.array_distinct(F.regexp_extract_all("__text", F.lit(WORD), F.lit(0)))
+def _terms(text: Column) -> Column:
+    """The distinct words of a text, without the marks around them."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
 
 
-def disclosing_terms(contexts: DataFrame, texts: DataFrame, rule: Disclosure) -> DataFrame:
-    """term: the words that disclose an entity. contexts: kind, entity, words (near a mention); texts: __text.
+def disclosing_terms(texts: DataFrame, rule: Disclosure) -> DataFrame:
+    """term: the words that disclose an entity. texts: distinct texts (saved), as __key, __text and contexts (kind, entity, words near a mention).
 
-    p(c), p(t), p(c, t): shares of documents, where a mention counts once for each distinct context, so that copies of one
-    document are one mention.
+    p(c), p(t), p(c, t): shares of the distinct texts.
     """
-    letters = r"^\p{L}[\p{L}\p{M}'-]*[.,;:!?]?$"
-    contexts = contexts.distinct().withColumn("context", F.xxhash64(F.array_join("words", " ")))
-    terms = contexts.select("kind", "entity", "context", F.explode(F.array_distinct("words")).alias("term")).where(F.col("term").rlike(letters))
-    pairs = terms.groupBy("kind", "entity", "term").agg(F.count_distinct("context").alias("together")).where(F.col("together") >= rule.contexts)
-    mentions = contexts.groupBy("kind", "entity").agg(F.count_distinct("context").alias("mentions"))
-    pairs = saved(pairs.join(mentions, ["kind", "entity"]), "pairs")
+    mention = F.struct(F.xxhash64("m.kind", "m.entity").alias("c"), F.xxhash64(F.array_join("m.words", " ")).alias("context"), F.col("m.entity").alias("entity"))
+    places = texts.where(F.size("contexts") > 0).select("__key", F.explode("contexts").alias("m")).select("__key", mention.alias("m")).select("__key", "m.*").distinct()
+    # an entity of fewer contexts has no term
+    entities = places.groupBy("c").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("__key").alias("mentions")).where(F.col("contexts") >= rule.contexts)
+    entities = saved(entities.select("c", "mentions"), "entities")
+    if not entities.limit(1).count():
+        return texts.select(F.col("__text").alias("term")).limit(0)
+    own = F.transform("contexts", lambda m: F.struct(F.xxhash64(m["kind"], m["entity"]).alias("c"), F.xxhash64(F.array_join(m["words"], " ")).alias("context"), m["entity"].alias("entity")))
+    inside = texts.where(F.size("contexts") > 0).select("__text", F.explode(F.array_distinct(own)).alias("m")).select("__text", "m.*")
+    inside = inside.join(small(entities.select("c")), "c").groupBy("c", "entity", "__text").agg(F.collect_set("context").alias("at"))
+    each = inside.select("c", "entity", "at", F.explode(_terms(F.col("__text"))).alias("term"))
+    # parts of the entity itself are no evidence
+    each = each.where(~F.contains("entity", F.lower("term")) & ~F.contains(F.lower("term"), F.col("entity")))
+    # a text counts with the first of its contexts; sums by context come first, so that frequent entities are spread
+    by_context = each.select("c", "term", F.posexplode("at").alias("k", "context")).groupBy("c", "term", "context").agg(F.count_if(F.col("k") == 0).alias("texts"))
+    pairs = by_context.groupBy("c", "term").agg(F.count("*").alias("contexts"), F.sum("texts").alias("together")).where(F.col("contexts") >= rule.contexts)
+    pairs = saved(pairs.join(small(entities), "c"), "pairs")
     if not pairs.limit(1).count():
         return pairs.select("term")
     # counted before the join: a candidate may be one of the most frequent words
-    held = texts.select(F.explode(_text_words()).alias("term")).groupBy("term").agg(F.count("*").alias("held"))
+    held = texts.select(F.explode(_terms(F.col("__text"))).alias("term")).groupBy("term").agg(F.count("*").alias("held"))
     share = lambda n: n / F.lit(float(texts.count()))
-    scored = pairs.join(held, "term").withColumn("held", F.greatest("held", "together"))
     pmi = F.log(share(F.col("together")) / (share(F.col("mentions")) * share(F.col("held"))))
-    return scored.where(pmi >= rule.threshold * -F.log(share(F.col("mentions")))).select("term").distinct()
+    return pairs.join(held, "term").where(pmi >= rule.threshold * -F.log(share(F.col("mentions")))).select("term").distinct()
 
 
 def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """__key, added: the spans of the terms, as whole words, in each distinct text (__key, __text)."""
-    hit = texts.select("__key", "__text", F.explode(_text_words()).alias("term")).join(small(terms), "term").dropDuplicates(["__key", "term"])
-    literal = F.concat(F.lit(r"\Q"), F.replace(F.col("term"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    pieces = F.split("__text", F.concat(F.lit(r"(?<![^\x20\x09-\x0D])"), literal, F.lit(r"(?![^\x20\x09-\x0D])")), -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        start = acc["at"] + F.char_length(piece)
-        end = start + F.char_length("term")
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit("term").alias("kind"), F.col("term").alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    found = hit.select("__key", "term", pieces.alias("pieces"))
-    spans = F.aggregate(F.slice("pieces", 1, F.size("pieces") - 1), zero, step, lambda acc: acc["out"])
-    return found.select("__key", spans.alias("added")).groupBy("__key").agg(F.flatten(F.collect_list("added")).alias("added"))
+    """__key, added: the spans of the terms, without the marks around them, in each distinct text (__key, __text) that has some."""
+    hit = texts.select("__key", F.explode(_terms(F.col("__text"))).alias("term")).join(small(terms), "term")
+    hit = saved(hit.groupBy("__key").agg(F.collect_set("term").alias("terms")), "hit")
+    spans = _spans(F.col("__text"), "term", TERM, lambda m: F.array_contains("terms", m))
+    return texts.join(small(hit), "__key").select("__key", spans.alias("added"))
 
 
 def find_personal_data(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rule: Disclosure = Disclosure()) -> DataFrame:
@@ -148,16 +152,18 @@ def find_personal_data(df: DataFrame, text: str = "text", keep: tuple[str, ...]
     A span is start, end, kind, match. Terms that overlap a base span are left out.
     """
     rows = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    texts = rows.select(_key().alias("__key"), "__text")
-    found = rows.select(*keep, _key().alias("__key"), "__text", base_spans(F.col("__text")).alias("base"))
+    texts = rows.select(_key().alias("__key"), "__text").dropDuplicates(["__key"]).withColumn("base", base_spans(F.col("__text")))
     near = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["match"]).alias("entity"), _near(F.col("__text"), s, rule.near).alias("words")))
-    base = saved(found.select(*keep, "__key", "base", near.alias("contexts")), "base")
-    terms = saved(disclosing_terms(base.select(F.inline("contexts")), texts, rule), "terms")
+    texts = saved(texts.withColumn("contexts", near), "base")
+    terms = saved(disclosing_terms(texts, rule), "terms")
+    rows = rows.select(*keep, _key().alias("__key"))
+    base = texts.select("__key", "base")
     if not terms.limit(1).count():
-        return base.select(*keep, "base", F.col("base").alias("spans"))
-    out = base.join(term_spans(texts, terms), "__key", "left")
+        return rows.join(base, "__key").select(*keep, "base", F.col("base").alias("spans"))
+    out = base.join(small(saved(term_spans(texts, terms), "added")), "__key", "left")
     apart = F.filter("added", lambda t: F.forall("base", lambda s: (t["end"] <= s["start"]) | (s["end"] <= t["start"])))
-    return out.select(*keep, "base", F.when(F.col("added").isNull(), F.col("base")).otherwise(_ordered(F.concat("base", apart))).alias("spans"))
+    out = out.select("__key", "base", F.when(F.col("added").isNull(), F.col("base")).otherwise(_ordered(F.concat("base", apart))).alias("spans"))
+    return rows.join(out, "__key").select(*keep, "base", "spans")
 
 
 def _key() -> Column:
