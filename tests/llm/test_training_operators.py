@@ -232,44 +232,6 @@ def test_nearest_neighbours(spark):
     assert nearest(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_language_models_against_brute_force(spark):
-    import math
-
-    from tidemark.llm.lm_scoring import cross_entropy_difference
-
-    rows = [(1, "abracadabra", True), (2, "abc abc é", None), (3, "", True), (4, None, False), (5, "zzz", False), (5, "zzz", False)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, good boolean")
-
-    def model(texts):
-        n = [defaultdict(int) for _ in range(3)]
-        for t in texts:
-            d = b"\0\0" + t.encode() + b"\0"
-            for i in range(len(d) - 2):
-                for k in range(3):
-                    n[k][d[i + 2 - k : i + 3]] += 1
-
-        def p(gram):
-            out = (n[0].get(gram[2:], 0) + len(n[0]) / 256) / (sum(n[0].values()) + len(n[0]))
-            for k in (1, 2):
-                g = gram[2 - k :]
-                same = {x: c for x, c in n[k].items() if x[:-1] == g[:-1] and c}
-                if same:
-                    out = (same.get(g, 0) + len(same) * out) / (sum(same.values()) + len(same))
-            return out
-
-        return p
-
-    good, every = model([t or "" for _, t, g in rows if g]), model([t or "" for _, t, _ in rows])
-    got = {(r.doc_id, r.n_tokens): r for r in cross_entropy_difference(df, "good").collect()}
-    for i, t, _ in rows:
-        d = b"\0\0" + (t or "").encode() + b"\0"
-        grams = [d[k : k + 3] for k in range(len(d) - 2)]
-        r = got[i, len(grams)]
-        for loss, p in ((r.target_loss, good), (r.background_loss, every)):
-            assert abs(loss - -sum(math.log(p(g)) for g in grams) / len(grams)) < 1e-5
-    assert abs(got[5, 4].score - (got[5, 4].target_loss - got[5, 4].background_loss)) < 1e-9
-
-
 def test_toxicity_held_out_accuracy(spark):
     from tidemark.llm.toxicity import score, train
 
@@ -341,35 +303,32 @@ def test_nearest_neighbours_come_by_the_forest_alone(spark):
     assert recall(least=2000, share=0.5) >= 0.9
 
 
-def test_word_language_models_against_brute_force(spark):
+def test_language_models_against_brute_force(spark):
     import math
 
-    from tidemark.llm.word_lm import cross_entropy_difference
+    from tidemark.llm import lm_scoring
 
-    rows = [(1, "a b a c", True), (2, "a b d é 日本 ok", None), (3, "", True), (4, None, False), (5, "z\n z  z", False), (5, "z\n z  z", False), (None, "b a", True)]
+    long = " ".join(f"w{i % 977}" for i in range(90_000))  # of several chunks' size
+    rows = [(1, "a b a c", True), (2, "a b d é 日本 | ok", None), (3, "", True), (4, None, False), (5, "z\n z  z", False), (5, "z\n z  z", False), (None, "b a", True), (7, long, False), (8, long, False)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, good boolean, n int")
     marked = lambda t: ["", *words(t), ""]
     vocabulary = {w for _, t, _ in rows for w in marked(t)}
 
     def model(texts):
-        one, two = defaultdict(int), defaultdict(int)
+        one, two, before = defaultdict(int), defaultdict(int), defaultdict(int)
         for t in texts:
             for b, c in zip(marked(t), marked(t)[1:]):
                 one[c] += 1
                 two[b, c] += 1
-
-        def p(b, c):
-            out = (one[c] + len([w for w in one if one[w]]) / len(vocabulary)) / (sum(one.values()) + len([w for w in one if one[w]]))
-            same = {k: n for k, n in two.items() if k[0] == b and n}
-            return (same.get((b, c), 0) + len(same) * out) / (sum(same.values()) + len(same)) if same else out
-
-        return p
+                before[b] += 1
+        total = sum(one.values())
+        return lambda b, c: (two[b, c] + lm_scoring.BACK * (one[c] + 1) / (total + len(vocabulary))) / (before[b] + lm_scoring.BACK)
 
     for labels in ([g for *_, g in rows], [False] * len(rows)):
         good = [t for (_, t, _), g in zip(rows, labels) if g] or [t for _, t, _ in rows]
         models = model(good), model([t for _, t, _ in rows])
         ours = df.drop("good").withColumn("good", F.col("doc_id").isin(1, 3) | F.col("doc_id").isNull() if any(labels) else F.lit(False))
-        got = cross_entropy_difference(ours, "good", keep=("doc_id", "text")).collect()
+        got = lm_scoring.cross_entropy_difference(ours, "good", keep=("doc_id", "text", "n")).collect()
         assert len(got) == len(rows)
         for r in got:
             m = marked(r.text)
@@ -377,15 +336,12 @@ def test_word_language_models_against_brute_force(spark):
             for loss, p in zip((r.target_loss, r.background_loss), models):
                 assert abs(loss - -sum(math.log(p(b, c)) for b, c in zip(m, m[1:])) / (len(m) - 1)) < 1e-9
             assert abs(r.score - (r.target_loss - r.background_loss)) < 1e-12
-    assert cross_entropy_difference(df.limit(0), "good").count() == 0
+    assert lm_scoring.cross_entropy_difference(df.limit(0), "good").count() == 0
 
 
-def test_the_language_model_grows_with_the_corpus(spark):
+def test_language_model_scores_every_whole_text(spark):
     from tidemark.llm.queries import QUERIES
-    from tidemark.llm.word_lm import count_bigrams
 
-    made = lambda n: spark.range(n).select(F.concat_ws(" ", F.sha2(F.col("id").cast("string").cast("binary"), 256), F.lit("end")).alias("text"))
-    assert [count_bigrams(made(n), F.col("text"), F.lit(True)).count() for n in (100, 1000)] == [2 * 100 + 1, 2 * 1000 + 1]
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     tokens = {r.doc_id: r.n_tokens for r in QUERIES["op7_lm_scoring"](spark, "/root/testdata/sf0.001").collect()}
     assert tokens == {r.doc_id: len(words(r.text)) + 1 for r in docs.collect()}

@@ -9,15 +9,19 @@ from pyspark.sql import functions as F
 
 #: Sides of a join that are measured to be at most this large may be broadcast.
 BROADCAST_ROWS = 200_000
+#: The same for tables of ids alone (16 MB), so that texts stay where they are.
+IDS = 2_000_000
 #: Java class of the white space that separates words.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all run on one machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "/tmp/checkpoints/tidemark"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

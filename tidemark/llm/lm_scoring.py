@@ -1,19 +1,27 @@
-"""Language-model scoring by cross-entropy difference.
+"""Language-model scoring by cross-entropy difference, with word bigrams over the whole corpus's vocabulary.
 
-Two n-gram models of one order, smoothing and vocabulary are counted: a target model on documents known to be good and a
-background model on all documents. A document's score is the mean, over its tokens, of its loss under the target minus its
-loss under the background: the lower, the more it is like the target.
+Two models of one order, smoothing and vocabulary are counted: a target model on documents known to be good and a background
+model on all documents. A document's score is the mean, over its tokens, of its loss under the target minus its loss under
+the background: the lower, the more it is like the target.
 
-Tokens are bytes (with a mark for the start and the end of a text), so the shared vocabulary is closed: there are no
-unknown tokens and no cut-off, and a model of order 3 has at most 2**24 n-grams, however large the corpus. Counts cover all
-texts whole; tasks count what they read, and counts are summed by n-gram, so what is shuffled grows with the number of
-tasks. The model that scoring tasks get is bounded by the number of possible n-grams.
+Tokens are runs between white space (with a mark for the start and the end of a text). The vocabulary is every word of the
+corpus, without a cut-off, and what is gathered, all words and all bigrams, grows with the corpus. It never comes to the
+driver, nor whole to any task:
 
-Probabilities are interpolated by Witten-Bell: P(c | ab) = (n(abc) + t(ab) P(c | b)) / (n(ab) + t(ab)), with t the number of
-distinct bytes seen behind; likewise for P(c | b), down to the uniform one.
+1. Rows are packed into chunks of about CHUNK bytes of text, written with all that they carry.
+2. Each chunk sends its distinct words and bigrams, with their counts, to buckets by hash: one entry a chunk, so a word that
+   is in every text costs a bucket as many entries as there are chunks.
+3. A bucket adds the counts up and answers every chunk, entry by entry, in the order in which the chunk has asked.
+4. Chunks meet their answers and score their texts.
+
+A bucket holds about BUCKET_BYTES of text, whatever the size of the corpus.
+
+P(c | b) = (n(bc) + BACK * P(c)) / (n(b) + BACK) and P(c) = (n(c) + 1) / (N + V), with N tokens in the model's texts and V
+distinct words in the corpus. Words and bigrams are told apart by 64-bit hashes.
 
 Results: null texts count as empty (one token, the end mark). Labels other than the target's and null ones do not count. With
-no target document at all, every score is 0. Every row gives one row; repeated rows count as often as they occur.
+no target document at all, every score is 0. Every row gives one row; repeated rows count as often as they occur. An empty
+table gives no rows. Other columns do not matter, those of `keep` may have any name but those of the results.
 """
 
 from __future__ import annotations
@@ -22,116 +30,157 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EDGE = 0  # the mark; a byte 0 in a text counts as the same token
-CHUNK = 1 << 21
+from tidemark.llm.common import saved
+from tidemark.llm.ragged import Words, mix
+
+CHUNK = 1 << 18
+BUCKET_BYTES = 16 << 20
+BACK = 4.0
+_EDGE = np.uint64(0x51ED270B)  # the mark's hash
+_TEXT, _GOOD = "__text", "__good"
+_ANSWER = "chunk long, bucket int, n binary, good binary, kinds long, total long, of_good long"
+
+
+def _zip(x: np.ndarray) -> bytes:
+    return x.nbytes.to_bytes(8, "little") + pa.Codec("zstd", 1).compress(x.tobytes(), asbytes=True)
+
+
+def _unzip(x: bytes) -> np.ndarray:
+    size = int.from_bytes(x[:8], "little")
+    return np.frombuffer(pa.Codec("zstd").decompress(x[8:], size, asbytes=True) if size else b"", np.int64)
+
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """size (bytes of text) and blob (the rows, as compressed Arrow) of chunks of rows."""
+    for b in batches:
+        text = b.column(b.schema.get_field_index(_TEXT))
+        size = np.array(pc.binary_length(text.fill_null("")).to_numpy(zero_copy_only=False), np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(size) // CHUNK, prepend=0)) + 1
+        cuts = np.unique([0, *cuts, len(b)])
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(b.slice(lo, hi - lo))
+            yield pa.RecordBatch.from_arrays([pa.array([int(size[lo:hi].sum())]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["size", "blob"])
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (abc as a number) of all trigrams of marked texts, and where each text's begin."""
-    data = np.frombuffer(b"".join(b"\0\0" + t + b"\0" for t in texts), np.uint8).astype(np.int64)
-    sizes = np.array([len(t) + 3 for t in texts])
-    ends = np.cumsum(sizes)
-    keys = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]
-    inside = np.ones(len(keys), bool)
-    for skip in (1, 2):  # trigrams that begin in a text's last two tokens reach into the next one
-        at = ends[:-1] - skip
-        inside[at[at < len(keys)]] = False
-    return keys[inside], np.concatenate([[0], np.cumsum(sizes - 2)[:-1]])
 
+class Chunk:
+    """A chunk's rows and the hashes of its words and bigrams: for each bigram, `word` (of its second word) and `before`, and where each text's begin."""
 
-def _batches(column) -> Iterator[list[bytes]]:
-    held, size = [], 0
-    for x in column:
-        t = (x.as_py() or "").encode()
-        held.append(t)
-        size += len(t)
-        if size >= CHUNK:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+    def __init__(self, blob: bytes):
+        (self.rows,) = pa.ipc.open_stream(blob)
+        text = self.rows.column(self.rows.schema.get_field_index(_TEXT))
+        w = Words([b" ".join([b"|", *(x.as_py() or "").encode().split(), b"|"]) for x in text])
+        hashed = mix(w.hash + np.uint64(1))
+        hashed[w.first[:-1]] = hashed[w.first[1:] - 1] = _EDGE
+        at = np.flatnonzero(w.text[:-1] == w.text[1:])
+        self.before, self.word = hashed[at], hashed[at + 1]
+        self.pair = mix(mix(self.before) * np.uint64(0x9E3779B97F4A7C15) + self.word)
+        self.start = w.first[:-1] - np.arange(len(text))
+        self.size = np.diff(np.append(self.start, len(at)))
 
+    def column(self, name: str) -> pa.Array:
+        return self.rows.column(self.rows.schema.get_field_index(name))
 
-def count_trigrams(df: DataFrame, text: str, target: str) -> DataFrame:
-    """key, target, n: how often each trigram occurs in texts that are of the target (boolean column), and in all."""
 
+def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the keys (sorted) of each bucket begin, and one more; a bucket is a range of hashes."""
+    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1).astype(np.uint64))
+
+
+def _ask(buckets: int):
+    """bucket, chunk, words (how many of the keys), keys, n, good: what each chunk has counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, blob in zip(b.column("chunk").to_pylist(), b.column("blob"), strict=True):
+                c = Chunk(blob.as_py())
+                of_good = np.repeat(c.column(_GOOD).to_numpy(zero_copy_only=False).astype(float), c.size)
+                parts = []
+                for hashes in (c.word, c.pair):
+                    keys, which, n = np.unique(hashes, return_inverse=True, return_counts=True)
+                    parts.append((keys, n.astype(np.int64), np.bincount(which, of_good, len(keys)).astype(np.int64), _cuts(keys, buckets)))
+                rows: list[tuple] = []
+                for k in range(buckets):
+                    own = [tuple(x[cut[k] : cut[k + 1]] for x in values) for *values, cut in parts]
+                    keys, n, good = (np.concatenate(x) for x in zip(*own, strict=True))
+                    if len(keys):
+                        rows.append((k, number, len(own[0][0]), keys.tobytes(), _zip(n), _zip(good)))
+                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "chunk", "words", "keys", "n", "good"])
+
+    return run
+
+
+def _answer(t: pa.Table) -> pa.Table:
+    """Every row of a bucket with the sums over the whole bucket, and a row for the bucket (chunk -1): distinct words, their number in all and in good texts."""
+    t = t.combine_chunks()
+    keys = [np.frombuffer(x, np.uint64) for x in t.column("keys").to_pylist()]
+    words = t.column("words").to_pylist()
+    counts = [[_unzip(x) for x in t.column(c).to_pylist()] for c in ("n", "good")]
+    sums: list[list[list[np.ndarray]]] = [[], []]  # by count, kind, row
+    whole = [0, 0, 0]
+    for kind in (0, 1):
+        part = lambda x, m: x[:m] if kind == 0 else x[m:]  # noqa: B023, E731
+        own = [part(k, m) for k, m in zip(keys, words, strict=True)]
+        distinct, which = np.unique(np.concatenate(own), return_inverse=True)
+        ends = np.cumsum([len(k) for k in own])[:-1]
+        for i in (0, 1):
+            total = np.bincount(which, np.concatenate([part(x, m) for x, m in zip(counts[i], words, strict=True)]).astype(float), len(distinct)).astype(np.int64)
+            sums[i].append(np.split(total[which], ends))
+            if kind == 0:
+                whole[i + 1] = int(total.sum())
+        if kind == 0:
+            whole[0] = len(distinct)
+    n, good = ([_zip(np.concatenate(x)) for x in zip(*s, strict=True)] for s in sums)
+    none = [None] * len(keys)
+    cols = [t.column("chunk").to_pylist() + [-1], t.column("bucket").to_pylist() + [None], [*n, None], [*good, None], *([*none, x] for x in whole)]
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in _ANSWER.split(", ")])
+
+
+def _score(buckets: int, vocabulary: int, total: int, of_good: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[bool, np.ndarray] = {}
         for b in batches:
-            for good in (True, False):
-                part = b.filter(b.column("good")) if good else b
-                for texts in _batches(part.column("text")):
-                    if good not in total:
-                        total[good] = np.zeros(1 << 24, np.uint32)
-                    key, n = np.unique(tokens(texts)[0], return_counts=True)
-                    total[good][key] += n.astype(np.uint32)
-        for good, n in total.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), good)), pa.array(n[at].astype(np.int64))], ["key", "target", "n"])
-
-    part = df.select(F.col(text).alias("text"), F.coalesce(F.col(target), F.lit(False)).alias("good"))
-    return part.mapInArrow(run, "key int, target boolean, n long").groupBy("key", "target").agg(F.sum("n").alias("n"))
-
-
-def log_probabilities(key: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """ln P of each wanted trigram under the model with these counts (key sorted, distinct)."""
-
-    def back(keys, counts, shift):
-        """Totals and number of followers of each context."""
-        ctx = keys >> shift
-        at = np.flatnonzero(np.diff(ctx, prepend=-1))
-        return ctx[at], np.add.reduceat(counts, at) if len(at) else counts[:0], np.diff(np.append(at, len(ctx)))
-
-    def look(keys, values, at):
-        i = np.minimum(np.searchsorted(keys, at), max(len(keys) - 1, 0))
-        return np.where(keys[i] == at, values[i], 0).astype(float) if len(keys) else np.zeros(len(at))
-
-    low_key = key & 0xFFFF
-    o = np.argsort(low_key, kind="stable")
-    pair, first = np.unique(low_key[o], return_index=True)
-    pair_n = np.add.reduceat(n[o], first) if len(first) else n[:0]
-    one_key = pair & 0xFF
-    o = np.argsort(one_key, kind="stable")
-    one, first = np.unique(one_key[o], return_index=True)
-    one_n = np.add.reduceat(pair_n[o], first) if len(first) else n[:0]
-    total, kinds = float(one_n.sum()), float(len(one))
-    p = (look(one, one_n, wanted & 0xFF) + kinds / 256) / (total + kinds) if total else np.full(len(wanted), 1 / 256)
-    for keys, counts, at in ((pair, pair_n, wanted & 0xFFFF), (key, n, wanted)):
-        ctx, ctx_n, followers = back(keys, counts, 8)
-        c, t = look(ctx, ctx_n, at >> 8), look(ctx, followers, at >> 8)
-        p = np.where(c > 0, (look(keys, counts, at) + t * p) / np.maximum(c + t, 1), p)
-    return np.log(p)
+            for blob, answers in zip(b.column("blob"), b.column("answers"), strict=True):
+                c = Chunk(blob.as_py())
+                by_bucket = {a["bucket"]: (_unzip(a["n"]), _unzip(a["good"])) for a in answers.as_py()}
+                looked = []
+                uniques = [np.unique(x, return_inverse=True) for x in (c.word, c.pair)]
+                cuts = [_cuts(keys, buckets) for keys, _ in uniques]
+                for i in (0, 1):
+                    known = ([], [])
+                    for k in sorted(by_bucket):
+                        m = cuts[0][k + 1] - cuts[0][k]
+                        known[0].append(by_bucket[k][i][:m])
+                        known[1].append(by_bucket[k][i][m:])
+                    word, pair = (np.concatenate(x)[which] for x, (_, which) in zip(known, uniques, strict=True))
+                    # every word of a text stands before another, and the mark stands before as many as it ends
+                    at = np.searchsorted(uniques[0][0], c.before)
+                    looked.append((word, pair, np.concatenate(known[0])[at]))
+                losses = []
+                for (word, pair, before), size in ((looked[1 if of_good else 0], of_good or total), (looked[0], total)):
+                    p = (pair + BACK * (word + 1) / (size + vocabulary)) / (before + BACK)
+                    losses.append(np.add.reduceat(-np.log(p), c.start) / c.size)
+                rest = [i for i, name in enumerate(c.rows.schema.names) if name not in (_TEXT, _GOOD)]
+                new = [pa.array(c.size, pa.int64()), *map(pa.array, losses), pa.array(losses[0] - losses[1])]
+                yield pa.RecordBatch.from_arrays([*(c.rows.column(i) for i in rest), *new], [*(c.rows.schema.names[i] for i in rest), "n_tokens", "target_loss", "background_loss", "score"])
+
+    return run
 
 
 def cross_entropy_difference(df: DataFrame, target: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of `keep`, n_tokens, target_loss, background_loss (nats a token), score for each row of df; target: a boolean column."""
-    counts = count_trigrams(df, text, target).orderBy("key").toArrow()  # at most 2 * 2**24 rows, whatever the input
-    key, good, n = (counts.column(c).to_numpy() for c in ("key", "target", "n"))
-    key = key.astype(np.int64)
-    wanted = np.unique(key)
-    background = log_probabilities(key[~good], n[~good], wanted)
-    of_target = log_probabilities(key[good], n[good], wanted) if good.any() else background
-    model = df.sparkSession.sparkContext.broadcast((wanted.astype(np.int32), of_target.astype(np.float32), background.astype(np.float32)))
-    rows = df.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"), "n_tokens long", "target_loss double", "background_loss double"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, *tables = model.value
-        for b in batches:
-            n, losses = [], ([], [])
-            for texts in _batches(b.column(b.schema.get_field_index("__text"))):
-                keys, start = tokens(texts)
-                at = np.searchsorted(known, keys.astype(np.int32))
-                size = np.diff(np.append(start, len(keys)))
-                n.append(size)
-                for out, table in zip(losses, tables, strict=True):
-                    out.append(-np.add.reduceat(table[at].astype(np.float64), start) / size)
-            rest = [k for k, name in enumerate(b.schema.names) if name != "__text"]
-            new = [pa.array(np.concatenate(x) if x else []) for x in (n, *losses)]
-            new = [x.cast(t) for x, t in zip(new, (pa.int64(), pa.float64(), pa.float64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in rest), *new], [*(b.schema.names[k] for k in rest), "n_tokens", "target_loss", "background_loss"])
-
-    return rows.mapInArrow(run, schema).withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    rows = df.select(*keep, F.col(text).alias(_TEXT), F.coalesce(F.col(target), F.lit(False)).alias(_GOOD))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema), "n_tokens long, target_loss double, background_loss double, score double"])
+    chunks = saved(rows.mapInArrow(_pack, "size long, blob binary").withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    buckets = max(16, -(-(chunks.agg(F.sum("size")).first()[0] or 0) // BUCKET_BYTES))
+    asked = chunks.select("chunk", "blob").mapInArrow(_ask(buckets), "bucket int, chunk long, words int, keys binary, n binary, good binary")
+    answers = saved(asked.groupBy("bucket").applyInArrow(_answer, _ANSWER), "answers")
+    whole = answers.where("chunk = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("kinds", "total", "of_good"))).first()
+    by_chunk = answers.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "good")).alias("answers"))
+    return chunks.select("chunk", "blob").join(by_chunk, "chunk").select("blob", "answers").mapInArrow(_score(buckets, whole["kinds"], whole["total"], whole["of_good"]), schema)

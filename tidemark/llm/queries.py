@@ -63,10 +63,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.word_lm import cross_entropy_difference
+    from tidemark.llm.common import IDS, saved, small
+    from tidemark.llm.lm_scoring import cross_entropy_difference
 
-    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct()
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
+    good = _table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("good", F.lit(True))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").join(small(saved(good, "good"), IDS), "doc_id", "left")
     return cross_entropy_difference(docs, "good")
 
 
