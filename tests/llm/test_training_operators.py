@@ -88,6 +88,58 @@ def test_near_duplicates(docs, corpus):
     assert find(67) == find(80) == 60
 
 
+def test_registers_match_with_the_probability_of_the_similarity():
+    from tidemark.llm.minhash_dedup import REGISTERS, collision, estimate, registers
+
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(0, 2**64 - 1, n, dtype=np.uint64)
+    for n, m, shared in ((9, 8, 8), (40, 36, 33), (400, 380, 350), (3000, 2900, 2600), (6, 5, 0), (900, 300, 0)):
+        got = []
+        for _ in range(120):
+            both = draw(shared)
+            a, b = np.sort(np.concatenate([both, draw(n - shared)])), np.sort(np.concatenate([both, draw(m - shared)]))
+            x = registers(np.concatenate([a, b]), np.array([0, n]))
+            got.append(float(estimate(x[0], x[1], np.array(n), np.array(m))))
+        assert abs(np.mean(got) - shared / (n + m - shared)) < 0.01
+    # disjoint sets: the share of equal registers is the derived probability
+    for n, m in ((2000, 2000), (5000, 500), (64, 64)):
+        equal = []
+        for _ in range(600):
+            x = registers(np.concatenate([draw(n), draw(m)]), np.array([0, n]))
+            equal.append((x[0] == x[1]).mean())
+        want = float(collision(np.array(n), np.array(m)))
+        assert abs(np.mean(equal) - want) < 6 * (want / (600 * REGISTERS)) ** 0.5 + 1e-4
+
+
+def test_near_copies_around_the_threshold_lose_no_link(spark, monkeypatch):
+    """A chain of near copies, most pairs of which are just above or below the threshold, in blocks of a few members."""
+    from tidemark.llm import minhash_dedup
+
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(11)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for i in range(240):
+        w = list(base)
+        for at in rng.choice(60, int(rng.integers(0, 4)), replace=False):
+            w[at] = f"x{int(rng.integers(0, 30))}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, f"a{i % 7} b c d e f g h{i % 3}") for i in range(40)]
+    sets = {i: {tuple(t.split()[p : p + 5]) for p in range(len(t.split()) - 4)} for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(sorted(sets), 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in sets}
+    assert len(set(got.values())) > 20
+
+
 def test_token_counts(spark, corpus):
     import public_tokenizers
 
