@@ -247,14 +247,45 @@ def test_mixed_text_holds_what_the_plan_takes(spark):
         for w in r.text.split():
             seen[int(w[1 : w.index("w")])] += 1
     assert {k: v for k, v in taken.items() if v} == dict(seen)
+    # repeated and null ids, and a text of many blocks, take part as rows of their own
+    odd = spark.createDataFrame([(1, "a b c", "x", 9), (1, "a b c", "x", 9), (None, "n m", "x", 9), (2, "w " * 5000, None, 9), (3, None, "x", 9)], "doc_id long, text string, source string, shard int")
+    assert sum(len(r.text.split()) for r in mixed_text(odd, block=8).collect()) == sum(r.taken for r in mix(odd, block=8).collect()) > 5000
 
 
 def test_shuffle_is_a_permutation(spark):
-    from tidemark.llm.mixing import shuffled
+    from tidemark.llm.mixing import points, shuffled
 
     for n in (1, 2, 37, 1000):
-        got = [r.x for r in spark.range(n).select(shuffled(F.col("id"), F.lit(n).cast("long"), F.lit("k")).alias("x")).collect()]
+        got = [r.x for r in spark.range(n).select(shuffled(F.col("id"), F.lit(n).cast("long"), F.lit("k"), points(F.lit("k"))).alias("x")).collect()]
         assert sorted(got) == list(range(n))
+    assert abs(np.corrcoef(got, range(n))[0, 1]) < 0.1
+
+
+def test_shards_draw_multinomial_counts_that_meet_the_totals(spark):
+    from tidemark.llm.mixing import shard_counts
+
+    slots, width = [30_000, 20_000, 9_000, 1_000, 0, 7], 400
+    ends = np.cumsum(slots).tolist()
+    sources = spark.createDataFrame([(k + 1, 20_000, n, e - n, e) for k, (n, e) in enumerate(zip(slots, ends))], "rank int, blocks long, slots long, begin long, end long")
+    ratios = []
+    for seed in (1, 2, 3):
+        got = shard_counts(sources, width, seed).collect()
+        by = defaultdict(dict)
+        for r in got:
+            by[r["rank"]][r.shard] = (r.n, r["first"])
+        assert {k: sum(n for n, _ in v.values()) for k, v in by.items()} == {k + 1: n for k, n in enumerate(slots) if n}
+        shards = defaultdict(int)
+        for v in by.values():
+            at = 0
+            for shard in sorted(v):
+                assert v[shard][1] == at  # numbered on from the shard before
+                at += v[shard][0]
+                shards[shard] += v[shard][0]
+        assert set(list(shards.values())[:-1]) <= {width, sum(slots) % width} and sum(shards.values()) == sum(slots)
+        for k in (1, 2, 3):
+            p = slots[k - 1] / sum(slots)
+            ratios.append(np.var([by[k].get(s, (0, 0))[0] for s in range(sum(slots) // width)]) / (width * p * (1 - p)))
+    assert all(0.6 < x < 1.5 for x in ratios) and 0.8 < np.mean(ratios) < 1.2
 
 
 def test_nearest_neighbours(spark):

@@ -59,8 +59,8 @@ from d left join words using (doc_id) left join items using (doc_id)
 
 
 def _op9() -> str:
-    """The mix in SQL: the same permutations, a nested query for each round."""
-    from tidemark.llm.mixing import GROUP_ROWS, ROUNDS
+    """The mix in SQL: the same draws and permutation, a nested query for each round."""
+    from tidemark.llm.mixing import ROUNDS
 
     def bits(x: str, digits: int) -> str:
         return f"cast('0x' || substr(md5({x}), 1, {digits}) as bigint)"
@@ -76,8 +76,9 @@ def _op9() -> str:
             steps.append(f"{name}{i + 1} as materialized (select * exclude (m, x), case when {swap} < '8' then m else x end as x from {name}m{i})")
         return ", ".join(steps) + f", {name} as (select * from {name}{ROUNDS})"
 
-    places = shuffled("slots", "slot", "total", "'1:slots'", "placed")
     blocks = shuffled("dealt", "idx", "blocks", "'1:' || cast(rank as varchar) || ':' || cast(epoch as varchar)", "picked")
+    draw = bits("'1:draw:' || cast(slot as varchar)", 12)
+    spread = bits("coalesce(cast(doc_id as varchar), '') || ':' || cast(size as varchar)", 8)
     return rf"""
 with sized as (select doc_id, source, cast(len(WORDS) as bigint) as size from documents),
 s0 as (select source, sum(size) as source_size from sized group by 1),
@@ -95,18 +96,28 @@ aims as (select source, cast(source_size as bigint) as source_size, rank, least(
 c0 as (select rank, source_size, target, cast(ceil(source_size / 128) as bigint) as blocks from aims),
 c1 as (select rank, blocks, case when blocks > 0 then cast(least(floor(target * blocks / source_size + 0.5), blocks * 2) as bigint) else 0 end as slots from c0),
 c2 as (select rank, blocks, slots, cast(sum(slots) over (order by rank) as bigint) as stop from c1),
-slots as (select unnest(range(t)) as slot, t as total from (select cast(sum(slots) as bigint) as t from c1)),
-{places},
-dealt as (
-  select slot, rank, blocks, (x - (stop - slots)) // blocks as epoch, (x - (stop - slots)) % blocks as idx
-  from placed join c2 on x >= stop - slots and x < stop
+slots as materialized (select slot, slot // 4096 as shard, {draw} / 281474976710656.0::double as u from (select unnest(range(cast(sum(slots) as bigint))) as slot from c1)),
+ends as (select rank, cast(stop - slots as double) / max(stop) over () as lo, cast(stop as double) / max(stop) over () as hi from c2),
+draws as materialized (select shard, rank, count(*) as n from slots join ends on u >= lo and u < hi group by 1, 2),
+off as (select rank, coalesce(got, 0) as got, coalesce(got, 0) - slots as over_ from c2 left join (select rank, cast(sum(n) as bigint) as got from draws group by 1) using (rank)),
+above as (select shard, rank, n, cast(sum(n) over (partition by rank order by shard) as hugeint) as upto, over_, got from draws join off using (rank) where over_ > 0),
+given as materialized (select shard, rank, cast(upto * over_ // got - (upto - n) * over_ // got as bigint) as given from above),
+freed as (select shard, f, sum(f) over (order by shard) - f as since from (select shard, sum(given) as f from given group by 1)),
+needs as (select rank, sum(-over_) over (order by rank) as upto, -over_ as m from off where over_ < 0),
+taken as (select shard, rank, least(upto, since + f) - greatest(upto - m, since) as n from freed join needs on since < upto and upto - m < since + f),
+counts as (
+  select shard, rank, cast(sum(n) as bigint) as n from (
+    select shard, rank, n from draws union all select shard, rank, -given from given union all select shard, rank, n from taken) group by 1, 2
 ),
+firsts as (select *, cast(sum(n) over (partition by rank order by shard) as bigint) - n as begun from counts),
+each as (select rank, begun + i as k from (select rank, begun, unnest(range(n)) as i from firsts)),
+dealt as (select rank, blocks, k // blocks as epoch, k % blocks as idx from each join c2 using (rank)),
 {blocks},
 times as (select rank, x as block, count(*) as times from picked group by 1, 2),
-g as (select greatest(1, cast(ceil(count(*) / {GROUP_ROWS}) as bigint)) as g from sized),
+g as (select greatest(1, cast(ceil(sqrt(count(*))) as bigint)) as g from sized),
 laid as (
   select doc_id, size, rank, source_size, target, sum(size) over (
-    partition by rank order by ((coalesce(doc_id, 0) % g) + g) % g, doc_id, size rows between unbounded preceding and current row) - size as start
+    partition by rank order by {spread} % g, doc_id, size rows between unbounded preceding and current row) - size as start
   from sized join aims on sized.source is not distinct from aims.source, g
 ),
 cut as (
