@@ -162,7 +162,7 @@ def test_line_dedup(spark, lines):
     rng = np.random.default_rng(2)
     texts = ["\n".join(rng.choice(list("abcdef"), int(rng.integers(1, 9)))) for _ in range(25)] + [None, "", "\n\n", "y" * 120, "q\n" + "y" * 120]
     rows = list(enumerate(texts))
-    seen, longs, want = set(), set(), []
+    seen, longs, want, removed = set(), set(), [], []
     for _, t in rows:
         own, gone = (t.split("\n") if t is not None else []), set()
         for p in range(len(own)):
@@ -176,10 +176,23 @@ def test_line_dedup(spark, lines):
                     gone.add(p)
                 longs.add(own[p])
         want.append(None if t is None else "\n".join(x for p, x in enumerate(own) if p not in gone))
-    df = spark.createDataFrame([(i, t, 0) for i, t in rows] + [(None, "a\nb", 0)], "doc_id long, text string, n_removed int").drop("n_removed")
-    got = {r.doc_id: r.text for r in dedup_lines(df, lines=lines).collect()}
-    assert [got[i] for i, _ in rows] == want
-    assert got[None] == "a\nb"
+        removed.append(len(gone))
+    df = spark.createDataFrame([(i, t, 0, "k") for i, t in rows] + [(None, "a\nb", 0, "k")], "doc_id long, text string, n_removed int, key string")
+    got = {r.doc_id: r for r in dedup_lines(df, lines=lines).collect()}
+    assert [got[i].text for i, _ in rows] == want
+    assert got[None].text == "a\nb"
+    assert [got[i].n_removed for i, _ in rows] == removed
+
+
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    from tidemark.llm.line_dedup import dedup_lines, repeated_runs
+
+    rows = [(1, "a\nb\nc\nd\ne"), (1, "a\nb\nc\nd\ne"), (1, "x\na\nb\nc\nd\ny"), (2, "q\nb\nc\nd\ne\nr\nq\nb"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text or "") for r in dedup_lines(df).collect()) == sorted([(1, rows[0][1]), (1, rows[0][1]), (1, "x\ny"), (2, "q\nr"), (3, "")])
+    runs = sorted((r.doc, r.lo, r.hi, r.source.doc, r.source.at) for r in repeated_runs(df).collect())
+    assert runs == [(1, 1, 5, 1, 0), (2, 1, 5, 1, 1), (2, 6, 8, 2, 0)]
+    assert dedup_lines(df.limit(0)).count() == 0
 
 
 def test_decontamination(spark):

@@ -41,6 +41,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(df: DataFrame) -> None:
+    """Deletes the files of a saved table that nothing is going to read any more; they would go at the application's end."""
+    files = df.inputFiles()
+    if files:
+        jvm, context = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(context.hadoopConfiguration()).delete(folder, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else df as it is; df should be a saved table, whose count is in its footers."""
     return F.broadcast(df) if df.count() <= rows else df
