@@ -2,10 +2,12 @@
 
 import hashlib
 import re
+import uuid
 from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -309,7 +311,7 @@ def test_nearest_neighbours(spark):
     x[100:400] = x[7]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5050, [0.0] * 16), (5100, [float("nan")] * 16), (5150, [None] * 16), (5200, [1.0] * 3), (None, x[3].tolist())]
     df = spark.createDataFrame([(i, v, 0.5) for i, v in rows], "vec_id long, embedding array<double>, score double")
-    got = nearest(df, df.where("vec_id % 50 = 0"), least=1200).collect()
+    got = nearest(df, df.where("vec_id % 50 = 0")).collect()
     by = defaultdict(dict)
     for r in got:
         by[r.query_id][r["rank"]] = (r.vec_id, r.score)
@@ -379,24 +381,30 @@ def test_toxicity_sees_what_lies_behind_long_beginnings(spark):
     assert {w for w in marked_words("ab cd-e")} == {"<ab>", "<cd-e>"}
 
 
-def test_nearest_neighbours_come_by_the_forest_alone(spark):
+@pytest.mark.parametrize("kind", ["isotropic", "clustered"])
+def test_recall_of_the_forest_alone(spark, kind):
+    """More vectors than are fitted on and than any bound is taken from; recall follows `miss`, so it is the forest that decides."""
     from tidemark.llm.ann import nearest
 
     rng = np.random.default_rng(12)
-    x = rng.normal(size=(40, 16)).repeat(250, axis=0) + rng.normal(size=(10_000, 16))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    n, dim = 24_000, 24
+    x = rng.normal(size=(n, dim)) if kind == "isotropic" else rng.normal(size=(200, dim)).repeat(n // 200, axis=0) + 0.7 * rng.normal(size=(n, dim))
+    path = f"/tmp/tidemark-tests/{uuid.uuid4().hex}"
+    spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)})).repartition(8).write.parquet(path)
+    df = spark.read.parquet(path)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    asked = range(0, 10_000, 100)
+    asked = range(0, n, 100)
+    want = {q: set(np.argsort(-(u @ u[q]))[:6].tolist()) - {q} for q in asked}
 
     def recall(**how):
         by = defaultdict(set)
-        for r in nearest(df, df.where("vec_id % 100 = 0"), max_fit=1000, leaf=32, **how).collect():
+        for r in nearest(df, df.where("vec_id % 100 = 0"), max_fit=6000, **how).collect():
             assert abs(u[r.query_id] @ u[r.vec_id] - r.score) < 1e-12
             by[r.query_id].add(r.vec_id)
-        return sum(len(by[q] & (set(np.argsort(-(u @ u[q]))[:6].tolist()) - {q})) for q in asked) / (5 * len(asked))
+        return sum(len(by[q] & want[q]) for q in asked) / (5 * len(asked))
 
-    assert recall(least=1, share=0.0) < 0.6  # one leaf of one tree
-    assert recall(least=2000, share=0.5) >= 0.9
+    assert recall(miss=0.7) < 0.7
+    assert recall() >= 0.93
 
 
 def test_language_models_against_brute_force(spark):

@@ -1,22 +1,28 @@
 """Approximate nearest neighbours: a forest of random-projection trees, one priority queue for all trees, exact reranking.
 
 A tree splits vectors by the hyperplane between two sampled ones, at the median, until leaves are small. A query walks all
-trees through one shared queue, always following the branch that is least beyond its hyperplanes, until the leaves it has
-reached hold enough candidates. Candidates are reranked by exact cosine in double precision; no others are in the result.
+trees through one shared queue, always following the branch that most likely holds a neighbour. That probability is the
+product, over the hyperplanes passed, of the chance that a vector at the usual cosine of near neighbours (measured on the
+sample) lies on the branch's side, given the query's own place. The walk ends when the chance that a neighbour is in none of
+the visited leaves, tree by tree multiplied, is below `miss`; so queries visit as many leaves as their geometry asks for: few
+in clustered data, more in isotropic ones. Candidates, the vectors in visited leaves, are reranked by exact cosine in double
+precision; no others are in the result.
 
 The hyperplanes are fitted on the driver on a bounded sample (`max_fit` vectors); every vector is indexed, by a join of
-vectors and queries on (tree, leaf). Equal vectors form a class and are searched as one, with the k + 1 smallest ids of the
-class, which are all that can be among a query's k nearest; so a vector that a third of all rows share is one candidate.
-Leaves are dealt out in blocks of bounded size.
+vectors and queries on (tree, leaf), for bundles of neighbouring leaves at a time. Equal vectors form a class and are searched
+as one, with the k + 1 smallest ids of the class, which are all that can be among a query's k nearest; so a vector that a
+third of all rows share is one candidate. Bundles are dealt out in blocks of bounded size.
 
 Results: null and zero vectors, and those with null or non-finite components, take no part; nor do vectors whose length is
 not the most frequent one (ties: the shorter), or rows with a null id. Rows of one id and different vectors are candidates
-each; an id is never its own neighbour. Fewer candidates than k give fewer rows. Other columns do not matter.
+each; an id is never its own neighbour. Fewer candidates than k give fewer rows. Empty tables give no rows. Other columns do
+not matter.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,20 +35,24 @@ from tidemark.llm.common import saved
 
 #: Sampled vectors of the first leaves that a query visits, from which it takes its bound: what is further off than the
 #: k + 1 best of them is in no result, so blocks need not return it. They bound alone; what is returned comes from blocks.
-FIRST = 8192
-#: Vectors of a leaf that meet in one task with the leaf's queries.
-BLOCK = 4096
+FIRST = 2048
+#: Leaves that are reranked together, and vectors of them that meet in one task with their queries.
+BUNDLE, BLOCK = 64, 4096
+#: ln of the normal distribution function on a grid.
+_GRID = np.linspace(-9, 9, 3601)
+_LOG_PHI = np.log([0.5 * math.erfc(-g / math.sqrt(2)) for g in _GRID])
 
 
 @dataclass
 class Forest:
-    """Nodes of all trees. child: two for each inner node; a leaf's are -1 and its number. root: of each tree. count: of a leaf's vectors in the sample."""
+    """Nodes of all trees. child: two for each inner node; a leaf's are -1 and its number. root: of each tree. count: of a leaf's vectors in the sample. near: cosine of a vector and its fifth neighbour in the sample."""
 
     plane: np.ndarray
     offset: np.ndarray
     child: np.ndarray
     root: np.ndarray
     count: np.ndarray
+    near: float = 0.5
 
 
 def grow(sample: np.ndarray, trees: int, leaf: int, seed: int = 3) -> Forest:
@@ -71,7 +81,15 @@ def grow(sample: np.ndarray, trees: int, leaf: int, seed: int = 3) -> Forest:
 
     for _ in range(trees):
         root.append(node(np.arange(len(sample))))
-    return Forest(np.array(plane), np.array(offset), np.array(child), np.array(root), np.array(count))
+    return Forest(np.array(plane), np.array(offset), np.array(child), np.array(root), np.array(count), usual_cosine(sample, rng))
+
+
+def usual_cosine(sample: np.ndarray, rng: np.random.Generator, rows: int = 256) -> float:
+    """The median cosine of some vectors and their fifth neighbours."""
+    if len(sample) < 7:
+        return 0.5
+    s = sample[rng.choice(len(sample), min(len(sample), rows), replace=False)] @ sample.T
+    return float(np.clip(np.median(np.partition(s, -6, axis=1)[:, -6]), 0.05, 0.999))
 
 
 def leaves(f: Forest, x: np.ndarray) -> np.ndarray:
@@ -89,26 +107,28 @@ def leaves(f: Forest, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(f: Forest, q: np.ndarray, enough: int) -> list[list[int]]:
-    """For each query the leaves that it visits: by one queue over all trees, until they hold `enough` vectors of the sample."""
-    margin = q @ f.plane.T - f.offset
-    child, count = f.child.tolist(), f.count.tolist()
+def search(f: Forest, q: np.ndarray, miss: float) -> list[list[int]]:
+    """For each query the leaves that it visits: by one queue over all trees, the likeliest first, until a neighbour is in none of them with a chance below `miss`."""
+    spread = math.sqrt((1 - f.near**2) / q.shape[1])
+    child = f.child.tolist()
     out = []
-    for row in margin:
-        m = row.tolist()
-        heap = [(-np.inf, r) for r in f.root.tolist()]
+    for row in q:
+        z = np.clip((f.near * (f.plane @ row) - f.offset) / spread, -9, 9)
+        right, left = (-np.interp(z, _GRID, _LOG_PHI)).tolist(), (-np.interp(-z, _GRID, _LOG_PHI)).tolist()
+        heap = [(0.0, r, t) for t, r in enumerate(f.root.tolist())]
         heapq.heapify(heap)
-        got, found = [], 0
-        while heap and found < enough:
-            far, n = heapq.heappop(heap)
-            left, right = child[n]
-            if left < 0:
-                got.append(right)
-                found += count[right]
+        got, away = [], [1.0] * len(f.root)
+        while heap:
+            far, n, t = heapq.heappop(heap)
+            a, b = child[n]
+            if a >= 0:
+                heapq.heappush(heap, (far + left[n], a, t))
+                heapq.heappush(heap, (far + right[n], b, t))
                 continue
-            d = m[n]
-            heapq.heappush(heap, (max(far, d), left))
-            heapq.heappush(heap, (max(far, -d), right))
+            got.append(b)
+            away[t] = max(0.0, away[t] - math.exp(-far))
+            if math.prod(away) <= miss:
+                break
         out.append(got)
     return out
 
@@ -165,10 +185,10 @@ def _last(s: np.ndarray, k: int) -> np.ndarray:
     return np.partition(s, at, axis=1)[:, at] if s.shape[1] else np.full(len(s), -np.inf)
 
 
-def nearest(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 5, trees: int = 16, leaf: int = 128, share: float = 0.5, least: int = 8000, max_fit: int = 100_000) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 5, trees: int = 8, leaf: int = 32, miss: float = 0.04, max_fit: int = 100_000) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (cosine): the k nearest found of each row of queries (vec_id, embedding) in df.
 
-    A query's leaves hold at least `least` vectors, and `share` of the sample, counted with repeats between trees.
+    miss: the estimated chance that a neighbour is in no visited leaf; recall is about 1 - miss or better.
     """
     every = saved(classes(df, vec_id, embedding, k), "classes")
     n = every.count()
@@ -182,7 +202,6 @@ def nearest(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     grown = grow(x, trees, leaf)
     forest = df.sparkSession.sparkContext.broadcast(grown)
-    enough = max(least, int(share * len(x)))
     sample = df.sparkSession.sparkContext.broadcast((x.astype(np.float32), *members(grown, x)))  # at most max_fit vectors
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +216,7 @@ def nearest(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding
             if len(b):
                 u = _unit(b.column("vector"))
                 u = u / np.linalg.norm(u, axis=1, keepdims=True)
-                found = search(forest.value, u, enough)
+                found = search(forest.value, u, miss)
                 vectors, rows, start = sample.value
                 near = [first_rows(rows, start, visited, FIRST) for visited in found]
                 # fewer than k + 1 vectors bound nothing; single precision is off by less than 1e-5
@@ -208,13 +227,17 @@ def nearest(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding
     asked = queries.select(F.col(vec_id).cast("long").alias("query_id"), _vector(queries, embedding).cast(kind).alias("v")).where("query_id is not null and v is not null")
     asked = asked.select("query_id", F.xxhash64("v").alias("class"), F.xxhash64(F.lit(1), "v").alias("class2"))
     some = every.join(asked.select("class", "class2").distinct(), ["class", "class2"]).select("class", "class2", "vector")
+    bundle = F.floor(F.col("leaf") / BUNDLE).cast("int").alias("bundle")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     index = every.mapInArrow(place, "class long, class2 long, vector " + kind + ", ids array<long>, leaves array<long>").select("vector", "ids", F.explode("leaves").alias("leaf"))
-    # a leaf of many vectors is dealt to several blocks, and its queries go to each of them
-    size = saved(index, "index")
-    blocks = size.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    index = size.join(blocks, "leaf").select("leaf", F.pmod(F.xxhash64("ids"), F.col("blocks")).cast("int").alias("block"), F.lit(None).cast("long").alias("class"), F.lit(None).cast("long").alias("class2"), "vector", F.lit(None).cast("double").alias("bound"), "ids")
-    visits = some.mapInArrow(visit, "class long, class2 long, vector " + kind + ", bound double, leaves array<long>").select("class", "class2", "vector", "bound", F.explode("leaves").alias("leaf"))
-    visits = visits.join(blocks, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class", "class2", "vector", "bound", F.lit(None).cast("array<long>").alias("ids"))
+    index = saved(index.select(bundle, "leaf", "vector", "ids"), "index")
+    # a bundle of many vectors is dealt to several blocks, and its queries go to each of them
+    blocks = index.groupBy("bundle").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    index = index.join(blocks, "bundle").select("bundle", F.pmod(F.xxhash64("ids"), F.col("blocks")).cast("int").alias("block"), none("long", "class"), none("long", "class2"), "vector", none("double", "bound"), "ids", F.array("leaf").alias("leaves"))
+    visits = some.mapInArrow(visit, "class long, class2 long, vector " + kind + ", bound double, leaves array<long>")
+    at = F.explode(F.array_distinct(F.transform("leaves", lambda n: F.floor(n / BUNDLE).cast("int")))).alias("bundle")
+    visits = visits.select("*", at).withColumn("leaves", F.filter("leaves", lambda n: F.floor(n / BUNDLE) == F.col("bundle")))
+    visits = visits.join(blocks, "bundle").select("bundle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class", "class2", "vector", "bound", none("array<long>", "ids"), "leaves")
 
     def rerank(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -223,17 +246,23 @@ def nearest(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding
         cols: tuple[list, ...] = ([], [], [], [])
         if len(asks) and len(have):
             v, ids = _unit(have.column("vector")), have.column("ids").to_pylist()
+            own = np.array(have.column("leaves").combine_chunks().flatten()) % BUNDLE
             c1, c2 = asks.column("class").to_pylist(), asks.column("class2").to_pylist()
             for lo in range(0, len(asks), 512):
-                s = _cosine(_unit(asks.column("vector").slice(lo, 512)), v)
+                some = asks.slice(lo, 512)
+                visited = np.zeros((len(some), BUNDLE), bool)
+                lists = some.column("leaves").to_pylist()
+                visited[np.repeat(np.arange(len(some)), [len(x) for x in lists]), np.concatenate(lists) % BUNDLE] = True
+                candidate = visited[:, own]
+                s = np.where(candidate, _cosine(_unit(some.column("vector")), v), -np.inf)
                 # of the block's k + 1 best (and ties) those that are within the query's bound
-                last = np.maximum(_last(s, k), asks.column("bound").slice(lo, 512).to_numpy())
-                for i, j in zip(*np.nonzero(s >= last[:, None]), strict=True):
+                last = np.maximum(_last(s, k), some.column("bound").to_numpy())
+                for i, j in zip(*np.nonzero((s >= last[:, None]) & candidate), strict=True):
                     for c, x in zip(cols, (c1[lo + i], c2[lo + i], float(s[i, j]), ids[j]), strict=True):
                         c.append(x)
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.list_(pa.int64()))], ["class", "class2", "score", "ids"])
 
-    found = visits.unionByName(index).groupBy("leaf", "block").applyInArrow(rerank, "class long, class2 long, score double, ids array<long>")
+    found = visits.unionByName(index).groupBy("bundle", "block").applyInArrow(rerank, "class long, class2 long, score double, ids array<long>")
     each = found.select("class", "class2", F.explode("ids").alias("vec_id"), "score").groupBy("class", "class2", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("class", "class2").orderBy(F.desc("score"), "vec_id")
     best = each.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
