@@ -3,11 +3,17 @@
 Windows of k words are dealt out by their minimiser (the smallest hash of a run of m words inside the window). Consecutive
 windows of a document that share a minimiser travel together, as one packed string, to the minimiser's bucket; in the
 bucket the windows are sorted and compared exactly. Equal packed strings of a block travel once, with the list of their
-places, so copies cost a few bytes each. What a bucket finds goes back to its documents as word ranges.
+places, so copies cost a few bytes each. What a bucket finds goes back to its documents as word ranges; texts are moved for
+that only if they lose words.
+
+Buckets hold BUCKET_BYTES of text on average. A minimiser of HOT windows or more (a frequent run of words), by the count of a
+sample of the rows, is split: its windows go one by one to buckets by a hash of all their words, so equal windows still meet.
+The sample decides about nothing but the way.
 
 Results: a word is removed if a window that covers it also starts in a document with a smaller id. Null and empty texts
 have no words. Rows with a null id keep all their words and remove none. Rows that share an id are one document for the
-comparison (they never remove each other's words) and each gets its own row. Other columns do not matter.
+comparison (they never remove each other's words) and each gets its own row; texts of one id are told apart by 64-bit hashes.
+Empty tables give no rows. Other columns do not matter.
 """
 
 from __future__ import annotations
@@ -19,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_bytes
+from tidemark.llm.common import IDS, saved, small, text_bytes
 from tidemark.llm.ragged import Words, chunks, gather, prefix_sums, range_hash, same_bytes
 
 #: Bytes of text whose windows meet in one bucket, on average.
 BUCKET_BYTES = 2 << 20
+#: Windows of one minimiser that are split, and the share of rows (and bytes, at least) that are sampled to find them.
+HOT, SAMPLE, SAMPLE_BYTES = 1 << 20, 0.01, 64 << 20
 #: Packed bytes that a task holds before it sends them off.
 BLOCK_BYTES = 16 << 20
 _PACKED = "bucket int, texts binary, sizes binary, place binary, doc binary, tag binary, word binary"
@@ -39,27 +47,57 @@ def _unzip(x: bytes, kind=None):
     return raw if kind is None else np.frombuffer(raw, kind)
 
 
-def super_k_mers(w: Words, k: int, m: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, number of windows, and bucket of each run of windows with one minimiser."""
+def minimisers(w: Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest hash of a run of m words inside the window of k words at each word, and whether there is such a window inside the text."""
     at, gram = w.grams(m)
     every = np.full(len(w.start), np.uint64(2**64 - 1))
     every[at] = gram
     n = len(w.start) - k + 1
     if n <= 0:
-        return (np.zeros(0, np.int64),) * 3
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
     least = every[:n].copy()
     for j in range(1, k - m + 1):
         np.minimum(least, every[j : j + n], out=least)
-    fits = w.text[:n] == w.text[k - 1 :]
+    return least, w.text[:n] == w.text[k - 1 :]
+
+
+def super_k_mers(w: Words, k: int, m: int, n_buckets: int, hot: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, number of windows, and bucket of each run of windows with one minimiser; each window of a hot minimiser is a run of its own."""
+    least, fits = minimisers(w, k, m)
+    if not len(least):
+        return (np.zeros(0, np.int64),) * 3
+    alone = np.isin(least, hot) if len(hot) else np.zeros(len(least), bool)
     new = fits.copy()
-    new[1:] &= (least[1:] != least[:-1]) | ~fits[:-1]
+    new[1:] &= (least[1:] != least[:-1]) | ~fits[:-1] | alone[1:]
     head = np.flatnonzero(new)
     stop = fits.copy()
     stop[:-1] &= new[1:] | ~fits[1:]
-    return head, np.flatnonzero(stop) - head + 1, (least[head] % np.uint64(n_buckets)).astype(np.int64)
+    key = least[head]
+    own = alone[head]
+    key[own] = range_hash(sums, head[own], head[own] + k)
+    return head, np.flatnonzero(stop) - head + 1, (key % np.uint64(n_buckets)).astype(np.int64)
+
+
+def hot_minimisers(rows: DataFrame, size: int, k: int, m: int) -> np.ndarray:
+    """Minimisers of about HOT windows or more; there are at most as many as the corpus has times HOT windows. rows: text, of `size` bytes."""
+    share = min(1.0, max(SAMPLE, SAMPLE_BYTES / max(size, 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = (b" ".join(x.encode().split()) if x else b"" for x in (v.as_py() for v in b.column("text")))
+            for part in chunks(range(len(b)), texts):
+                part = [x for _, x in part if x]
+                if part:
+                    least, fits = minimisers(Words(part), k, m)
+                    key, n = np.unique(least[fits], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    counted = (rows if share == 1 else rows.sample(share, seed=5)).select("text").mapInArrow(run, "key long, n long")
+    found = counted.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT * share).select("key").toArrow()
+    return found.column("key").to_numpy().astype(np.int64).view(np.uint64)
 
 
-def _pack(k: int, m: int, n_buckets: int):
+def _pack(k: int, m: int, n_buckets: int, hot: np.ndarray):
     def block(held: list) -> Iterator[pa.RecordBatch]:
         """One row for each bucket that the held super-k-mers go to; equal strings of the block are stored once."""
         data = np.concatenate([h[0] for h in held])
@@ -94,10 +132,10 @@ def _pack(k: int, m: int, n_buckets: int):
                 if not part:
                     continue
                 w = Words([x for _, x in part])
-                head, n, bucket = super_k_mers(w, k, m, n_buckets)
-                lo, hi = w.start[head], w.end[head + n + k - 2]
                 sums = prefix_sums(w.hash)
-                doc, tag = (np.array([key[i] for key, _ in part], t) for i, t in ((0, np.int64), (1, np.int16)))
+                head, n, bucket = super_k_mers(w, k, m, n_buckets, hot, sums)
+                lo, hi = w.start[head], w.end[head + n + k - 2]
+                doc, tag = (np.array([key[i] for key, _ in part], np.int64) for i in (0, 1))
                 of = w.text[head]
                 data = gather(w.data, lo, hi - lo)
                 ends = np.cumsum(hi - lo)
@@ -122,7 +160,7 @@ def repeated_ranges(packed: list[dict], k: int) -> tuple[np.ndarray, ...]:
         texts += [raw[e - z : e] for e, z in zip(ends.tolist(), s.tolist(), strict=True)]
         place.append(_unzip(r["place"], np.int32).astype(np.int64) + n)
         doc.append(_unzip(r["doc"], np.int64))
-        tag.append(_unzip(r["tag"], np.int16))
+        tag.append(_unzip(r["tag"], np.int64))
         word.append(_unzip(r["word"], np.int32).astype(np.int64))
         n += len(s)
     place, doc, tag, word = (np.concatenate(x) for x in (place, doc, tag, word))
@@ -178,27 +216,34 @@ def _least_of_equal(data, key, lo, length, value) -> np.ndarray:
     return out
 
 
-def removed_ranges(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 13, m: int = 3) -> DataFrame:
-    """doc_id, tag (of the text, tells apart rows that share an id), lo, hi: the word ranges to remove, which may overlap."""
-    n_buckets = max(32, -(-text_bytes(df, text) // BUCKET_BYTES))
-    rows = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), _tag(text).alias("tag"), F.col(text).alias("text"))
+def _tagged(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """df with doc (its id as a number) and tag, which tells apart texts that share an id: 0 where an id has one row, as a rule everywhere."""
+    rows = df.withColumn("doc", F.col(doc_id).cast("long"))
+    shared = saved(rows.where("doc is not null").groupBy("doc").agg(F.count("*").alias("rows")).where("rows > 1").select("doc", F.lit(True).alias("shared")), "shared")
+    return rows.join(small(shared, IDS), "doc", "left").withColumn("tag", F.when(F.col("shared"), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))).drop("shared")
 
-    def bucket(table: pa.Table) -> pa.Table:
-        parts = repeated_ranges(table.to_pylist(), k)
-        return pa.table([pa.array(x, t) for x, t in zip(parts, (pa.int64(), pa.int16(), pa.int64(), pa.int64()), strict=True)], ["doc", "tag", "lo", "hi"])
 
-    return rows.mapInArrow(_pack(k, m, n_buckets), _PACKED).groupBy("bucket").applyInArrow(bucket, "doc long, tag short, lo long, hi long")
+def removed_ranges(rows: DataFrame, k: int = 13, m: int = 3) -> DataFrame:
+    """doc, tag, lo, hi: the word ranges to remove, which may overlap; rows: doc, tag, text."""
+    size = text_bytes(rows, "text")
+    n_buckets = max(32, -(-size // BUCKET_BYTES))
+    rows = rows.where(F.col("doc").isNotNull() & F.col("text").isNotNull()).select("doc", "tag", "text")
 
+    def bucket(table: pa.Table) -> pa.Table:
+        parts = repeated_ranges(table.to_pylist(), k)
+        return pa.table([pa.array(x, t) for x, t in zip(parts, (pa.int64(),) * 4, strict=True)], ["doc", "tag", "lo", "hi"])
 
-def _tag(text: str):
-    return F.pmod(F.xxhash64(text), F.lit(32749)).cast("short")
+    hot = hot_minimisers(rows, size, k, m)
+    return rows.mapInArrow(_pack(k, m, n_buckets, hot), _PACKED).groupBy("bucket").applyInArrow(bucket, "doc long, tag long, lo long, hi long")
 
 
 def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 13, m: int = 3) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) for each row of df."""
-    ranges = removed_ranges(df, doc_id, text, k, m).groupBy("doc", "tag").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    rows = df.select(F.col(doc_id).alias("__id"), F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc"), _tag(text).alias("tag"))
     kind = df.schema[doc_id].dataType.simpleString()
+    rows = _tagged(df.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")), "__id", "text")
+    ranges = removed_ranges(rows, k, m).groupBy("doc", "tag").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    ranges = saved(ranges, "ranges")
+    ids = small(saved(ranges.select("doc").distinct(), "hit"), IDS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,5 +261,6 @@ def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    joined = rows.join(ranges, ["doc", "tag"], "left").select("__id", "text", "lo", "hi")
-    return joined.mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    whole = rows.join(ids, "doc", "left_anti").select("__id", "text", *(F.lit(None).cast("array<long>").alias(c) for c in ("lo", "hi")))
+    hit = rows.join(ids, "doc", "left_semi").join(ranges, ["doc", "tag"], "left").select("__id", "text", "lo", "hi")
+    return whole.union(hit).mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept string")
