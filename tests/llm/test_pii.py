@@ -93,3 +93,58 @@ def test_terms_may_be_far_off_and_have_marks_and_digits(spark):
     assert got[-1] == '"[TERM]" and [TERM].'
     assert got[0].startswith("([TERM], w0 some words") and got[0].endswith("[TERM]:")
     assert "Qelt" in got[6] and got[20] == f"{far} number 5"
+
+
+def test_many_matches_of_one_text(spark):
+    text = " ".join(f"n{i}@h{i}.org {'x' * (i % 70)}" for i in range(1100))
+    (r,) = find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["base"]] == plain_spans(text)
+
+
+def test_disclosing_terms_against_brute_force(spark):
+    """PMI over distinct texts, contexts of whole words however long, entities whatever their spelling; copies, ties and null ids."""
+    import math
+    import random
+
+    rnd = random.Random(4)
+    vocabulary = [f"t{i}x" for i in range(25)] + ["ü" * 60, "R2D2x", "7emp_77x"]
+    rows = []
+    for i in range(160):
+        w = rnd.choices(vocabulary, k=rnd.randint(2, 9))
+        kind = i % 4
+        if kind == 0:
+            w.insert(rnd.randint(0, len(w)), rnd.choice(["Ann@x.org", "ann@X.org"]))
+            w.append("Holloway,") if rnd.random() < 0.9 else None
+        elif kind == 1:
+            w.insert(rnd.randint(0, len(w)), rnd.choice(["4111 1111 1111 1111", "4111-1111-1111-1111"]))
+            w.append("(Brandt)")
+        rows += [(i if i % 9 else None, " ".join(w))] * rnd.choice([1, 1, 3])
+    term, word = re.compile(r"[^\W_](?:[^\x20\x09-\x0D]*[^\W_])?"), re.compile(r"[^\x20\x09-\x0D]+")
+    texts = sorted({t for _, t in rows})
+    terms = {t: set(term.findall(t)) for t in texts}
+    held, mentions, contexts = {}, {}, {}
+    for t in texts:
+        for x in terms[t]:
+            held[x] = held.get(x, 0) + 1
+        own = {}
+        for kind in ("email", "card"):
+            found = [m for m in PLAIN[kind].finditer(t) if valid(kind, m.group())]
+            for k, m in enumerate(found):
+                c = (kind, m.group().lower() if kind == "email" else re.sub("[^0-9]", "", m.group()))
+                before = word.findall(t[found[k - 1].end() if k else 0 : m.start()])[-3:]
+                after = word.findall(t[m.end() : found[k + 1].start() if k + 1 < len(found) else len(t)])[:3]
+                own.setdefault(c, set()).add((tuple(before), tuple(after)))
+        for c, at in own.items():
+            mentions[c] = mentions.get(c, 0) + 1
+            for x in terms[t]:
+                if x.lower() not in c[1] and c[1] not in x.lower():
+                    contexts.setdefault((c, x), []).append(at)
+    n, want = len(texts), set()
+    for (c, x), lists in contexts.items():
+        if len(set().union(*lists)) >= 3 and len({a for k in contexts if k[0] == c for at in contexts[k] for a in at}) >= 3:
+            pmi = math.log((len(lists) / n) / (mentions[c] / n * held[x] / n))
+            if pmi >= 0.9 * -math.log(mentions[c] / n):
+                want.add(x)
+    got = {s["match"] for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in r["spans"] if s["kind"] == "term"}
+    assert want >= {"Holloway", "Brandt"}
+    assert got == {x for x in want if not any(x in m for m in ("Ann@x.org", "ann@X.org"))}

@@ -7,6 +7,9 @@ the whole text is a term, without the marks around it. Disclosing terms are gene
 occur. The texts of the evidence have to mention the entity in several distinct contexts (the words next to it), so that
 copies and near copies of one document prove nothing.
 
+Numbers count as one entity however they are spaced, addresses whatever their case. Context words are whole, and reach at most to
+the next match of the kind.
+
 Positions are code points, end exclusive. Null texts count as empty. Every row gives one row; term spans are those of the
 row's own text, so repeated rows and null ids are safe. Other columns do not matter.
 """
@@ -18,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, saved, small
+from tidemark.llm.common import SPACE, WORD, saved, small
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Each pattern starts where a run of its first class starts, or where the match before it ended, so that no text is
@@ -31,7 +34,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: A word without the marks around it: from its first letter or digit to its last.
 TERM = r"[\p{L}\p{N}](?:[^\x20\x09-\x0D]*[\p{L}\p{N}\p{M}])?"
 
-_SPANS = "array<struct<start:int,end:int,kind:string,match:string>>"
+_SPANS = "array<struct<start:int,end:int,kind:string,match:string,near:string>>"
+#: Matches whose places are added up together.
+_RUN = 256
 
 
 @dataclass(frozen=True)
@@ -58,48 +63,61 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, v: a + v) % 10 == 0
 
 
-def _spans(text: Column, kind: str, pattern: str, valid) -> Column:
-    """start, end, kind, match of the pattern's valid matches."""
+def _around(before: Column, after: Column, near: int) -> Column:
+    """Up to `near` words before and behind a match, whole; the pieces reach to the neighbouring matches of the kind."""
+    if not near:
+        return F.lit("")
+    first = rf"^{SPACE}*((?:{WORD}{SPACE}*){{0,{near}}})"
+    squeezed = lambda x: F.regexp_replace(F.trim(F.regexp_extract(x, first, 1)), SPACE + "+", " ")
+    return F.concat(F.reverse(squeezed(F.reverse(before))), F.lit("|"), squeezed(after))
+
+
+def _spans(text: Column, kind: str, pattern: str, valid, near: int = 0) -> Column:
+    """start, end, kind, match and the words around of the pattern's valid matches. Linear in the text and (in runs of _RUN) in its matches."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.char_length(x["piece"])
         end = start + F.char_length(x["match"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["match"].alias("match"))
+        words = _around(x["piece"], x["next"], near)
+        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["match"].alias("match"), words.alias("near"))
         return F.struct(end.alias("at"), F.when(valid(x["match"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    both = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
-    return F.aggregate(both, zero, step, lambda acc: acc["out"])
+    def run(acc: Column, part: Column) -> Column:
+        zero = F.struct(acc["at"].alias("at"), F.array().cast(_SPANS).alias("out"))
+        done = F.array(F.aggregate(part, zero, step))  # a list of one, to name what is used twice
+        return F.element_at(F.transform(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out"))), 1)
+
+    three = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("match"), F.slice(pieces, 2, F.size(found)).alias("next"))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / _RUN).cast("int")), lambda i: F.slice(three, i * _RUN + 1, _RUN))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out"))
+    return F.when(F.size(found) > 0, F.flatten(F.aggregate(runs, zero, run, lambda acc: acc["out"]))).otherwise(F.array().cast(_SPANS))
 
 
-def base_spans(text: Column) -> Column:
-    """All valid spans of the four patterns, by start, then kind as listed."""
+def base_spans(text: Column, near: int = 0) -> Column:
+    """All valid spans of the four patterns, by start, then kind as listed; near: of how many words on each side."""
     part = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
     ip_ok = lambda m: F.forall(F.split(m, r"\."), lambda p: (F.length(part(p)) <= 3) & (F.lpad(part(p), 3, "0") <= "255"))
     n = lambda m: F.length(_digits(m))
     none = F.array().cast(_SPANS)
     gated = [
-        (F.contains(text, F.lit("@")), _spans(text, "email", EMAIL, lambda m: F.lit(True))),
-        (text.rlike(r"[0-9]\.[0-9]"), _spans(text, "ip", IP, ip_ok)),
-        (text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"), _spans(text, "card", CARD, lambda m: n(m).between(14, 19) & _luhn(_digits(m)))),
-        (text.rlike(r"\+[0-9]"), _spans(text, "phone", PHONE, lambda m: n(m).between(10, 15))),
+        (F.contains(text, F.lit("@")), _spans(text, "email", EMAIL, lambda m: F.lit(True), near)),
+        (text.rlike(r"[0-9]\.[0-9]"), _spans(text, "ip", IP, ip_ok, near)),
+        (text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"), _spans(text, "card", CARD, lambda m: n(m).between(14, 19) & _luhn(_digits(m)), near)),
+        (text.rlike(r"\+[0-9]"), _spans(text, "phone", PHONE, lambda m: n(m).between(10, 15), near)),
     ]
     return _ordered(F.concat(*(F.when(gate, spans).otherwise(none) for gate, spans in gated)))
 
 
 def _ordered(spans: Column) -> Column:
     rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).cast("int")
-    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["match"].alias("match")))
-    return F.transform(F.array_sort(keyed), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["match"].alias("match")))
+    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["match"].alias("match"), s["near"].alias("near")))
+    return F.transform(F.array_sort(keyed), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["match"].alias("match"), s["near"].alias("near")))
 
 
-def _near(text: Column, span: Column, near: int) -> Column:
-    """Up to `near` words before and behind a span; words that begin further off than 40 code points each are cut."""
-    reach = 40 * near
-    before = F.regexp_extract_all(F.substring(text, F.greatest(span["start"] - reach, F.lit(0)) + 1, F.least(span["start"], F.lit(reach))), F.lit(WORD), F.lit(0))
-    after = F.regexp_extract_all(F.substring(text, span["end"] + 1, F.lit(reach)), F.lit(WORD), F.lit(0))
-    return F.concat(F.reverse(F.slice(F.reverse(before), 1, near)), F.slice(after, 1, near))
+def _entity(kind: Column, match: Column) -> Column:
+    """An entity whatever its spelling: cards and phones by their digits, addresses in lower case."""
+    return F.when(kind.isin("card", "phone"), _digits(match)).otherwise(F.lower(match))
 
 
 def _terms(text: Column) -> Column:
@@ -112,14 +130,14 @@ def disclosing_terms(texts: DataFrame, rule: Disclosure) -> DataFrame:
 
     p(c), p(t), p(c, t): shares of the distinct texts.
     """
-    mention = F.struct(F.xxhash64("m.kind", "m.entity").alias("c"), F.xxhash64(F.array_join("m.words", " ")).alias("context"), F.col("m.entity").alias("entity"))
+    mention = F.struct(F.xxhash64("m.kind", "m.entity").alias("c"), F.xxhash64("m.words").alias("context"), F.col("m.entity").alias("entity"))
     places = texts.where(F.size("contexts") > 0).select("__key", F.explode("contexts").alias("m")).select("__key", mention.alias("m")).select("__key", "m.*").distinct()
     # an entity of fewer contexts has no term
     entities = places.groupBy("c").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("__key").alias("mentions")).where(F.col("contexts") >= rule.contexts)
     entities = saved(entities.select("c", "mentions"), "entities")
     if not entities.limit(1).count():
         return texts.select(F.col("__text").alias("term")).limit(0)
-    own = F.transform("contexts", lambda m: F.struct(F.xxhash64(m["kind"], m["entity"]).alias("c"), F.xxhash64(F.array_join(m["words"], " ")).alias("context"), m["entity"].alias("entity")))
+    own = F.transform("contexts", lambda m: F.struct(F.xxhash64(m["kind"], m["entity"]).alias("c"), F.xxhash64(m["words"]).alias("context"), m["entity"].alias("entity")))
     inside = texts.where(F.size("contexts") > 0).select("__text", F.explode(F.array_distinct(own)).alias("m")).select("__text", "m.*")
     inside = inside.join(small(entities.select("c")), "c").groupBy("c", "entity", "__text").agg(F.collect_set("context").alias("at"))
     each = inside.select("c", "entity", "at", F.explode(_terms(F.col("__text"))).alias("term"))
@@ -149,11 +167,11 @@ def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
 def find_personal_data(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rule: Disclosure = Disclosure()) -> DataFrame:
     """The columns of `keep`, base (spans of the patterns) and spans (with disclosing terms) for each row of df.
 
-    A span is start, end, kind, match. Terms that overlap a base span are left out.
+    A span is start, end, kind, match, near (words around it, of base spans). Terms that overlap a base span are left out.
     """
     rows = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    texts = rows.select(_key().alias("__key"), "__text").dropDuplicates(["__key"]).withColumn("base", base_spans(F.col("__text")))
-    near = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["match"]).alias("entity"), _near(F.col("__text"), s, rule.near).alias("words")))
+    texts = rows.select(_key().alias("__key"), "__text").dropDuplicates(["__key"]).withColumn("base", base_spans(F.col("__text"), rule.near))
+    near = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), _entity(s["kind"], s["match"]).alias("entity"), s["near"].alias("words")))
     texts = saved(texts.withColumn("contexts", near), "base")
     terms = saved(disclosing_terms(texts, rule), "terms")
     rows = rows.select(*keep, _key().alias("__key"))
