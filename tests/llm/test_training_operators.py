@@ -90,6 +90,35 @@ def test_near_duplicates(docs, corpus):
     assert find(67) == find(80) == 60
 
 
+@pytest.mark.parametrize("hot", [1, 1 << 20])
+def test_substring_dedup_of_hot_runs_and_shared_ids(spark, monkeypatch, hot):
+    """A run of words in every text (its minimisers are split at hot = 1), and many texts of one id, which stay apart."""
+    from tidemark.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    rng = np.random.default_rng(21)
+    made = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 500, n))
+    passage = made(40)
+    rows = [(i, f"{made(30)} {passage} {made(5)}") for i in range(60)] + [(7, f"{made(int(n))} {passage}") for n in rng.integers(1, 60, 300)] + [(3, None), (None, passage)]
+    rows += [(500, "z " * 40_000), (501, "z " * 40)]
+    least = {}
+    for i, t in rows:
+        w = words(t)
+        for p in range(len(w) - 12):
+            if i is not None:
+                least[tuple(w[p : p + 13])] = min(i, least.get(tuple(w[p : p + 13]), i))
+    want = []
+    for i, t in rows:
+        w, gone = words(t), set()
+        for p in range(len(w) - 12):
+            if i is not None and least[tuple(w[p : p + 13])] < i:
+                gone.update(range(p, p + 13))
+        want.append((i if i is not None else -1, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, tag int")
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup_substrings(df).collect()) == sorted(want)
+    assert substring_dedup.dedup_substrings(df.limit(0)).count() == 0
+
+
 def test_registers_match_with_the_probability_of_the_similarity():
     from tidemark.llm.minhash_dedup import REGISTERS, collision, estimate, registers
 
@@ -448,3 +477,49 @@ def test_language_model_scores_every_whole_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     tokens = {r.doc_id: r.n_tokens for r in QUERIES["op7_lm_scoring"](spark, "/root/testdata/sf0.001").collect()}
     assert tokens == {r.doc_id: len(words(r.text)) + 1 for r in docs.collect()}
+
+
+@pytest.mark.parametrize("segment", [4, 16, 10_000])
+def test_toxicity_scores_against_brute_force(spark, segment):
+    """The score is the worst segment's mean over all n-grams of all words, recomputed word by word; ties, repeated and odd rows."""
+    import math
+    from zlib import crc32
+
+    from tidemark.llm.toxicity import BUCKETS, Model, score
+
+    rng = np.random.default_rng(31)
+    model = Model(rng.normal(0, 2, BUCKETS).astype(np.float32), -0.7)
+    texts = [" ".join("".join(rng.choice(list("abé1"), int(rng.integers(1, 8)))) for _ in range(int(n))) for n in rng.integers(0, 60, 60)]
+    texts += [None, "", "?! --", "a", texts[3], texts[3], "b " * 20_000]
+
+    def grams(word):
+        w = f"<{word}>".encode()
+        return {w} | {w[i : i + n] for n in (3, 4, 5, 6) for i in range(len(w) - n + 1)}
+
+    def brute(text):
+        own = [[float(model.weight[crc32(g) % BUCKETS]) for g in grams(w)] for w in re.findall(r"[^\W_]+(?:['’-][^\W_]+)*", (text or "").lower())]
+        starts = {min(i, max(0, len(own) - segment)) for i in range(0, len(own), segment)}
+        means = [sum(map(sum, own[i : i + segment])) / sum(map(len, own[i : i + segment])) for i in starts]
+        return 1 / (1 + math.exp(-(max(means, default=0.0) + model.bias)))
+
+    df = spark.createDataFrame([(i, t, 7.0) for i, t in enumerate(texts)], "doc_id long, text string, predicted double")
+    got = {r.doc_id: r for r in score(df, model, segment=segment).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i].score - brute(t)) < 1e-6
+        assert got[i].predicted == int(got[i].score >= 0.3)
+
+
+def test_held_out_rows_are_never_learned_from(spark):
+    from zlib import crc32
+
+    from tidemark.llm.toxicity import held_out, score, train
+
+    ids = [*range(400)]
+    assert [r.h for r in spark.createDataFrame([(i,) for i in ids], "i long").orderBy("i").select(held_out(F.col("i")).alias("h")).collect()] == [crc32(str(i).encode()) % 4 == 2 for i in ids]
+    rng = np.random.default_rng(2)
+    made = lambda i: " ".join(rng.choice(["tree", "house", "river", "vilhorrid"[: 9 if i % 3 == 0 else 3]], 12))
+    docs = spark.createDataFrame([(i, made(i)) for i in ids], "doc_id long, text string")
+    y = {i: int(i % 3 == 0) for i in ids}
+    swapped = {i: 1 - v if crc32(str(i).encode()) % 4 == 2 else v for i, v in y.items()}
+    a, b = (score(docs, train(docs, spark.createDataFrame(list(x.items()), "doc_id long, toxic int"))).orderBy("doc_id").collect() for x in (y, swapped))
+    assert a == b

@@ -3,8 +3,9 @@
 A word is the bag of its hashed character n-grams (with marks for its ends), so a misspelling or an unseen ending shares
 most vectors with what was seen. A segment of a document is the mean of its words' n-gram vectors, and a softmax over that
 mean gives its class. Embeddings and softmax are trained together by gradient descent. As one insult in a long text would
-drown in the mean of all words, texts are cut into segments of SEGMENT words and a document scores as its worst segment;
-in training, too, a document's gradient goes to its worst segment.
+drown in the mean of all words, texts are cut into segments of SEGMENT words (the last one reaches back, so that all are
+equally long) and a document scores as its worst segment; in training, too, a document's gradient goes to its worst segment.
+With a segment longer than any text the score is the plain mean of all words.
 
 The model is fitted on the driver on a sample of labelled rows that is bounded by rows alone (`max_rows` documents of each
 class, picked by a hash of the text); texts are learned from whole. Tasks cut them into words, which the driver numbers.
@@ -74,11 +75,16 @@ def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(lists).astype(np.int64) if len(lists) else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _segment_sizes(n: int) -> np.ndarray:
-    """Words of each segment of a text of n words; a wordless text is one empty segment."""
-    sizes = np.full(max(1, -(-n // SEGMENT)), SEGMENT)
-    sizes[-1] = n - SEGMENT * (len(sizes) - 1)
-    return sizes
+def _segment_starts(n: int, segment: int) -> np.ndarray:
+    """Where the segments of a text of n words begin; a text of fewer words than a segment has one, a wordless one an empty one."""
+    return np.minimum(np.arange(0, max(n, 1), segment), max(0, n - segment))
+
+
+def _segments(words: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a text's segments, one behind the other, and how many each has."""
+    starts = _segment_starts(len(words), segment)
+    size = min(segment, len(words))
+    return words[(starts[:, None] + np.arange(size)).ravel()], np.full(len(starts), size)
 
 
 def _ragged(flat: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +94,7 @@ def _ragged(flat: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.
     return flat[at], np.repeat(np.arange(len(rows)), n)
 
 
-def fit(docs: list[np.ndarray], vocabulary: list[np.ndarray], toxic: np.ndarray, dim: int = 16, epochs: int = 12, rate: float = 0.5, batch: int = 256, seed: int = 7) -> Model:
+def fit(docs: list[np.ndarray], vocabulary: list[np.ndarray], toxic: np.ndarray, dim: int = 16, epochs: int = 12, rate: float = 0.5, batch: int = 256, seed: int = 7, segment: int = SEGMENT) -> Model:
     """Jointly trained embeddings (BUCKETS x dim) and softmax (dim x 2), by Adagrad; classes weigh as in the sample.
 
     docs: the numbers of each document's words in vocabulary, which holds each word's n-grams.
@@ -96,9 +102,10 @@ def fit(docs: list[np.ndarray], vocabulary: list[np.ndarray], toxic: np.ndarray,
     rng = np.random.default_rng(seed)
     grams, gram_at = _flat(vocabulary)
     gram_n = np.diff(gram_at)
-    seg_words = np.concatenate(docs)
-    doc_segs = np.concatenate([[0], np.cumsum([max(1, -(-len(d) // SEGMENT)) for d in docs])])
-    seg_at = np.concatenate([[0], np.cumsum(np.concatenate([_segment_sizes(len(d)) for d in docs]))])
+    cut = [_segments(d, segment) for d in docs]
+    seg_words = np.concatenate([w for w, _ in cut])
+    doc_segs = np.concatenate([[0], np.cumsum([len(n) for _, n in cut])])
+    seg_at = np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in cut]))])
     emb = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     soft = rng.normal(0, 0.1, (dim, 2)).astype(np.float32)
     bias = np.log(np.maximum(np.bincount(toxic, minlength=2), 1) / max(1, len(toxic))).astype(np.float32)
@@ -146,8 +153,8 @@ def fit(docs: list[np.ndarray], vocabulary: list[np.ndarray], toxic: np.ndarray,
 class Scorer:
     """Scores texts; one for each worker process."""
 
-    def __init__(self, model: Model):
-        self.model, self.memo = model, {}
+    def __init__(self, model: Model, segment: int = SEGMENT):
+        self.model, self.memo, self.segment = model, {}, segment
 
     def word(self, w: str) -> tuple[float, int]:
         if w not in self.memo:
@@ -162,8 +169,10 @@ class Scorer:
         worst = 0.0
         if words:
             parts = np.array([self.memo.get(w) or self.word(w) for w in words])
-            at = np.arange(0, len(parts), SEGMENT)
-            worst = float((np.add.reduceat(parts[:, 0], at) / np.add.reduceat(parts[:, 1], at)).max())
+            sums = np.concatenate([np.zeros((1, 2)), np.cumsum(parts, axis=0)])
+            at = _segment_starts(len(parts), self.segment)
+            whole = sums[np.minimum(at + self.segment, len(parts))] - sums[at]
+            worst = float((whole[:, 0] / whole[:, 1]).max())
         return float(1 / (1 + np.exp(-np.clip(worst + self.model.bias, -60, 60))))
 
 
@@ -189,7 +198,7 @@ def _gathered(texted: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], li
     return [docs[k] for k in order], [n_grams(w) for w in vocabulary], [keys[k][0] for k in order]
 
 
-def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 4000) -> Model:
+def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 4000, segment: int = SEGMENT) -> Model:
     """A model of at most max_rows labelled documents of each class, in the order of a hash of their text; more toxic rows or fewer, the bias is set for the classes' share among all labelled rows."""
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("y"))
     mark = F.xxhash64(text)
@@ -202,20 +211,20 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     docs, vocabulary, y = _gathered(texted)
     if not docs:
         return Model(np.zeros(BUCKETS, np.float32), -3.0)
-    model = fit(docs, vocabulary, np.array(y, np.int64))
+    model = fit(docs, vocabulary, np.array(y, np.int64), segment=segment)
     in_sample, in_all = (max(y.count(1), 1) / max(y.count(0), 1), max(share.get(1, 0), 1) / max(share.get(0, 0), 1))
     model.bias += float(np.log(in_all / in_sample))
     return model
 
 
-def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3) -> DataFrame:
+def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3, segment: int = SEGMENT) -> DataFrame:
     """The columns of `keep`, score, predicted (1 if score >= threshold) for each row of df."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     rows = df.select(*keep, F.col(text).alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"), "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(shared.value, segment)
         for b in batches:
             rest = [k for k, name in enumerate(b.schema.names) if name != "__text"]
             scores = pa.array([scorer(x.as_py()) for x in b.column(b.schema.get_field_index("__text"))], pa.float64())
