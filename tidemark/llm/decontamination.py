@@ -108,11 +108,12 @@ def covered(ranges: DataFrame) -> DataFrame:
     return reach.groupBy("key").agg(F.sum(F.greatest(F.col("hi") - F.greatest("lo", "reach"), F.lit(0))).cast("long").alias("n_hit"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted array of item ids as strings), contaminated for each row of docs."""
+def decontaminate(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 10) -> DataFrame:
+    """The columns of `keep`, n_words, n_hit, items (sorted array of item ids as strings), contaminated for each row of docs."""
     hits = saved(occurrences(docs, items, text, item_id, item_text, n), "hits")
     of_text = hits.select("key", F.explode("items").alias("item")).where("item is not null").groupBy("key").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
-    total = saved(covered(hits.select("key", "lo", "hi").distinct()).join(of_text, "key", "left"), "totals")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), _key(text).alias("key"), F.size(words(F.col(text))).cast("long").alias("n_words"))
-    out = rows.join(small(total), "key", "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    total = saved(covered(hits.select("key", "lo", "hi").distinct()).join(of_text, "key", "left").select(F.col("key").alias("__key"), F.col("n_hit").alias("__hit"), F.col("items").alias("__items")), "totals")
+    rows = docs.select(*keep, _key(text).alias("__key"), F.size(words(F.col(text))).cast("long").alias("__words"))
+    hit = F.coalesce("__hit", F.lit(0)).cast("long")
+    out = rows.join(small(total), "__key", "left")
+    return out.select(*keep, F.col("__words").alias("n_words"), hit.alias("n_hit"), F.coalesce("__items", F.array().cast("array<string>")).alias("items"), (hit > 0).alias("contaminated"))
