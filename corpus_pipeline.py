@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved, small
+from tidemark.llm.common import IDS, saved, small
 from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.minhash_dedup import near_duplicates
-from tidemark.llm.mixing import mix
+from tidemark.llm.mixing import mixed_text
 from tidemark.llm.toxicity import score, train
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -17,7 +17,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the ids of gone; ids alone are broadcast, up to a counted bound, so that texts stay where they are."""
-    ids = small(saved(gone.select("doc_id").distinct(), "gone"), 2_000_000)
+    ids = small(saved(gone.select("doc_id").distinct(), "gone"), IDS)
     return docs.join(ids, "doc_id", "left_anti").select(*COLUMNS)
 
 
@@ -36,19 +36,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one of the smallest id."""
-    return _without(docs, near_duplicates(docs).where("not kept"))
+    """One document of each group of near-duplicates stays: the one of the smallest id; of repeated rows, too, one stays. Rows without an id are no copies of others."""
+    left = _without(docs, near_duplicates(docs).where("not kept"))
+    twice = small(saved(left.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice"), IDS)
+    return left.join(twice, "doc_id", "left_anti").union(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go, those without an id too."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate(docs, items).where("contaminated"))
+    return decontaminate(docs, items, keep=COLUMNS).where("not contaminated").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
-    return mix(docs)
+    """The mix: shard, slot, part, doc_id and text of each piece of a document that a slot takes."""
+    return mixed_text(docs)
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing)]
