@@ -122,12 +122,59 @@ def test_flood_is_high_and_lone_bursts_are_nothing(spark):
     assert got == {"f": "high", "o": None}
 
 
-def test_many_windows_are_dealt_by_day(spark):
+def test_windows_meet_rows_by_hour(spark):
     rows = spark.createDataFrame([(i, datetime(2024, 3, 1 + i % 20, i % 24)) for i in range(200)], "id int, ts timestamp_ntz")
     w = spark.createDataFrame([(datetime(2024, 3, d, 5), datetime(2024, 3, d, 9)) for d in range(1, 15)], "lo timestamp_ntz, hi timestamp_ntz")
-    few, many = (merge.outside_windows(rows, w, "ts", "lo", "hi", broadcast_rows=n) for n in (100, 3))
-    for a, b in zip(few, many, strict=True):
-        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(a.columns).collect()))
+    kept, counts = merge.outside_windows(rows, w, "ts", "lo", "hi")
+    inside = lambda r: any(a <= r.ts < b for a, b in w.collect())
+    every = rows.collect()
+    assert sorted(r.id for r in kept.collect()) == sorted(r.id for r in every if not inside(r))
+    assert sum(r.excluded for r in counts.collect()) == sum(map(inside, every)) > 0
+
+
+def test_open_intervals(spark):
+    d = lambda n: datetime(2024, 3, 1 + n)
+    spans = [("a", d(0), d(3)), ("a", d(2), None), ("a", d(4), d(5)), ("a", d(9), None), ("b", d(0), d(2)), ("b", d(2), d(3)), ("c", d(5), d(4))]
+    s = spark.createDataFrame([(i, *x) for i, x in enumerate(spans)], "sid int, k string, lo timestamp_ntz, hi timestamp_ntz")
+    assert sorted((r.k, r.lo, r.hi, r.n) for r in intervals.merged(s.where("k <> 'c'"), ["k"], "lo", "hi").collect()) == [("a", d(0), None, 4), ("b", d(0), d(3), 2)]
+    points = [(i, k, d(n)) for i, (k, n) in enumerate((k, n) for k in "abcd" for n in range(0, 12))]
+    p = spark.createDataFrame(points, "pid int, k string, at timestamp_ntz")
+    holds = lambda k, at, x: x[0] == k and x[1] <= at and (x[2] is None or at < x[2])
+    got = sorted((r.pid, r.sid) for r in intervals.points_inside(p, s, ["k"], "at", "lo", "hi").collect())
+    assert got == sorted((i, j) for i, k, at in points for j, x in enumerate(spans) if holds(k, at, x))
+    out = sorted(r.pid for r in intervals.points_outside(p, s, ["k"], "at", "lo", "hi").collect())
+    assert out == sorted(i for i, k, at in points if not any(holds(k, at, x) for x in spans))
+    o = s.select("k", F.col("sid").alias("sid2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = sorted((r.sid, r.sid2) for r in intervals.overlapping(s, o, ["k"], ("lo", "hi"), ("lo2", "hi2")).collect())
+    before = lambda a, b: b is None or a < b
+    assert pairs == sorted((i, j) for i, x in enumerate(spans) for j, y in enumerate(spans) if x[0] == y[0] and before(x[1], y[2]) and before(y[1], x[2]))
+
+
+@pytest.mark.parametrize("mean", [20.5, 300.0, 500.0, 1000.0, 25_000.0])
+def test_poisson_threshold_of_large_means(spark, mean):
+    import math
+
+    x, tail, p = value(spark, S.poisson_threshold(F.lit(mean), 0.001, 3)), 0.0, 0.0
+    logs = [-mean + i * math.log(mean) - math.lgamma(i + 1) for i in range(int(mean + 40 * mean**0.5) + 100)]
+    tail = lambda y: sum(math.exp(v) for v in logs[y:])
+    assert tail(x) < 0.001 <= tail(x - 1)
+
+
+def test_strides_follow_the_search(spark):
+    import math
+
+    from tidemark.functions import decisions as D
+
+    def stride(n):
+        s = 4 if n >= 4 else 1
+        while n % (n // s) == 0:
+            if s >= n - 1:
+                return 1
+            s += 1
+        return s
+
+    rows = spark.range(1, 201).select("id", D.hop_stride(F.col("id")).alias("s")).withColumn("v", D.hop_visited(F.col("id"), F.lit(True), F.col("s"))).collect()
+    assert {r.id: (r.s, r.v) for r in rows} == {n: (stride(n), n // math.gcd(n, stride(n))) for n in range(1, 201)}
 
 
 def test_robust_spread(spark):

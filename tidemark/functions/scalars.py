@@ -196,14 +196,25 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return F.when(n > 0, low), F.when(n > 0, high)
 
 
-def poisson_threshold(mean: Column, alpha: float, floor: int, most: int = 400) -> Column:
-    """The smallest count whose upper tail is below alpha, at least `floor`; a closed loop over possible counts."""
-    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("cdf"), F.lit(0).alias("x"))
+def poisson_threshold(mean: Column, alpha: float, floor: int) -> Column:
+    """The smallest count whose upper tail P(X >= x) is below alpha, at least `floor`; for any mean.
+
+    The sum runs over counts within 12 deviations and 60 around the mean, in logarithms, so large means do not underflow;
+    what lies below that is less than 1e-16.
+    """
+    reach = F.ceil(12 * F.sqrt(mean)).cast("long") + 60
+    first = F.greatest(F.floor(mean).cast("long") - reach, F.lit(0).cast("long"))
+    # ln(first!) by Stirling's series beyond 20, exactly below
+    n = first.cast("double")
+    exact = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.least(first, F.lit(20).cast("long")), F.lit(1).cast("long"))), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
+    stirling = n * F.log(n) - n + 0.5 * F.log(2 * 3.141592653589793 * n) + 1 / (12 * n) - 1 / (360 * n * n * n)
+    start_p = F.exp(n * F.log(mean) - mean - F.when(first > 20, stirling).otherwise(exact))
+    start = F.struct(start_p.alias("p"), start_p.alias("cdf"), first.alias("x"))
 
     def step(s: Column, i: Column) -> Column:
         p = s["p"] * mean / i
-        more = F.struct(p.alias("p"), (s["cdf"] + p).alias("cdf"), i.cast("int").alias("x"))
+        more = F.struct(p.alias("p"), (s["cdf"] + p).alias("cdf"), i.alias("x"))
         return F.when(s["cdf"] <= 1 - alpha, more).otherwise(s)
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: s["x"] + 1)
-    return F.when(mean <= 0, F.lit(floor)).otherwise(F.greatest(F.lit(floor), found))
+    found = F.aggregate(F.sequence(first + 1, F.floor(mean).cast("long") + reach), start, step, lambda s: s["x"] + 1)
+    return F.when(mean <= 0, F.lit(floor).cast("long")).otherwise(F.greatest(F.lit(floor).cast("long"), found))

@@ -104,19 +104,21 @@ def deviating_episodes(found: DataFrame, keys: list[str], ts: str, tie: str, gap
 
 def matched_trials(trials: DataFrame, detections: DataFrame, subject: str, before_s: int, after_s: int) -> DataFrame:
     """trials with the best detection of their subject that touches [start - before, stop + after]: worst severity, then earliest."""
-    t = trials.select("*", (F.col("start_at") - F.expr(f"interval {before_s} seconds")).alias("__lo"), (F.col("stop_at") + F.expr(f"interval {after_s} seconds")).alias("__hi"))
-    d = detections.select(subject, F.col("ts").alias("__ts"), F.col("ts_end").alias("__end"), "severity_rank", "detection_id")
-    both = t.join(d, subject, "left").where("detection_id is null or (__ts <= __hi and __end >= __lo)")
-    w = Window.partitionBy("trial_id").orderBy(F.desc_nulls_last("severity_rank"), "__ts", "detection_id")
-    best = both.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("trial_id", "detection_id", "severity_rank", ((micros("__ts") - micros("start_at")) / 1e6).alias("latency_s"))
+    wide = trials.select(subject, "trial_id", "start_at", (F.col("start_at") - F.expr(f"interval {before_s} seconds")).alias("__lo"), (F.col("stop_at") + F.expr(f"interval {after_s} seconds 1 microsecond")).alias("__hi"))
+    d = detections.select(subject, F.col("ts").alias("__ts"), (F.col("ts_end") + F.expr("interval 1 microsecond")).alias("__end"), "severity_rank", "detection_id")
+    both = intervals.overlapping(wide, d, [subject], ("__lo", "__hi"), ("__ts", "__end"))
+    found = F.struct("detection_id", "severity_rank", ((micros("__ts") - micros("start_at")) / 1e6).alias("latency_s"))
+    # the least of (severity falling, time, id); severity ranks are small numbers
+    best = both.groupBy("trial_id").agg(F.min_by(found, F.struct(-F.coalesce("severity_rank", F.lit(-1)), "__ts", "detection_id")).alias("x")).select("trial_id", "x.*")
     return trials.join(best, "trial_id", "left")
 
 
 def refreshed_findings(stored: DataFrame, found: DataFrame, keys: list[str], gap_s: int) -> DataFrame:
     """found with action (insert, refresh) and the stored finding it continues: the earliest of equal keys whose span, widened by the gap, it touches. An operator's label stays with the stored one."""
-    s = stored.select(*keys, F.col("id").alias("stored_id"), F.col("label"), F.col("ts").alias("__ts"), F.col("ts_end").alias("__end"))
-    near = found.join(s, keys, "left").withColumn("__near", (micros("ts") <= micros("__end") + gap_s * 1_000_000) & (micros("ts_end") >= micros("__ts") - gap_s * 1_000_000))
-    w = Window.partitionBy("id").orderBy(F.desc(F.coalesce("__near", F.lit(False))), "__ts", "stored_id")
-    one = near.withColumn("__n", F.row_number().over(w)).where("__n = 1")
-    keep = F.coalesce("__near", F.lit(False))
-    return one.select("id", F.when(keep, "refresh").otherwise("insert").alias("action"), F.when(keep, F.col("stored_id")).alias("stored_id"), F.when(keep, F.col("label")).alias("label"))
+    gap, tick = F.expr(f"interval {gap_s} seconds"), F.expr("interval 1 microsecond")
+    s = stored.select(*keys, F.col("id").alias("stored_id"), "label", (F.col("ts") - gap).alias("__lo"), (F.col("ts_end") + gap + tick).alias("__hi"))
+    n = found.select(*keys, "id", F.col("ts").alias("__ts"), (F.col("ts_end") + tick).alias("__end"))
+    near = intervals.overlapping(n, s, keys, ("__ts", "__end"), ("__lo", "__hi"))
+    first = near.groupBy("id").agg(F.min_by(F.struct("stored_id", "label"), F.struct("__lo", "stored_id")).alias("x")).select("id", "x.*")
+    both = found.select("id").join(first, "id", "left")
+    return both.select("id", F.when(F.col("stored_id").isNotNull(), "refresh").otherwise("insert").alias("action"), "stored_id", "label")

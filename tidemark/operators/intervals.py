@@ -9,49 +9,56 @@ from tidemark.functions.scalars import micros
 
 
 def merged(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
-    """keys, lo, hi, n: overlapping and abutting intervals as one."""
-    w = Window.partitionBy(*keys).orderBy(lo, hi)
-    reach = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = df.withColumn("__new", F.coalesce(F.col(lo) > reach, F.lit(True)).cast("int"))
+    """keys, lo, hi, n: overlapping and abutting intervals as one; open if one of them is."""
+    w = Window.partitionBy(*keys).orderBy(lo, F.col(hi).isNull(), hi)
+    end = F.struct(F.col(hi).isNull().alias("open"), F.col(hi).alias("at"))
+    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = df.withColumn("__new", F.coalesce(~reach["open"] & (F.col(lo) > reach["at"]), reach.isNull()).cast("int"))
     run = new.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.groupBy(*keys, "__run").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.count("*").alias("n")).drop("__run")
+    out = run.groupBy(*keys, "__run").agg(F.min(lo).alias(lo), F.max(end).alias("__end"), F.count("*").alias("n"))
+    return out.select(*keys, lo, F.col("__end.at").alias(hi), "n")
 
 
 def overlap_seconds(a_lo, a_hi, b_lo, b_hi) -> Column:
-    """Seconds that two intervals share."""
-    return F.greatest((F.least(micros(a_hi), micros(b_hi)) - F.greatest(micros(a_lo), micros(b_lo))) / 1e6, F.lit(0.0))
+    """Seconds that two intervals share; null if both are open."""
+    shared = F.greatest((F.least(micros(a_hi), micros(b_hi)) - F.greatest(micros(a_lo), micros(b_lo))) / 1e6, F.lit(0.0))
+    return F.when(micros(a_hi).isNotNull() | micros(b_hi).isNotNull(), shared)
 
 
 def _days(lo: Column, hi: Column) -> Column:
-    return F.sequence(F.to_date(lo), F.to_date(hi))
+    return F.sequence(F.to_date(lo), F.greatest(F.to_date(lo), F.to_date(hi)))
 
 
 def overlapping(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str, str], b_span: tuple[str, str]) -> DataFrame:
     """Pairs of a and b of equal keys whose intervals overlap.
 
-    Both sides are dealt by key and day, so a key with a long history is spread over its days; a pair is kept on the first
-    day that both reach into.
+    Two intervals overlap if one begins inside the other, so a pair is found once, as a point in an interval: b's begin in a,
+    or a's later begin in b. Other columns must have different names.
     """
-    x = a.withColumn("__day", F.explode(_days(F.col(a_span[0]), F.col(a_span[1]))))
-    y = b.withColumn("__day", F.explode(_days(F.col(b_span[0]), F.col(b_span[1]))))
-    both = x.join(y, [*keys, "__day"])
-    meet = (F.col(a_span[0]) < F.col(b_span[1])) & (F.col(b_span[0]) < F.col(a_span[1]))
-    return both.where(meet & (F.col("__day") == F.greatest(F.to_date(a_span[0]), F.to_date(b_span[0])))).drop("__day")
+    order = [*keys, *(c for c in a.columns if c not in keys), *(c for c in b.columns if c not in keys)]
+    begins = points_inside(b, a, keys, b_span[0], *a_span).select(*order)
+    later = points_inside(a, b, keys, a_span[0], *b_span).where(F.col(a_span[0]) > F.col(b_span[0])).select(*order)
+    before = lambda x, y: F.coalesce(F.col(x) < F.col(y), F.lit(True))
+    return begins.union(later).where(before(a_span[0], b_span[1]) & before(b_span[0], a_span[1]))
 
 
 def points_inside(points: DataFrame, spans: DataFrame, keys: list[str], at: str, lo: str, hi: str) -> DataFrame:
-    """Pairs of a point and an interval of equal keys with lo <= at < hi, dealt by key and day."""
+    """Pairs of a point and an interval of equal keys with lo <= at < hi, dealt by key and day; open intervals, as a rule one a key, by key."""
     x = points.withColumn("__day", F.to_date(at))
-    y = spans.withColumn("__day", F.explode(_days(F.col(lo), F.col(hi))))
-    return x.join(y, [*keys, "__day"]).where((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("__day")
+    y = spans.where(F.col(hi).isNotNull()).withColumn("__day", F.explode(_days(F.col(lo), F.col(hi))))
+    closed = x.join(y, [*keys, "__day"]).where((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("__day")
+    open_ = points.join(spans.where(F.col(hi).isNull()), keys).where(F.col(at) >= F.col(lo))
+    return closed.unionByName(open_)
 
 
 def points_outside(points: DataFrame, spans: DataFrame, keys: list[str], at: str, lo: str, hi: str) -> DataFrame:
     """The points that no interval of equal keys covers."""
     x = points.withColumn("__day", F.to_date(at))
-    y = spans.select(*keys, lo, hi, F.explode(_days(F.col(lo), F.col(hi))).alias("__day"))
+    y = spans.where(F.col(hi).isNotNull()).select(*keys, lo, hi, F.explode(_days(F.col(lo), F.col(hi))).alias("__day"))
     on = [x[k] == y[k] for k in [*keys, "__day"]] + [x[at] >= y[lo], x[at] < y[hi]]
-    return x.join(y, on, "left_anti").drop("__day")
+    rest = x.join(y, on, "left_anti").drop("__day")
+    since = spans.where(F.col(hi).isNull()).groupBy(*keys).agg(F.min(lo).alias("__since"))
+    return rest.join(since, [*(rest[k] == since[k] for k in keys), rest[at] >= since["__since"]], "left_anti")
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, values: list[str], forward: bool = False) -> DataFrame:

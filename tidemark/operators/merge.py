@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _one_each(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+def first_each(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The first row of each key in `order`."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
@@ -17,7 +18,7 @@ def _both(stored: DataFrame, staged: DataFrame) -> DataFrame:
 
 def insert_ignore(stored: DataFrame, staged: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Stored rows, and staged ones of new keys (the first in `order` of each)."""
-    return _one_each(_both(stored, staged), keys, ["__staged", *order]).drop("__staged")
+    return first_each(_both(stored, staged), keys, ["__staged", *order]).drop("__staged")
 
 
 def insert_counts(stored: DataFrame, staged: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,7 +29,7 @@ def insert_counts(stored: DataFrame, staged: DataFrame, keys: list[str]) -> Data
 
 def best_wins(stored: DataFrame, staged: DataFrame, keys: list[str], better: str, order: list = ()) -> DataFrame:
     """For each key the row with the largest `better`; a stored row wins a tie."""
-    return _one_each(_both(stored, staged), keys, [F.desc_nulls_last(better), "__staged", *order]).drop("__staged")
+    return first_each(_both(stored, staged), keys, [F.desc_nulls_last(better), "__staged", *order]).drop("__staged")
 
 
 def newest_wins(stored: DataFrame, staged: DataFrame, keys: list[str], at: str, fields: list[str], first: str, last: str) -> DataFrame:
@@ -61,21 +62,18 @@ def changed(stored: DataFrame, staged: DataFrame, keys: list[str], fields: list[
     return s.join(n, keys, "full").select(*keys, action.alias("action"))
 
 
-def outside_windows(staged: DataFrame, windows: DataFrame, at: str, lo: str, hi: str, broadcast_rows: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """The staged rows outside every excluded window, and window, excluded: how many fell into each.
+def outside_windows(staged: DataFrame, windows: DataFrame, at: str, lo: str, hi: str, keys: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The staged rows outside every excluded window, and windows' columns and excluded: how many rows fell into each.
 
-    Windows are operator-made and few; beyond broadcast_rows of them both sides are dealt by day.
+    Rows and windows meet by hour (and keys): a window is dealt to the hours it reaches into, a row to its own.
     """
-    few = windows.limit(broadcast_rows + 1).count() <= broadcast_rows
-    if few:
-        w = F.broadcast(windows)
-        inside = (staged[at] >= w[lo]) & (staged[at] < w[hi])
-        return staged.join(w, inside, "left_anti"), staged.join(w, inside).groupBy(*windows.columns).agg(F.count("*").alias("excluded"))
-    from tidemark.operators.intervals import points_inside, points_outside
-
-    a, b = staged.withColumn("__all", F.lit(0)), windows.withColumn("__all", F.lit(0))
-    kept = points_outside(a, b, ["__all"], at, lo, hi).drop("__all")
-    return kept, points_inside(a, b, ["__all"], at, lo, hi).groupBy(*windows.columns).agg(F.count("*").alias("excluded"))
+    hour = F.date_trunc("hour", F.col(at)).alias("__hour")
+    hours = F.explode(F.sequence(F.date_trunc("hour", F.col(lo)), F.date_trunc("hour", F.col(hi)), F.expr("interval 1 hour"))).alias("__hour")
+    rows = staged.select("*", hour)
+    w = windows.where(F.col(lo) < F.col(hi)).select("*", hours)
+    inside = [rows["__hour"] == w["__hour"], *(rows[k] == w[k] for k in keys), rows[at] >= w[lo], rows[at] < w[hi]]
+    counts = rows.join(w, inside).groupBy(*(w[c] for c in windows.columns)).agg(F.count("*").alias("excluded"))
+    return rows.join(w, inside, "left_anti").drop("__hour"), counts
 
 
 def keep_note(new: Column, old: Column, keep: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
@@ -220,13 +220,14 @@ def join_lateral_top1(t):
 
 @query("join_nearest_key", """
 select c_custkey, sibling from (select a.c_custkey, b.c_custkey as sibling, row_number() over (partition by a.c_custkey order by abs(a.c_custkey - b.c_custkey), b.c_custkey) as k
- from customer a join customer b on a.c_nationkey = b.c_nationkey and a.c_mktsegment = b.c_mktsegment and a.c_custkey <> b.c_custkey where a.c_custkey % 10 = 0) where k = 1""")
+ from customer a join customer b on a.c_nationkey = b.c_nationkey and a.c_mktsegment = b.c_mktsegment and a.c_custkey <> b.c_custkey) where k = 1""")
 def join_nearest_key(t):
-    c = t("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    b = c.withColumnRenamed("c_custkey", "other")
-    away = F.abs(F.col("c_custkey") - F.col("other"))
-    near = c.where("c_custkey % 10 = 0").join(b, ["c_nationkey", "c_mktsegment"]).where("c_custkey <> other")
-    return near.groupBy("c_custkey").agg(F.min(F.struct(away.alias("d"), "other")).alias("x")).select("c_custkey", F.col("x.other").alias("sibling"))
+    # the nearest in order is a neighbour
+    w = Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey")
+    c = t("customer").withColumns({"before": F.lag("c_custkey").over(w), "after": F.lead("c_custkey").over(w)})
+    nearer = F.col("c_custkey") - F.col("before") <= F.col("after") - F.col("c_custkey")
+    sibling = F.when(F.coalesce(nearer, F.col("after").isNull()), F.col("before")).otherwise(F.col("after"))
+    return c.select("c_custkey", sibling.alias("sibling")).where("sibling is not null")
 
 
 # --- aggregations ----------------------------------------------------------------------------------------------------
@@ -837,8 +838,12 @@ def fn_redact(t):
     return t("documents").select("doc_id", F.md5(S.mask_macs(F.col("text")).cast("binary")).alias("masked"))
 
 
-_KIND = """case when b & (31 + 128 + 256 + 8388608 + 16777216 + (288230376151711744 - 137438953472)) = 0 then 'open' when b & (1 + 128 + 256 + 8388608 + 16777216) <> 0 then 'wep'
- when b & 4 <> 0 and b & 8 <> 0 then 'wpa1_mixed' when b & 4 <> 0 then 'wpa1' when b & (512 + 33554432) <> 0 then 'tkip' else 'rest' end"""
+def _mask(positions) -> int:
+    return sum(1 << p for p in positions)
+
+
+_KIND = f"""case when b & {_mask(S.PROTECTED_BITS)} = 0 then 'open' when b & {_mask(S.WEP_BITS)} <> 0 then 'wep'
+ when b & 4 <> 0 and b & 8 <> 0 then 'wpa1_mixed' when b & 4 <> 0 then 'wpa1' when b & {_mask(S.TKIP_BITS)} <> 0 then 'tkip' else 'rest' end"""
 
 
 @query("fn_security_level", f"""

@@ -74,13 +74,13 @@ def det_twin_episode(t):
 
 
 @query("det_eval_match", """
-with tr as (select o_orderkey as trial_id, o_custkey as user_id, timestamp '2024-01-01' + to_hours(cast(o_orderkey % 700 as integer)) as start_at from orders where o_orderkey < 500),
+with tr as (select o_orderkey as trial_id, o_custkey as user_id, timestamp '2024-01-01' + to_hours(cast(o_orderkey % 700 as integer)) as start_at from orders),
 m as (select trial_id, event_id, row_number() over (partition by trial_id order by value desc nulls last, ts, event_id) as k, (epoch_us(ts) - epoch_us(start_at)) / 1e6 as latency
  from tr join events e on e.user_id = tr.user_id and e.ts <= start_at + interval 13 hour and e.ts >= start_at - interval 1 hour)
 select tr.trial_id, event_id as detection_id, round(latency, 3) as latency_s from tr left join (select * from m where k = 1) m using (trial_id)""")
 def det_eval_match(t):
     start = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("o_orderkey") % 700).cast("int"))
-    trials = t("orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("trial_id"), F.col("o_custkey").alias("user_id"), start.alias("start_at"))
+    trials = t("orders").select(F.col("o_orderkey").alias("trial_id"), F.col("o_custkey").alias("user_id"), start.alias("start_at"))
     trials = trials.withColumn("stop_at", F.col("start_at") + F.expr("interval 12 hours"))
     found = t("events").select("user_id", "ts", F.col("ts").alias("ts_end"), F.col("value").alias("severity_rank"), F.col("event_id").alias("detection_id"))
     return detect.matched_trials(trials, found, "user_id", 3600, 3600).select("trial_id", "detection_id", F.round("latency_s", 3).alias("latency_s"))

@@ -204,9 +204,9 @@ def win_burst_split(t):
     return b.select("user_id", "episode", F.col("n").alias("frames"), "channels", F.round("seconds", 3).alias("seconds"))
 
 
-@query("sort_multi", "select o_orderkey from orders order by case o_orderstatus when 'O' then 0 when 'P' then 1 else 2 end, o_totalprice desc nulls last, o_orderkey limit 100")
+@query("sort_multi", "select o_orderkey from orders order by case o_orderstatus when 'O' then 0 when 'P' then 1 else 2 end, o_totalprice desc nulls last, o_orderkey")
 def sort_multi(t):
-    return t("orders").orderBy(S.choose(F.col("o_orderstatus"), {"O": 0, "P": 1}, 2), F.desc_nulls_last("o_totalprice"), "o_orderkey").limit(100).select("o_orderkey")
+    return t("orders").orderBy(S.choose(F.col("o_orderstatus"), {"O": 0, "P": 1}, 2), F.desc_nulls_last("o_totalprice"), "o_orderkey").select("o_orderkey")
 
 
 @query("set_union_all", "select 'order' as kind, o_orderkey as id from orders union all select 'event', event_id from events")

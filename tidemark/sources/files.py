@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -11,25 +11,46 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, comment="#", schema=schema, enforceSchema=False)
 
 
-def read_json_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON documents, one a file or a line, gzip or plain; malformed ones in _corrupt."""
-    return spark.read.schema(f"{schema}, _corrupt string").json(path, multiLine=False, columnNameOfCorruptRecord="_corrupt")
+def read_json_batches(spark: SparkSession, path: str, schema: str, most_bytes: int | None = None) -> DataFrame:
+    """JSON documents, one a line, gzip or plain; malformed ones in _corrupt. Documents of more than most_bytes are not parsed and come with _too_large."""
+    if most_bytes is None:
+        return spark.read.schema(f"{schema}, _corrupt string").json(path, multiLine=False, columnNameOfCorruptRecord="_corrupt")
+    lines = spark.read.text(path).where("trim(value) <> ''").withColumn("_too_large", F.octet_length("value") > most_bytes)
+    parsed = F.from_json(F.when(~F.col("_too_large"), F.col("value")), f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    return lines.select(parsed.alias("x"), "_too_large").select("x.*", "_too_large")
+
+
+#: Escapes of the text format of COPY, but for the backslash itself.
+_ESCAPES = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}
+
+
+def _unescaped(cell: Column) -> Column:
+    """A cell of COPY's text format; pieces between doubled backslashes hold single ones."""
+
+    def single(piece: Column) -> Column:
+        for c, plain in _ESCAPES.items():
+            piece = F.replace(piece, F.lit("\\" + c), F.lit(plain))
+        return piece
+
+    return F.when(cell != "\\N", F.array_join(F.transform(F.split(cell, r"\\\\", -1), single), "\\"))
 
 
 def copy_blocks(spark: SparkSession, path: str, table: str, columns: list[str]) -> DataFrame:
-    """The rows of a table's COPY blocks in a plain-text database dump, as strings; \\N is null.
+    """The rows of a table's COPY blocks in plain-text database dumps, as strings; \\N is null, escapes are undone.
 
-    Files are read whole lines at a time; a block is told by line number inside its file.
+    A line's place is its split's place in the file and its number in the split. Blocks are told by their first and last
+    lines alone, which are few, and lines find their block by a join; no task sees a whole dump.
     """
-    from pyspark.sql import Window
-
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"), "value")
-    begins = F.when(F.col("value").rlike(r"^COPY \S+ "), F.regexp_extract("value", r"^COPY (?:\w+\.)?(\w+)", 1)).when(F.col("value") == "\\.", F.lit(""))
-    w = Window.partitionBy("file").orderBy("n")
-    at = lines.withColumns({"__mark": begins, "__in": F.last(begins, ignorenulls=True).over(w)}).where((F.col("__in") == table) & F.col("__mark").isNull())
-    cell = F.split("value", "\t")
-    plain = lambda i: F.when(F.get(cell, F.lit(i)) != "\\N", F.get(cell, F.lit(i)))
-    return at.select(*(plain(i).alias(c) for i, c in enumerate(columns)))
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "value")
+    opens = F.regexp_extract("value", r"^COPY (?:\S+\.)?\"?(\w+)\"? ", 1)
+    marks = lines.where(F.col("value").startswith("COPY ") | (F.col("value") == "\\.")).select("file", "place", F.when(F.col("value") != "\\.", opens).alias("table"))
+    w = Window.partitionBy("file").orderBy("place")
+    blocks = marks.withColumn("end", F.lead("place").over(w)).where(F.col("table") == table).select("file", F.col("place").alias("begin"), "end")
+    inside = (lines["place"] > F.col("begin")) & (F.col("end").isNull() | (lines["place"] < F.col("end")))
+    rows = lines.join(blocks, "file").where(inside)
+    cells = F.split("value", "\t", -1)
+    return rows.select(*(_unescaped(F.get(cells, F.lit(i))).alias(c) for i, c in enumerate(columns)))
 
 
 def aligned(df: DataFrame, schema: dict[str, str]) -> DataFrame:
