@@ -3,7 +3,7 @@
 import compare
 import pytest
 
-from tidemark import queries_domain, queries_events, queries_functions, queries_relational  # noqa: F401  register more
+from tidemark import queries_audit, queries_boards, queries_domain, queries_events, queries_functions, queries_relational  # noqa: F401  register more
 from tidemark.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -617,8 +617,8 @@ def upsert_insert_ignore(t):
     return merge.insert_ignore(stored, staged, ["l_orderkey", "l_linenumber"], ["l_quantity"]).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("merge_all", f"select staged, inserted, staged - inserted as conflicts from (select count(*) as staged from {_STAGED}), (select count(*) as inserted from (select distinct l_orderkey, l_linenumber from {_STAGED} where l_linenumber > 4))")
-def merge_all(t):
+@query("upsert_insert_counts", f"select staged, inserted, staged - inserted as conflicts from (select count(*) as staged from {_STAGED}), (select count(*) as inserted from (select distinct l_orderkey, l_linenumber from {_STAGED} where l_linenumber > 4))")
+def upsert_insert_counts(t):
     stored, staged = _halves(t)
     return merge.insert_counts(stored, staged, ["l_orderkey", "l_linenumber"])
 

@@ -285,11 +285,6 @@ def ap_only_filter(t):
     return t("lineitem").join(some, "l_partkey", "left_semi").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("retention_prune", "select event_id from events where ts >= timestamp '2024-01-25'")
-def retention_prune(t):
-    return t("events").where(F.col("ts") >= F.lit("2024-01-25").cast("timestamp_ntz")).select("event_id")
-
-
 @query("fn_clients_source", f"select event_id, case when k > 60 then 'qbss' when k > 20 then 'clients' else 'none' end as source from {_EV}")
 def fn_clients_source(t):
     return _events(t).select("event_id", F.when(F.col("k") > 60, "qbss").when(F.col("k") > 20, "clients").otherwise("none").alias("source"))
@@ -317,3 +312,8 @@ def dash_lookup_small(t):
 @query("an_poll_health", "select event_type, count(*) as n, round(avg(value), 6) as mean, max(ts) as last_at from events group by 1")
 def an_poll_health(t):
     return t("events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("ts").alias("last_at"))
+
+
+@query("retention_cutoff", "select event_id from events where ts >= timestamp '2024-01-25'")
+def retention_cutoff(t):
+    return t("events").where(F.col("ts") >= F.lit("2024-01-25").cast("timestamp_ntz")).select("event_id")
