@@ -189,3 +189,59 @@ def test_empty_tables(spark):
     assert series.sliding_median_mad(df, ["k"], ["ts", "id"], "v", 5).count() == 0
     assert rollup.hourly(df, "k", "ts", "v", F.col("flag")).count() == 0
     assert changes.validity(df, ["k"], "ts", "id", "v").count() == 0
+
+
+def test_admissible_floor_share(spark):
+    from tidemark.operators import audit
+
+    def want(rows):
+        lo, hi = 0.0, 0.5
+        for f, bias, sd in sorted(rows, key=lambda r: r[0]):
+            if bias is None or bias > max(sd or 0.0, 1.0):
+                return lo, min(hi, f)
+            lo = f
+        return lo, hi
+
+    for rows in ([(0.1, 0.5, 2.0), (0.2, 1.5, 2.0), (0.3, 2.5, 2.0), (0.4, 0.1, 2.0)], [(0.05, 0.2, None)], [(0.2, None, 1.0)], [(0.1, 0.9, 0.1), (0.6, 0.1, 1.0)]):
+        df = spark.createDataFrame(rows, "f double, bias double, sd double")
+        r = audit.admissible(df, "f", "bias", "sd").first()
+        assert (r.lo, r.hi) == want(rows)
+
+
+def test_thinned_heartbeats_follow_the_loop(spark):
+    from tidemark import queries_audit  # noqa: F401  registers
+    from tidemark.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    by = {}
+    for r in spark.read.parquet(f"{sf}/events.parquet").collect():
+        by.setdefault((r.user_id, r.ts.date()), []).append((r.ts, r.event_id))
+    want = set()
+    for (user, _), rows in by.items():
+        last = None
+        for at, key in sorted(rows):
+            if last is None or (at - last).total_seconds() >= 21600:
+                want.add((user, key))
+                last = at
+    assert {(r.user_id, r.id) for r in QUERIES["st_heartbeat_thin"](spark, sf).collect()} == want
+
+
+def test_censoring_bias(spark):
+    from tidemark.functions import decisions as D
+
+    def quantile(v, q):
+        pos = q * (len(v) - 1)
+        lo = int(pos)
+        return v[lo] + (v[min(lo + 1, len(v) - 1)] - v[lo]) * (pos - lo)
+
+    rows = [([-80.0, -70.0, -60.0, -50.0, -40.0], 0.2), ([-50.0], 0.1), ([], 0.1), ([-50.0, -40.0], 0.5)]
+    got = [r.b for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, v array<double>, f double").orderBy("i").select(D.censoring_bias(F.col("v"), F.col("f")).alias("b")).collect()]
+    want = [None if not v or f >= 0.5 else quantile(v, 0.5) - quantile(v, (0.5 - f) / (1 - f)) for v, f in rows]
+    assert got == pytest.approx(want, nan_ok=True) if None not in want else [g is None for g in got] == [w is None for w in want] and [g for g in got if g is not None] == pytest.approx([w for w in want if w is not None])
+
+
+def test_a_name_is_registered_once():
+    from tidemark.queries import query
+
+    with pytest.raises(ValueError):
+        query("scan_table")(lambda t: None)

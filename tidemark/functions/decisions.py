@@ -180,3 +180,23 @@ def censoring_bias(values: Column, share: Column) -> Column:
 def presence_label(hours: Column, day_hours: Column, days: Column, of_hours: Column) -> Column:
     """permanent, daytime, transient or intermittent, of the hours and days that an entity was seen."""
     return F.when(hours >= 0.9 * of_hours, "permanent").when((day_hours >= 0.8 * hours) & (days >= 3), "daytime").when(hours <= 2, "transient").otherwise("intermittent")
+
+
+def clients_source(stations: Column, util: Column, counted: Column) -> Column:
+    """Which counter a number of clients comes from: the access point's own, or the sensor's."""
+    return F.when((F.coalesce(stations, F.lit(0)) > 0) | (F.coalesce(util, F.lit(0)) > 0), "ap").when(counted.isNotNull(), "sensor")
+
+
+def grade_unknown(vendor_known: Column, kind_matches: Column, close: Column, corroborated: Column) -> Column:
+    """The severity of an unknown member of a network; a step up for each of close and corroborated."""
+    from tidemark.functions.scalars import raised
+
+    return raised(F.when(vendor_known & kind_matches, "low").otherwise("medium"), close.cast("int") + corroborated.cast("int"))
+
+
+def grade_shift(most_db: Column, stronger: Column, trusted: Column, corroborated: Column, high_db: float, medium_db: float) -> Column:
+    """The severity of a level shift by its size; a step up for a stronger signal of a trusted point, and for corroboration."""
+    from tidemark.functions.scalars import raised
+
+    level = F.when(most_db >= high_db, "high").when(most_db >= medium_db, "medium").otherwise("low")
+    return raised(level, (stronger & trusted).cast("int") + corroborated.cast("int"))

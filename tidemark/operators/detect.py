@@ -49,15 +49,15 @@ def burst_severity(by_alert: Column, by_count: Column, alert_span_s: Column, sus
     return raised(level, F.coalesce(worse, F.lit(False)).cast("int"))
 
 
-def assessed_episodes(events: DataFrame, subject: str, ts: str, tie: str, is_alert: Column, rates: DataFrame, rules: BurstRules) -> DataFrame:
-    """Episodes of bursts and alerts with their threshold, largest count in a window, rules and severity. rates: subject, per_hour."""
-    e = series.sessionize(events.withColumn("__alert", is_alert), [subject], ts, tie, rules.gap_s)
+def assessed_episodes(events: DataFrame, subject: str, ts: str, tie: str, is_alert: Column, rates: DataFrame, rules: BurstRules, worse: Column | None = None, trusted: Column | None = None) -> DataFrame:
+    """Episodes of bursts and alerts with their threshold, largest count in a window, rules and severity. rates: subject, per_hour. `worse` rows of a `trusted` subject raise their episode."""
+    e = series.sessionize(events.withColumns({"__alert": is_alert, "__worse": F.lit(False) if worse is None else worse}), [subject], ts, tie, rules.gap_s)
     w = Window.partitionBy(subject, "episode").orderBy("__us").rangeBetween(-int(rules.window_s * 1e6), 0)
     e = e.withColumn("__us", micros(ts)).withColumn("__n", F.count(F.when(~F.col("__alert"), 1)).over(w))
     alert_at = F.when(F.col("__alert"), F.col("__us"))
     out = e.groupBy(subject, "episode").agg(
         F.min(ts).alias("first_at"), F.max(ts).alias("last_at"), F.count_if("__alert").alias("alerts"), F.count_if(~F.col("__alert")).alias("bursts"),
-        F.max("__n").alias("most_in_window"), ((F.max(alert_at) - F.min(alert_at)) / 1e6).alias("alert_span_s"),
+        F.max("__n").alias("most_in_window"), F.max("__worse").alias("__worse"), ((F.max(alert_at) - F.min(alert_at)) / 1e6).alias("alert_span_s"),
     )
     # a rate has few values, so thresholds are worked out once for each
     each = rates.select("per_hour").distinct().withColumn("threshold", poisson_threshold(F.col("per_hour") * rules.window_s / 3600, rules.alpha, rules.least_bursts))
@@ -65,7 +65,7 @@ def assessed_episodes(events: DataFrame, subject: str, ts: str, tie: str, is_ale
     out = out.join(known, subject, "left").withColumn("threshold", F.coalesce("threshold", F.lit(rules.least_bursts)))
     rule_a, rule_b = F.col("alerts") > 0, F.col("most_in_window") >= F.col("threshold")
     span = F.coalesce("alert_span_s", F.lit(0.0))
-    return out.withColumns({"rule_a": rule_a, "rule_b": rule_b, "severity": burst_severity(rule_a, rule_b, span, rules.sustain_s, F.lit(False))})
+    return out.withColumns({"rule_a": rule_a, "rule_b": rule_b, "severity": burst_severity(rule_a, rule_b, span, rules.sustain_s, F.col("__worse") & (F.lit(True) if trusted is None else trusted))}).drop("__worse")
 
 
 def shifted_windows(df: DataFrame, keys: list[str], order: list[str], value: str, base: DataFrame, rules: ShiftRules) -> DataFrame:

@@ -23,6 +23,9 @@ def query(name: str, sql: str | None = None):
     """Registers a function of (table reader) as a query."""
 
     def add(f):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
 
@@ -658,11 +661,6 @@ def upsert_additive(t):
     return merge.added_up(by("l_linenumber <= 3"), by("l_linenumber > 3"), ["l_partkey", "l_returnflag"], ["polls"], ["peak"])
 
 
-@query("upsert_replay_count", "select user_id, min(ts) as first_at, count(*) - 1 as replays from events group by 1")
-def upsert_replay_count(t):
-    return merge.replays(t("events"), ["user_id"], "ts")
-
-
 @query("update_if_changed", f"""
 select coalesce(a.l_orderkey, b.l_orderkey) as l_orderkey, coalesce(a.l_linenumber, b.l_linenumber) as l_linenumber,
  case when a.l_orderkey is null then 'insert' when b.l_orderkey is null then 'stored' when a.l_returnflag is not distinct from b.l_returnflag then 'same' else 'update' end as action

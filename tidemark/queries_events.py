@@ -18,21 +18,6 @@ def det_deauth_scan(t):
     return detect.counter_bursts(_events(t), ["user_id"], "ts", "event_id", "k", 3600).select("event_id", F.round("since_s", 3).alias("since_s"))
 
 
-@query("det_deauth_assess", f"""
-with f as (select *, case when epoch_us(ts) - epoch_us(lag(ts) over w) > 43200000000 then 1 else 0 end as n, event_type = 'error' as al from events {_W}),
-e as (select *, sum(n) over (partition by user_id order by ts, event_id rows unbounded preceding) as episode from f),
-c as (select *, count(*) filter (where not al) over (partition by user_id, episode order by epoch_us(ts) range between 86400000000 preceding and current row) as m from e),
-a as (select user_id, episode, count(*) filter (where al) as alerts, count(*) filter (where not al) as bursts, max(m) as most, coalesce((epoch_us(max(ts) filter (where al)) - epoch_us(min(ts) filter (where al))) / 1e6, 0) as span from c group by 1, 2)
-select user_id, cast(episode as bigint) as episode, alerts, bursts, most as most_in_window, alerts > 0 as rule_a, most >= 3 as rule_b,
- case when alerts > 0 and most >= 3 then 'high' when alerts > 0 and span >= 10 then 'high' when alerts > 0 and span >= 2 then 'medium' when alerts > 0 then 'low' when most >= 3 then 'medium' end as severity from a""")
-def det_deauth_assess(t):
-    e = t("events")
-    rates = e.select("user_id", F.lit(0.0).alias("per_hour")).distinct()
-    rules = detect.BurstRules(gap_s=43200, window_s=86400)
-    out = detect.assessed_episodes(e, "user_id", "ts", "event_id", F.col("event_type") == "error", rates, rules)
-    return out.select("user_id", "episode", "alerts", "bursts", "most_in_window", "rule_a", "rule_b", "severity")
-
-
 _TWIN = """
 b as (select user_id, median(value) as md from events group by 1), r as (select user_id, any_value(md) as md, 1.4826 * median(abs(value - md)) as sd from events join b using (user_id) group by 1),
 w as (select user_id, event_id, ts, list(value) over (partition by user_id order by ts, event_id rows 9 preceding) as l from events),
@@ -127,12 +112,6 @@ def widen_scan(t):
 # --- dashboards ------------------------------------------------------------------------------------------------------
 
 
-@query("dash_attention", "select event_id, cast(floor(value) as bigint) as rank, (select count(*) from events where floor(value) >= 30) as total from events where floor(value) >= 30 order by floor(value) desc, ts desc, event_id desc limit 20")
-def dash_attention(t):
-    e = t("events").withColumn("rank", F.floor("value"))
-    return dashboards.attention(e, "rank", "ts", "event_id", 30, 20).select("event_id", "rank", "total")
-
-
 @query("dash_events_bucket", """
 with r as (select date_trunc('day', ts) as bucket, event_id, value, row_number() over (partition by date_trunc('day', ts) order by value desc, event_id) as k from events)
 select bucket, count(*) as n, string_agg(cast(event_id as varchar), ',' order by k) filter (where k <= 5) as worst from r group by 1""")
@@ -152,22 +131,6 @@ def dash_event_counts(t):
     return t("events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("rows_"))
 
 
-@query("dash_heatmap", "select cast(ts + interval 1 hour as date) as day, cast(hour(ts + interval 1 hour) as bigint) as hour, max(n) as value from (select date_trunc('hour', ts) as ts, count(*) as n from events group by 1) group by 1, 2")
-def dash_heatmap(t):
-    return dashboards.heat_map(t("events"), "ts", "Europe/Bratislava", F.count("*")).select("day", F.col("hour").cast("long").alias("hour"), "value")
-
-
-@query("dash_sensor_status", "select event_id, case when value > 60 then 'offline' when event_id % 20 > 10 then 'catching_up' when value > 40 then 'unreachable' when event_type = 'error' then 'not_capturing' else 'online' end as status from events")
-def dash_sensor_status(t):
-    v = F.col("value")
-    return t("events").select("event_id", dashboards.sensor_status(v * 10, v * 15, F.col("event_id") % 20, F.col("event_type") != "error").alias("status"))
-
-
-@query("notify_conditions", f"select user_id, ts as \"at\", case when c then 'start' else 'resolve' end as change from (select user_id, ts, value > 40 as c, coalesce(lag(value > 40) over w, false) as was from events {_W}) where c <> was")
-def notify_conditions(t):
-    return dashboards.transitions(t("events"), ["user_id"], "ts", "event_id", F.col("value") > 40)
-
-
 @query("ts_availability_daily", f"""
 with g as (select * from (select user_id, lag(ts) over w as a, ts as b from events {_W}) where epoch_us(b) - epoch_us(a) > 86400000000),
 d as (select *, unnest(generate_series(cast(a as date)::timestamp, b, interval 1 day)) as day from g)
@@ -177,26 +140,6 @@ def ts_availability_daily(t):
     return dashboards.daily_availability(g, ["user_id"], "start_at", "end_at").withColumn("available", F.round("available", 6))
 
 
-@query("dash_compliance", """
-select c_custkey, case when c_mktsegment = 'BUILDING' and c_acctbal < 0 then 'below policy' when c_mktsegment = 'MACHINERY' and c_nationkey < 3 then 'not allowed' end as finding from customer""")
-def dash_compliance(t):
-    f = F.when((F.col("c_mktsegment") == "BUILDING") & (F.col("c_acctbal") < 0), "below policy").when((F.col("c_mktsegment") == "MACHINERY") & (F.col("c_nationkey") < 3), "not allowed")
-    return t("customer").select("c_custkey", f.alias("finding"))
-
-
-@query("dash_security_changes", """
-select c_nationkey, date_trunc('month', o_orderdate) as m, o_orderstatus, count(*) as n from orders join customer on o_custkey = c_custkey group by 1, 2, 3""")
-def dash_security_changes(t):
-    both = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return both.groupBy("c_nationkey", F.date_trunc("month", "o_orderdate").alias("m"), "o_orderstatus").agg(F.count("*").alias("n"))
-
-
-@query("dash_clients_hourly", "select h, count(*) as entities, max(n) as peak, round(avg(n), 6) as mean from (select date_trunc('hour', ts) as h, user_id, count(*) as n from events group by 1, 2) group by 1")
-def dash_clients_hourly(t):
-    per = t("events").groupBy(F.date_trunc("hour", "ts").alias("h"), "user_id").agg(F.count("*").alias("n"))
-    return per.groupBy("h").agg(F.count("*").alias("entities"), F.max("n").alias("peak"), F.round(F.avg("n"), 6).alias("mean"))
-
-
 # --- clocks, sequences, presence -------------------------------------------------------------------------------------
 
 
@@ -220,39 +163,12 @@ def ts_seq_gaps(t):
     return e.select("event_id", F.when(F.col("k") < F.col("b"), "seq_reused").when(jump, "missing").alias("kind"), F.when(jump, F.col("k") - F.col("b") - 1).alias("missing"))
 
 
-@query("ts_clock_place", """
-with b as (select user_id, min(ts) as epoch from events where event_type = 'signup' group by 1)
-select event_id, b.epoch + to_microseconds(event_id * 1000) as placed, case when b.epoch is null then 'HOLD' when event_type = 'error' then 'UNVERIFIED' else 'SEND' end as fate from events e left join b using (user_id)""")
-def ts_clock_place(t):
-    b = t("events").where("event_type = 'signup'").groupBy("user_id").agg(F.min("ts").alias("epoch"))
-    e = t("events").join(b, "user_id", "left")
-    placed = F.timestamp_micros(S.micros("epoch") + F.col("event_id") * 1000).cast("timestamp_ntz")
-    return e.select("event_id", placed.alias("placed"), F.when(F.col("epoch").isNull(), "HOLD").when(F.col("event_type") == "error", "UNVERIFIED").otherwise("SEND").alias("fate"))
-
-
-@query("ts_stale_windows", "select user_id, min(ts) as lo, max(ts) as hi, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) as delta_s from events where event_type = 'error' group by 1 having count(*) > 1")
-def ts_stale_windows(t):
-    g = t("events").where("event_type = 'error'").groupBy("user_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count("*").alias("n")).where("n > 1")
-    return g.select("user_id", "lo", "hi", F.round((S.micros("hi") - S.micros("lo")) / 1e6, 3).alias("delta_s"))
-
-
 @query("ts_new_observation", f"select event_id from (select event_id, k, lag(k) over w as b from {_EV} {_W}) where b is null or k > b")
 def ts_new_observation(t):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return _events(t).withColumn("b", F.lag("k").over(w)).where("b is null or k > b").select("event_id")
 
 
-@query("ts_churn_daily", """
-with f as (select user_id, cast(min(ts) as date) as a, cast(max(ts) as date) as z from events group by 1), d as (select cast(ts as date) as day, count(distinct user_id) as active from events group by 1)
-select day, active, coalesce(n, 0) as fresh, coalesce(l, 0) as gone from d left join (select a, count(*) as n from f group by 1) on a = day left join (select z, count(*) as l from f group by 1) on z = day""")
-def ts_churn_daily(t):
-    f = t("events").groupBy("user_id").agg(F.to_date(F.min("ts")).alias("a"), F.to_date(F.max("ts")).alias("z"))
-    d = t("events").groupBy(F.to_date("ts").alias("day")).agg(F.count_distinct("user_id").alias("active"))
-    first = f.groupBy(F.col("a").alias("day")).agg(F.count("*").alias("n"))
-    last = f.groupBy(F.col("z").alias("day")).agg(F.count("*").alias("l"))
-    return d.join(first, "day", "left").join(last, "day", "left").select("day", "active", F.coalesce("n", F.lit(0)).alias("fresh"), F.coalesce("l", F.lit(0)).alias("gone"))
-
-
 @query("ts_sightings", f"""
 with f as (select *, case when epoch_us(ts) - epoch_us(lag(ts) over w) > 21600000000 then 1 else 0 end as n from events {_W}),
 e as (select *, sum(n) over (partition by user_id order by ts, event_id rows unbounded preceding) as g from f),
@@ -272,30 +188,6 @@ def ts_last_config_change(t):
     return c.groupBy("o_custkey").agg(F.count("*").alias("n_changes"), F.max("o_orderdate").alias("last_change_at"), F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("last_state"))
 
 
-@query("ts_account_aps", """
-select o_custkey, o_orderstatus, o_orderpriority, n from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as k, count(*) over (partition by o_custkey) as n from orders) where k = 1""")
-def ts_account_aps(t):
-    newest = F.max_by(F.struct("o_orderstatus", "o_orderpriority"), F.struct("o_orderdate", "o_orderkey"))
-    return t("orders").groupBy("o_custkey").agg(newest.alias("x"), F.count("*").alias("n")).select("o_custkey", "x.*", "n")
-
-
-@query("ts_load_attribution", """
-with h as (select l_suppkey, l_shipdate as at_, max_by(l_returnflag, (l_orderkey, l_linenumber)) as channel from lineitem group by 1, 2),
-s as (select l_suppkey, l_orderkey, l_linenumber, l_shipdate, l_quantity from lineitem where l_linenumber = 1)
-select s.l_suppkey, channel, count(*) as polls, sum(l_quantity) as total, max(l_quantity) as peak from s asof join h on s.l_suppkey = h.l_suppkey and s.l_shipdate >= h.at_ group by 1, 2""")
-def ts_load_attribution(t):
-    l = t("lineitem")
-    h = l.groupBy("l_suppkey", F.col("l_shipdate").alias("at")).agg(F.max_by("l_returnflag", F.struct("l_orderkey", "l_linenumber")).alias("channel"))
-    s = l.where("l_linenumber = 1").select("l_suppkey", "l_orderkey", "l_shipdate", "l_quantity")
-    j = intervals.asof(s, h, ["l_suppkey"], "l_shipdate", "at", ["channel"])
-    return j.groupBy("l_suppkey", "channel").agg(F.count("*").alias("polls"), F.sum("l_quantity").alias("total"), F.max("l_quantity").alias("peak"))
-
-
-@query("ts_growth", "select cast(ts as date) as day, count(*) as n, sum(octet_length(encode(props))) as bytes from events group by 1")
-def ts_growth(t):
-    return t("events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.sum(F.octet_length("props")).alias("bytes"))
-
-
 @query("ts_hourly_profile", "select hour(first) as hour, count(*) as n, count(*) filter (where user_id % 4 = 2) as local from (select user_id, min(ts) as first from events group by 1) group by 1")
 def ts_hourly_profile(t):
     f = t("events").groupBy("user_id").agg(F.min("ts").alias("first"))
@@ -362,11 +254,3 @@ def ts_discarded_seqs(t):
     return s.groupBy("o_custkey").agg(F.count_distinct("s").alias("seqs"))
 
 
-@query("ts_crash_recovery", f"""
-select user_id, count(*) as crashes, count(*) filter (where r <= 86400) as within_day, round(max(r), 3) as longest_s from (
- select user_id, event_type, (epoch_us(min(case when event_type = 'signup' then ts end) over (partition by user_id order by ts, event_id rows between 1 following and unbounded following)) - epoch_us(ts)) / 1e6 as r from events) where event_type = 'error' group by 1""")
-def ts_crash_recovery(t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(1, Window.unboundedFollowing)
-    up = F.min(F.when(F.col("event_type") == "signup", F.col("ts"))).over(w)
-    e = t("events").withColumn("r", (S.micros(up) - S.micros("ts")) / 1e6).where("event_type = 'error'")
-    return e.groupBy("user_id").agg(F.count("*").alias("crashes"), F.count_if(F.col("r") <= 86400).alias("within_day"), F.round(F.max("r"), 3).alias("longest_s"))

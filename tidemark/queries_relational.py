@@ -132,19 +132,6 @@ def agg_qbss_or_client(t):
     return _events(t).groupBy("user_id").agg(F.when(F.bool_or(own), F.max(F.when(own, F.col("k")))).otherwise(F.max("k")).alias("clients"))
 
 
-@query("agg_rate_table", "select lang, count(*) as n, round(avg(quality), 6) as quality_rate, round(avg(toxic), 6) as toxic_rate, round(count(toxic)::double / count(*), 6) as labelled from documents left join labels using (doc_id) group by 1")
-def agg_rate_table(t):
-    r = lambda c, name: F.round(c, 6).alias(name)
-    d = t("documents").select("doc_id", "lang").join(t("labels"), "doc_id", "left")
-    return d.groupBy("lang").agg(F.count("*").alias("n"), r(F.avg("quality"), "quality_rate"), r(F.avg("toxic"), "toxic_rate"), r(F.count("toxic") / F.count("*"), "labelled"))
-
-
-@query("agg_recall_cells", "select o_orderpriority, o_orderstatus, count(*) as trials, count(*) filter (where o_totalprice > 100000) as hits, round(count(*) filter (where o_totalprice > 100000)::double / count(*), 6) as recall from orders group by 1, 2")
-def agg_recall_cells(t):
-    hit = F.count_if(F.col("o_totalprice") > 100000)
-    return t("orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("trials"), hit.alias("hits"), F.round(hit / F.count("*"), 6).alias("recall"))
-
-
 @query("agg_json", "select user_id, count(*) as n, max(k) as k from " + _EV + " group by 1")
 def agg_json(t):
     """Counts by way of a JSON document that is built and read back."""
@@ -285,11 +272,6 @@ def ap_only_filter(t):
     return t("lineitem").join(some, "l_partkey", "left_semi").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("fn_clients_source", f"select event_id, case when k > 60 then 'qbss' when k > 20 then 'clients' else 'none' end as source from {_EV}")
-def fn_clients_source(t):
-    return _events(t).select("event_id", F.when(F.col("k") > 60, "qbss").when(F.col("k") > 20, "clients").otherwise("none").alias("source"))
-
-
 @query("fn_event_label", "select event_id, coalesce(case event_type when 'error' then 'Failure' when 'signup' then 'New' end, event_type) as label from events")
 def fn_event_label(t):
     kind = F.col("event_type")
@@ -309,11 +291,6 @@ def dash_lookup_small(t):
     return t("supplier").groupBy("s_nationkey").agg(F.array_join(ids, ",").alias("ids"))
 
 
-@query("an_poll_health", "select event_type, count(*) as n, round(avg(value), 6) as mean, max(ts) as last_at from events group by 1")
-def an_poll_health(t):
-    return t("events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("ts").alias("last_at"))
-
-
 @query("retention_cutoff", "select event_id from events where ts >= timestamp '2024-01-25'")
 def retention_cutoff(t):
     return t("events").where(F.col("ts") >= F.lit("2024-01-25").cast("timestamp_ntz")).select("event_id")
