@@ -147,6 +147,13 @@ def parse_when(text: Column) -> Column:
     return F.when(text.rlike(shape), F.try_to_timestamp(F.upper(F.trim(text))))
 
 
+def _hundredths(x: Column) -> Column:
+    """x to two decimals as text, rounded by its binary value: halves that are exact go to the even digit."""
+    low = F.floor(x * 100)
+    n = F.when(x * 8 == F.floor(x * 8), F.rint(x * 100)).otherwise(low + (x - low / 100 >= 0.005).cast("int")).cast("long")
+    return F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+
+
 def compact_duration(seconds: Column) -> Column:
     """0.01s, 45s, 3m10s, 2h05m, 1d03h; - for null."""
     s = F.rint(seconds).cast("long")
@@ -154,7 +161,7 @@ def compact_duration(seconds: Column) -> Column:
     m, h, d = F.floor(s / 60), F.floor(s / 3600), F.floor(s / 86400)
     text = lambda *x: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in x))
     return (
-        F.when(seconds.isNull(), "-").when(seconds < 10, F.format_string("%.2fs", seconds)).when(s < 60, text(s.cast("string"), "s")).when(m < 60, text(m.cast("string"), "m", two(s % 60), "s"))
+        F.when(seconds.isNull(), "-").when(seconds < 10, text(_hundredths(seconds), "s")).when(s < 60, text(s.cast("string"), "s")).when(m < 60, text(m.cast("string"), "m", two(s % 60), "s"))
         .when(h < 24, text(h.cast("string"), "h", two(m % 60), "m")).otherwise(text(d.cast("string"), "d", two(h % 24), "h"))
     )
 
