@@ -299,3 +299,61 @@ def cal_bucket_member(t):
     x = e.join(_captured_hours(t).withColumn("c", F.lit(True)), "hour", "left")
     n = F.floor((S.micros("ts") - S.micros(at(_FROM))) / 21_600_000_000) + 1
     return x.select("event_id", n.alias("bucket"), F.coalesce("c", F.lit(False)).alias("captured"))
+
+
+# --- documents in and out --------------------------------------------------------------------------------------------
+
+
+@query("sink_json_response", "select event_id, '{\"id\":' || event_id || ',\"at\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '\",\"type\":\"' || event_type || '\"}' as body from events")
+def sink_json_response(t):
+    body = F.to_json(F.struct(F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"), F.col("event_type").alias("type")))
+    return t("events").select("event_id", body.alias("body"))
+
+
+@query("project_shape_alert", f"select event_id, event_type as header, case when k % 3 > 0 then 'ch' || k % 13 end as channel, case when k % 2 = 0 then 'h' || k else sha1(event_type || '|' || user_id || '|' || case when k % 3 > 0 then 'ch' || k % 13 else '' end) end as hash from {_EV}")
+def project_shape_alert(t):
+    """Alert documents as rows; an alert without a hash gets one of its fields."""
+    ch = F.when(F.col("k") % 3 > 0, F.concat(F.lit("ch"), (F.col("k") % 13).cast("string")))
+    own = F.when(F.col("k") % 2 == 0, F.concat(F.lit("h"), F.col("k").cast("string")))
+    doc = F.to_json(F.struct(F.col("event_type").alias("header"), F.struct(ch.alias("channel"), F.col("user_id").alias("mac")).alias("base"), own.alias("hash")))
+    j = _events(t).select("event_id", doc.alias("d"))
+    path = lambda p: F.get_json_object("d", p)
+    a = j.select("event_id", path("$.header").alias("header"), path("$.base.channel").alias("channel"), path("$.base.mac").alias("mac"), path("$.hash").alias("own"))
+    return a.select("event_id", "header", "channel", F.coalesce("own", S.stable_hash(F.col("header"), F.col("mac"), F.col("channel"))).alias("hash"))
+
+
+@query("project_shape_device", """
+with f as (select l_orderkey, l_linenumber * 5 + 2407 as mhz, sum(l_quantity)::bigint as n from lineitem group by 1, 2)
+select l_orderkey as device, arg_max(mhz, (n, -mhz)) as busiest, array_to_string(list(mhz || ':' || n order by mhz), ',') as freqs, sum(n)::bigint as packets from f group by 1""")
+def project_shape_device(t):
+    """Device documents with a map of packets by frequency, as flat rows."""
+    f = t("lineitem").groupBy("l_orderkey", (F.col("l_linenumber") * 5 + 2407).alias("mhz")).agg(F.sum("l_quantity").cast("long").alias("n"))
+    doc = f.groupBy("l_orderkey").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(F.col("mhz").cast("string"), "n"))).alias("freq"))).alias("d"))
+    pairs = F.transform(F.map_entries(F.from_json("d", "freq map<string, bigint>")["freq"]), lambda e: F.struct(e["key"].cast("long").alias("mhz"), e["value"].alias("n")))
+    x = doc.select(F.col("l_orderkey").alias("device"), F.array_sort(pairs).alias("e"))
+    best = F.array_max(F.transform("e", lambda e: F.struct(e["n"].alias("n"), (-e["mhz"]).alias("m"))))
+    text = F.array_join(F.transform("e", lambda e: F.concat_ws(":", e["mhz"].cast("string"), e["n"].cast("string"))), ",")
+    return x.select("device", (-best["m"]).alias("busiest"), text.alias("freqs"), F.aggregate("e", F.lit(0).cast("long"), lambda a, e: a + e["n"]).alias("packets"))
+
+
+@query("det_evidence_deauth", f"""
+with g as (select *, sum(b) over (partition by user_id order by ts, event_id rows unbounded preceding) as g from (select *, case when epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) > 21600000000 then 1 else 0 end as b from {_EV} where event_type = 'error'))
+select user_id, g::bigint as episode, '{{"window_start":"' || strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') || '","window_end":"' || strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') || '","alerts":' || count(*) || ',"sources":' || count(distinct k) || ',"ap":{{"id":' || user_id || '}}}}' as evidence from g group by user_id, g""")
+def det_evidence_deauth(t):
+    """The evidence document of each episode of alerts."""
+    from tidemark.operators import series
+
+    e = series.episodes(_events(t).where("event_type = 'error'"), ["user_id"], "ts", "event_id", 21600, F.count_distinct("k").alias("sources"))
+    iso = lambda c, name: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(name)
+    doc = F.struct(iso("first_at", "window_start"), iso("last_at", "window_end"), F.col("n").alias("alerts"), "sources", F.struct(F.col("user_id").alias("id")).alias("ap"))
+    return e.select("user_id", "episode", F.to_json(doc).alias("evidence"))
+
+
+@query("st_backoff_paging", V + "select sensor, count(*) as rows, max(ts) as upto from (select *, count(*) over (partition by sensor order by date_trunc('hour', ts)) as n from polls) where n <= 200 group by 1")
+def st_backoff_paging(t):
+    """The first page of each sensor: at most 200 rows, cut between hours, never inside one."""
+    h = F.date_trunc("hour", "ts").alias("hour")
+    per = polls(t).groupBy("sensor", h).agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    upto = F.sum("n").over(Window.partitionBy("sensor").orderBy("hour"))
+    page = per.withColumn("upto_n", upto).where("upto_n <= 200")
+    return page.groupBy("sensor").agg(F.sum("n").alias("rows"), F.max("last").alias("upto"))
