@@ -523,3 +523,20 @@ def test_held_out_rows_are_never_learned_from(spark):
     swapped = {i: 1 - v if crc32(str(i).encode()) % 4 == 2 else v for i, v in y.items()}
     a, b = (score(docs, train(docs, spark.createDataFrame(list(x.items()), "doc_id long, toxic int"))).orderBy("doc_id").collect() for x in (y, swapped))
     assert a == b
+
+
+def test_mixed_pieces_are_the_documents_words_in_order(spark):
+    """Odd white space, long and short texts: the pieces of a document, put together by their places, are its words."""
+    from tidemark.llm.mixing import mixed_text
+
+    rows = [(i, "\n " * (i % 2) + "\t \n".join(f"d{i}w{k}é" for k in range(n)) + "  " * (i % 3)) for i, n in enumerate((1, 7, 8, 9, 40, 700, 3))]
+    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    got = defaultdict(dict)
+    for r in mixed_text(df, block=8).collect():
+        assert got[r.doc_id].setdefault(r.part, r.text) == r.text
+    for i, t in rows:
+        if got[i]:
+            whole = [w for part in sorted(got[i]) for w in got[i][part].split(" ")]
+            assert whole == [w for w in words(t) if w in set(whole)]
+            assert all(0 < len(x.split(" ")) <= 8 for x in got[i].values())
+    assert len(got) >= 5

@@ -25,7 +25,7 @@ from math import ceil, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, saved, small
+from tidemark.llm.common import SPACE, WORD, saved, small
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -211,8 +211,19 @@ def mixed_text(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     sized = numbered(df, doc_id, text, source, keep_text=True)
     aims = saved(targets(sized), "targets")
     cut = pieces(laid(sized, aims), block).join(plan(slot_totals(aims, block), shard_slots, seed), ["rank", "block"])
-    takes = cut.groupBy("row").agg(F.collect_list(F.struct("shard", "slot", (F.col("begin") + F.col("lo")).alias("part"), "lo", "hi")).alias("takes"))
-    rows = sized.select("row", "doc_id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words")).join(takes, "row")
-    # cut inside the row: an array is not carried through the explode
-    piece = lambda p: F.struct(p["shard"].alias("shard"), p["slot"].alias("slot"), p["part"].alias("part"), F.array_join(F.slice("words", (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")), " ").alias("text"))
-    return rows.select("doc_id", F.explode(F.transform("takes", piece)).alias("p")).select("doc_id", "p.*")
+    number = (F.col("block") - F.floor(F.col("begin") / block)).cast("int").alias("number")
+    takes = cut.groupBy("row").agg(F.first("begin").alias("begin"), F.collect_list(F.struct("shard", "slot", (F.col("begin") + F.col("lo")).alias("part"), number)).alias("takes"))
+    rows = sized.select("row", "doc_id", "text").join(takes, "row")
+    # a text is cut once, at its block borders; an explode of one row holds the pieces, so that they are not made again for each slot
+    own = rows.select("doc_id", "takes", F.explode(F.array(_cut(F.col("text"), block - F.col("begin") % block, block))).alias("pieces"))
+    piece = lambda p: F.struct(p["shard"].alias("shard"), p["slot"].alias("slot"), p["part"].alias("part"), F.get("pieces", p["number"]).alias("text"))
+    return own.select("doc_id", F.explode(F.transform("takes", piece)).alias("p")).select("doc_id", "p.*")
+
+
+def _cut(text: Column, first: Column, block: int) -> Column:
+    """The words of a text, joined by one space, in a first piece of `first` words and further ones of `block`."""
+    some = rf"(?:{WORD}+{SPACE}*+){{1,"
+    head = F.call_function("regexp_extract", text, F.concat(F.lit(f"^{SPACE}*+{some}"), first.cast("string"), F.lit("}+")), F.lit(0))
+    rest = F.substring(text, F.char_length(head) + 1, F.char_length(text))
+    raw = F.concat(F.array(head), F.regexp_extract_all(rest, F.lit(f"{some}{block}}}+"), F.lit(0)))
+    return F.transform(raw, lambda c: F.array_join(F.regexp_extract_all(c, F.lit(WORD), F.lit(0)), " "))
