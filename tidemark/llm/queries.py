@@ -91,6 +91,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.divergence import source_divergence
+
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.pieces import decode, encode
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = encode(_table(spark, sf_dir, "documents"), model, keep=("doc_id",), packed=True)
+    out = decode(coded, model, keep=("doc_id", "ids", "starts", "ends"))
+    digests = (F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.sha2(F.concat("starts", "ends"), 256).alias("spans_sha256"))
+    return out.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), *digests)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.hard_negatives import hard_negatives
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", relabelled), anchors=F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op2_token_counts": op2_token_counts,
@@ -102,6 +128,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_divergence": op11_divergence,
+    "op12_pieces": op12_pieces,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -110,4 +139,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_decontamination": sql.OP6,
     "op8_minhash_dedup": sql.OP8,
     "op9_mixing": sql.OP9,
+    "op11_divergence": sql.OP11,
+    "op13_hard_negatives": sql.OP13,
 }

@@ -147,3 +147,63 @@ select documents.doc_id, cast(coalesce(len(l), 0) as bigint) as n_lines, cast(co
   sha256(array_to_string(list_filter(coalesce(l, ['']), lambda x, i: not list_contains(coalesce(g, []), i)), chr(10))) as kept_sha256
 from documents left join d using (doc_id) left join lists using (doc_id)
 """
+
+
+OP11 = r"""
+with d as (
+  select row_number() over () as k, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents
+),
+t as (select k, lang, source, unnest(w) as term from d),
+kept as (select lang, term from t group by 1, 2 having count(distinct k) >= 30),
+v as (select lang, cast(count(term) as hugeint) as v from (select distinct lang from d) left join kept using (lang) group by 1),
+c as (select lang, source, term, count(*) as n from t join kept using (lang, term) group by 1, 2, 3),
+g as (
+  select lang, source, cast(coalesce(sum(n), 0) as hugeint) as total
+  from (select distinct lang, source from d) left join c using (lang, source) group by 1, 2
+),
+p as (
+  select lang, source, term, coalesce(n, 0) as n, 1 + (cast(1000000000 as hugeint) * (coalesce(n, 0) + 5)) // (total + 5 * v) as p
+  from g join v using (lang) join kept using (lang) left join c using (lang, source, term)
+),
+q as (
+  select lang, term, 1 + (cast(1000000000 as hugeint) * (n + 5)) // (total + 5 * v) as q
+  from (select lang, term, sum(n) as n from c group by 1, 2) join (select lang, cast(sum(total) as hugeint) as total from g group by 1) using (lang) join v using (lang)
+),
+pairs as (
+  select a.lang, a.source, b.source as item, coalesce(sum(abs(x.p - y.p)), 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join (p x join p y on x.lang = y.lang and x.term = y.term) on x.lang = a.lang and x.source = a.source and y.source = b.source
+  group by 1, 2, 3
+),
+found as (
+  select lang, source, 'pair' as part, item, value from pairs
+  union all
+  select lang, source, 'term', term, p - q from p join q using (lang, term) where n > 0 and p > q
+)
+select lang, source, part, item, cast(value as bigint) as value, rank
+from (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from found)
+where part = 'pair' or rank <= 50
+"""
+
+OP13 = """
+with r as (
+  select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+s as (
+  select a.vec_id as anchor_id, a.label as own, b.vec_id, b.label, cast(list_dot_product(a.v, b.v) as bigint) as score
+  from r a join r b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0
+),
+pos as (
+  select anchor_id, vec_id as positive_id, score as positive_score
+  from s where label = own qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as rank, vec_id as negative_id, positive_score, score as negative_score
+from pos join s using (anchor_id)
+where label <> own and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 5
+"""
