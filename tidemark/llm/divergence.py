@@ -30,6 +30,8 @@ from tidemark.llm.common import saved
 
 #: A task's fold goes out when it holds so many (lang, source, term) rows: about 100 MB.
 FOLD = 400_000
+#: Rows of a part of the second pass, unless the pairs of sources are more.
+PART = 100_000
 #: Cells of a block of runs (terms x sources) in the second pass: 8 MB an array.
 CELLS = 1 << 20
 #: Bytes that separate terms become spaces, A-Z become a-z; letters and all bytes of other characters stay.
@@ -220,11 +222,13 @@ def source_divergence(docs: DataFrame, least: int = 30, top: int = 50) -> DataFr
     runs = folds.repartition(parts, "lang", "term").sortWithinPartitions(*order).mapInArrow(_kept(least), "lang string, term string, source string, n long, first long")
     kept = saved(runs, "kept")
 
-    groups = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"))
-    vocabulary = kept.groupBy("lang").agg(F.sum("first").alias("v"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
-    header = saved(groups.join(vocabulary, "lang"), "groups").select(every, "lang", F.lit("").alias("term"), "source", "n", "v")
-    body = kept.where("term != ''").select(F.pmod(F.hash("lang", "term"), F.lit(parts)).alias("part"), "lang", "term", "source", "n", F.lit(None).cast("long").alias("v"))
+    groups = saved(kept.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.sum("first").alias("v")), "groups")
+    pairs = groups.groupBy("lang").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0
+    many = max(1, -(-kept.count() // max(PART, pairs)))  # so that partial pairs are fewer than rows
+    vocabulary = groups.groupBy("lang").agg(F.sum("v").alias("v"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("part")
+    header = groups.drop("v").join(vocabulary, "lang").select(every, "lang", F.lit("").alias("term"), "source", "n", "v")
+    body = kept.where("term != ''").select(F.pmod(F.hash("lang", "term"), F.lit(many)).alias("part"), "lang", "term", "source", "n", F.lit(None).cast("long").alias("v"))
     dealt = header.unionByName(body).repartition(parts, "part").sortWithinPartitions("part", "lang", "term", "source")
     found = saved(dealt.mapInArrow(_partials(top), "lang string, source string, part string, item string, value long"), "partials")
 
