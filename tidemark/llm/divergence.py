@@ -1,7 +1,7 @@
 """Source divergence audit: how far the term distributions of a language's sources lie apart, and by which terms.
 
 Sort-based streaming in two passes. Tasks fold their documents into rows (lang, term, source, fold: documents, count);
-these are dealt by (lang, term) and sorted by (lang, term, source, fold), so that a scan over run lengths gives each
+these are dealt by (lang, term) and sorted by (term, lang, source, fold), so that a scan over run lengths gives each
 term's document frequency and its count in each source, one run in memory at a time. Kept terms are dealt again behind
 a header that lists the groups of their language, and each run yields its share of every pair's distance and its terms.
 
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import saved
 
-#: A task's fold goes out when it holds so many (lang, source, term) rows: about 100 MB.
-FOLD = 400_000
+#: A task's fold goes out when it holds so many (lang, source, term) rows: about 150 MB.
+FOLD = 600_000
 #: Rows of a part of the second pass, unless the pairs of sources are more.
 PART = 100_000
 #: Cells of a block of runs (terms x sources) in the second pass: 8 MB an array.
@@ -52,21 +52,21 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             terms = list(docs)
             for a in range(0, len(terms), 20_000):
                 part = terms[a : a + 20_000]
-                n = len(part)
-                columns = [pa.array([lang] * n), pa.array([t.decode() for t in part]), pa.array([source] * n), pa.array([(task << 32) + folds] * n), pa.array([docs[t] for t in part]), pa.array([counts[t] for t in part], pa.int64())]
+                same = (pa.repeat(pa.scalar(x), len(part)) for x in (lang, source, (task << 32) + folds))
+                numbers = (pa.array(list(map(x.__getitem__, part)), pa.int64()) for x in (docs, counts))
+                columns = [next(same), pa.array(part, pa.binary()).cast(pa.string()), *same, *numbers]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "term", "source", "fold", "df", "n"])
 
     for b in batches:
         for text, lang, source in zip(*(b.column(k).to_pylist() for k in ("text", "lang", "source")), strict=True):
             if (lang, source) not in groups:
-                groups[lang, source] = (Counter(), Counter({b"": 0}))
+                groups[lang, source] = (Counter(), Counter())
             docs, counts = groups[lang, source]
             before = len(docs)
-            words = text.encode().translate(_TERMS).split(b" ")
-            found = Counter(words)
-            found[b""] = 0
-            counts.update(found)
-            docs.update(found.keys())
+            words = text.encode().translate(_TERMS).split()
+            counts.update(words)
+            docs.update(set(words))
+            docs[b""] += 1
             held += len(docs) - before
             if held > FOLD:
                 yield from out()
@@ -218,7 +218,7 @@ def source_divergence(docs: DataFrame, least: int = 30, top: int = 50) -> DataFr
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     read = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
     folds = read.mapInArrow(_folded, "lang string, term string, source string, fold long, df long, n long")
-    order = ("lang", "term", "source", "fold")
+    order = ("term", "lang", "source", "fold")  # the term first: most rows differ in it
     runs = folds.repartition(parts, "lang", "term").sortWithinPartitions(*order).mapInArrow(_kept(least), "lang string, term string, source string, n long, first long")
     kept = saved(runs, "kept")
 
