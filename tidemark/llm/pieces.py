@@ -2,7 +2,7 @@
 
 A text is normalised by the longest prefix that the model's compiled character map knows, character by character else,
 and every normalised byte keeps the byte of the text that it came from. The normalised text falls apart at its space
-symbols (proven offline: no piece of the vocabulary holds one after another character), each part is merged by score
+symbols (proven offline: no piece of the vocabulary holds one after another character), the library merges each part
 (once per distinct part and worker, within a bounded memo), and each piece's span is read off the alignment.
 
 Results: null texts count as empty; begin and end ids have empty spans at the text's ends. Characters without a piece
@@ -19,7 +19,6 @@ import codecs
 import re
 from array import array
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +73,7 @@ class Pieces:
     """A model read for encoding and decoding; one for each worker process."""
 
     def __init__(self, path: str):
+        import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
@@ -86,15 +86,18 @@ class Pieces:
         self.map = CharMap(norm.precompiled_charsmap) if norm.precompiled_charsmap else None
         self.dummy, self.squeeze = norm.add_dummy_prefix, norm.remove_extra_whitespaces
         self.begin, self.end = train.bos_id, train.eos_id
-        self.ids = {p.piece: k for k, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
-        self.score = {p.piece: p.score for p in model.pieces if p.type == kinds.NORMAL}
-        self.byte = {int(p.piece[3:5], 16): k for k, p in enumerate(model.pieces) if p.type == kinds.BYTE}
+        byte = {k: int(p.piece[3:5], 16) for k, p in enumerate(model.pieces) if p.type == kinds.BYTE}
         shown = {kinds.CONTROL: lambda p: b"", kinds.UNKNOWN: lambda p: train.unk_surface.encode(), kinds.BYTE: lambda p: bytes([int(p[3:5], 16)])}
         self.surface = [shown.get(p.type, lambda x: x.replace(SPACE, " ").encode())(p.piece) for p in model.pieces]
-        self.is_byte = frozenset(self.byte.values())
-        apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)  # the offline proof
+        self.is_byte = frozenset(byte)
+        self.size = np.array([len(p.piece.encode()) * (p.type == kinds.NORMAL) for p in model.pieces], np.int64)
+        self.lead = np.array([0 if k not in byte or 0x80 <= byte[k] < 0xC0 else 1 + (byte[k] >= 0xC0) + (byte[k] >= 0xE0) + (byte[k] >= 0xF0) for k in range(len(model.pieces))])
+        apart = not any(re.search(f"[^{SPACE}]{SPACE}", p.piece) for p in model.pieces if p.type == kinds.NORMAL)  # the offline proof
         self.parts = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if apart else r"(?s).+").findall
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
+        norm.Clear()  # from here on the library merges what is already normalised
+        norm.name, norm.add_dummy_prefix, norm.remove_extra_whitespaces, norm.escape_whitespaces = "identity", False, False, False
+        self.merge = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString()).encode
+        self.memo: dict[str, bytes] = {}
 
     def normalised(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """The normalised text, and for each of its bytes, and its end, the byte of text that it comes from."""
@@ -134,58 +137,35 @@ class Pieces:
             del out[bare:], origin[bare + 1 :]
         return bytes(out), np.array(origin, np.int64)
 
-    def part(self, part: str) -> tuple[bytes, bytes]:
-        """Ids of a part and the lengths of its pieces in normalised bytes, both as packed 32-bit numbers."""
-        symbols: list[str | None] = list(part)
-        n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        score = self.score.get
-        queue = [(-s, k, 2) for k in range(n - 1) if (s := score(symbols[k] + symbols[k + 1])) is not None]
-        heapify(queue)
-        while queue:
-            _, k, size = heappop(queue)
-            nxt = after[k]
-            if symbols[k] is None or nxt < 0 or len(symbols[k]) + len(symbols[nxt]) != size:
-                continue
-            symbols[k] += symbols[nxt]
-            symbols[nxt] = None
-            far = after[k] = after[nxt]
-            if far >= 0:
-                before[far] = k
-                if (s := score(symbols[k] + symbols[far])) is not None:
-                    heappush(queue, (-s, k, size + len(symbols[far])))
-            near = before[k]
-            if near >= 0 and (s := score(symbols[near] + symbols[k])) is not None:
-                heappush(queue, (-s, near, size + len(symbols[near])))
-        ids, sizes = array("I"), array("I")
-        for x in symbols:
-            if x is not None:
-                raw = x.encode()
-                if x in self.ids:
-                    ids.append(self.ids[x])
-                    sizes.append(len(raw))
-                else:
-                    ids.extend(self.byte[c] for c in raw)
-                    sizes.extend([0] * (len(raw) - 1) + [len(raw)])
-        return ids.tobytes(), sizes.tobytes()
+    def merged(self, parts: list[str]) -> list[bytes]:
+        """Packed ids of each part; the library merges those that the memo does not have."""
+        memo = self.memo
+        if new := list(set(parts).difference(memo)):
+            if len(memo) > MEMO:
+                memo.clear()
+                new = list(set(parts))
+            for p, ids in zip(new, self.merge(new, num_threads=1), strict=True):
+                memo[p] = array("I", ids).tobytes()
+        out = list(map(memo.__getitem__, parts))
+        for p in new:
+            if len(p) > MEMO_CHARS:
+                del memo[p]
+        return out
+
+    def lengths(self, ids: np.ndarray) -> np.ndarray:
+        """Normalised bytes that each piece covers; of byte pieces, a character's last one covers all of it."""
+        out = self.size[ids]
+        lead = self.lead[ids]
+        at = np.flatnonzero(lead)
+        out[at + lead[at] - 1] = lead[at]
+        return out
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids with begin and end, and where each piece starts and ends in the text's UTF-8 bytes."""
         raw = text.encode()
         normal, origin = self.normalised(raw)
-        memo, got = self.memo, []
-        for p in self.parts(normal.decode()):
-            x = memo.get(p)
-            if x is None:
-                x = self.part(p)
-                if len(p) <= MEMO_CHARS:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[p] = x
-            got.append(x)
-        ids = np.frombuffer(b"".join([x for x, _ in got]), np.uint32)
-        edges = np.append(0, np.cumsum(np.frombuffer(b"".join([x for _, x in got]), np.uint32), dtype=np.int64))
-        at = origin[edges]
+        ids = np.frombuffer(b"".join(self.merged(self.parts(normal.decode()))), np.uint32)
+        at = origin[np.append(0, np.cumsum(self.lengths(ids)))]
         return np.concatenate(([self.begin], ids, [self.end])), np.concatenate(([0], at[:-1], [len(raw)])), np.concatenate(([0], at[1:], [len(raw)]))
 
     def decode(self, ids: np.ndarray) -> str:
@@ -219,14 +199,15 @@ def _fields(df: DataFrame, keep: tuple[str, ...], results: tuple[str, ...]) -> s
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema)
 
 
-def encode(df: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = (), packed: bool = False) -> DataFrame:
+def encode(df: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = (), packed: bool = False, round_trip: bool = False) -> DataFrame:
     """The columns of `keep`, and ids, starts and ends (byte spans in the text) of each row's pieces, begin and end ids included.
 
     They are arrays of integers, or, if packed, binaries of little-endian unsigned 32-bit numbers, as token files hold them.
+    With round_trip there is decoded, too: the text that the ids give.
     """
-    kind = "binary" if packed else "array<int>"
-    schema = f"{_fields(df, keep, ('ids', 'starts', 'ends'))}ids {kind}, starts {kind}, ends {kind}"
-    names = [*keep, "ids", "starts", "ends"]
+    kind, back = "binary" if packed else "array<int>", ["decoded"] * round_trip
+    schema = f"{_fields(df, keep, ('ids', 'starts', 'ends', *back))}ids {kind}, starts {kind}, ends {kind}" + ", decoded string" * round_trip
+    names = [*keep, "ids", "starts", "ends", *back]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
@@ -237,8 +218,10 @@ def encode(df: DataFrame, model: str, text: str = "text", keep: tuple[str, ...]
                 found.append(pieces.encode(value))
                 size += len(value)
                 if size > BATCH or k == b.num_rows - 1:
-                    kept = [b.column(c).slice(done, len(found)) for c in range(len(keep))]
-                    yield pa.RecordBatch.from_arrays([*kept, *(_column(list(c), packed) for c in zip(*found, strict=True))], names)
+                    columns = [b.column(c).slice(done, len(found)) for c in range(len(keep))] + [_column(list(c), packed) for c in zip(*found, strict=True)]
+                    if round_trip:
+                        columns.append(pa.array([pieces.decode(ids) for ids, *_ in found], pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, names)
                     done, size, found = k + 1, 0, []
 
     return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)

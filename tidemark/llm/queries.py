@@ -100,11 +100,9 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from tidemark.llm.pieces import decode, encode
+    from tidemark.llm.pieces import encode
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = encode(_table(spark, sf_dir, "documents"), model, keep=("doc_id",), packed=True)
-    out = decode(coded, model, keep=("doc_id", "ids", "starts", "ends"))
+    out = encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id",), packed=True, round_trip=True)
     digests = (F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.sha2(F.concat("starts", "ends"), 256).alias("spans_sha256"))
     return out.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), *digests)
 
