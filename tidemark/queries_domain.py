@@ -1,7 +1,7 @@
 """The domain's tables as views of the generic ones, and the operators over them: summaries, dashboards, discards, exports.
 
 events play polls (sensor user_id % 3; an error is a failed poll), readings of access points (user_id), alerts and rule findings;
-orders play security periods and notes; customer plays access points, nation plays networks and their policies. Each view is
+orders play security periods, suppliers notes; customer plays access points, nation plays networks and their policies. Each view is
 given twice, as a DataFrame and as SQL.
 """
 
@@ -29,8 +29,8 @@ levels as (select *, case when kind = 'open' then 'open' when kind = 'wep' then
 networks as (select 'net' || n_nationkey as network, case when n_regionkey = 0 then 'managed' else 'friendly' end as kind, case n_nationkey % 4 when 0 then 'enterprise' when 1 then 'psk_or_better' when 2 then 'wpa3' end as expected, n_nationkey % 2 = 0 as require_mfp from nation where n_regionkey < 3),
 periods as (select o_custkey as ap, vf as valid_from, lead(vf) over (partition by o_custkey order by vf) as valid_to, level from (
   select o_custkey, timestamp '2024-01-01' + to_hours(cast(o_orderkey % 700 as integer)) as vf, max(case o_orderstatus when 'F' then 'open' when 'P' then 'legacy' else 'strong' end) as level from orders group by 1, 2)),
-notes as (select o_orderkey as id, o_custkey % 3 as sensor, case when o_orderpriority < '3' then 'gap' when o_orderpriority < '5' then 'coverage' else 'hardware_change' end as kind, o_orderpriority as label,
-  timestamp '2024-01-01' + to_hours(cast(o_orderkey % 710 as integer)) as starts_at, case when o_orderstatus <> 'P' then timestamp '2024-01-01' + to_hours(cast(o_orderkey % 710 as integer)) + to_hours(cast(1 + o_orderkey % 5 as integer)) end as ends_at from orders where o_totalprice > 490000),
+notes as (select s_suppkey as id, s_suppkey % 3 as sensor, case when s_nationkey < 10 then 'gap' when s_nationkey < 20 then 'coverage' else 'hardware_change' end as kind, s_name as label,
+  timestamp '2024-01-01' + to_hours(cast(s_suppkey * 37 % 710 as integer)) as starts_at, case when s_acctbal > 0 then timestamp '2024-01-01' + to_hours(cast(s_suppkey * 37 % 710 as integer)) + to_hours(cast(1 + s_nationkey % 5 as integer)) end as ends_at from supplier),
 gaps as (select sensor, lag(ts) over (partition by sensor order by ts, id) as lo, ts as hi from polls),
 outages as (select sensor, lo as starts_at, hi as ends_at from gaps where hi - lo > interval 20 minute),
 p as (select sensor, date_trunc('hour', ts) as hour, count(*) as polls, count(*) filter (where ok) as polls_ok, count(*) filter (where hop_ok) as hop_ok, count(hop_ok) as hop_known, count(*) filter (where capture) as capture, count(*) filter (where limited) as limited from polls group by 1, 2),
@@ -102,10 +102,10 @@ def periods(t):
 
 
 def notes(t):
-    o = t("orders").where("o_totalprice > 490000")
-    begin = at("2024-01-01") + _hours(F.col("o_orderkey") % 710)
-    kind = F.when(F.col("o_orderpriority") < "3", "gap").when(F.col("o_orderpriority") < "5", "coverage").otherwise("hardware_change")
-    return o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 3).alias("sensor"), kind.alias("kind"), F.col("o_orderpriority").alias("label"), begin.alias("starts_at"), F.when(F.col("o_orderstatus") != "P", begin + _hours(1 + F.col("o_orderkey") % 5)).alias("ends_at"))
+    begin = at("2024-01-01") + _hours(F.col("s_suppkey") * 37 % 710)
+    kind = F.when(F.col("s_nationkey") < 10, "gap").when(F.col("s_nationkey") < 20, "coverage").otherwise("hardware_change")
+    ends = F.when(F.col("s_acctbal") > 0, begin + _hours(1 + F.col("s_nationkey") % 5))
+    return t("supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 3).alias("sensor"), kind.alias("kind"), F.col("s_name").alias("label"), begin.alias("starts_at"), ends.alias("ends_at"))
 
 
 def outages(t):
