@@ -16,11 +16,6 @@ from tidemark.queries_functions import _floor_shares
 # --- scans, filters, sorts -------------------------------------------------------------------------------------------
 
 
-@query("scan_brin", "select event_type, count(*) as n, max(ts) as newest from events where ts >= timestamp '2024-01-12' and ts < timestamp '2024-01-13' group by 1")
-def scan_brin(t):
-    return t("events").where((F.col("ts") >= at("2024-01-12")) & (F.col("ts") < at("2024-01-13"))).groupBy("event_type").agg(F.count("*").alias("n"), F.max("ts").alias("newest"))
-
-
 @query("scan_stream_cursor", "select user_id, list(event_id order by ts, event_id) as ids from events where event_type = 'error' group by 1")
 def scan_stream_cursor(t):
     """Each entity's rows in order, as a reader that goes through them once would see them."""
@@ -175,31 +170,6 @@ def merge_poll_rows(t):
     return writes.attached(extracted, e.where("event_type = 'view'").select(F.col("event_id").alias("id"), "user_id", "hour"), ["user_id", "hour"]).select("event_id", "fits", "stored_id")
 
 
-@query("delete_insert_partition", f"""
-select user_id, date_trunc('day', ts) as day, count(*) as n, sum(k)::bigint as total from {_EV} group by 1, 2""")
-def delete_insert_partition(t):
-    """A rollup of which the days from a late row on are rebuilt and replace the stored ones: the same as rebuilding all."""
-    roll = lambda e: e.groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"), F.sum("k").alias("total"))
-    e = _events(t)
-    stale, since = roll(e.where(F.col("event_id") % 7 != 3)), e.where(F.col("event_id") % 7 == 3).agg(F.date_trunc("day", F.min("ts")).cast("timestamp_ntz").alias("since"))
-    kept = stale.join(F.broadcast(since)).where("day < since").drop("since")
-    return kept.union(roll(e.join(F.broadcast(since)).where("ts >= since").drop("since")))
-
-
-@query("merge_all", V + """
-, st as (select * from polls where id % 3 > 0), sg as (select * from polls where id % 2 = 0), kp as (select * from sg where not exists (select 1 from excluded e where e.sensor = sg.sensor and sg.ts >= e.lo and (e.hi is null or sg.ts < e.hi))),
-rs as (select ap, sensor, date_trunc('hour', ts) as hour from readings where id % 3 > 0), rg as (select ap, sensor, ts, date_trunc('hour', ts) as hour from readings where id % 2 = 0), rk as (select * from rg where not exists (select 1 from excluded e where e.sensor = rg.sensor and rg.ts >= e.lo and (e.hi is null or rg.ts < e.hi))),
-rn as (select ap, sensor, hour, min(ts) as ts from rk group by 1, 2, 3), ri as (select * from rn where not exists (select 1 from rs where rs.ap = rn.ap and rs.sensor = rn.sensor and rs.hour = rn.hour))
-select 'polls' as "table", (select count(*) from sg) as staged, (select count(*) from sg) - (select count(*) from kp) as excluded, count(*) filter (where id % 3 = 0) as inserted, count(*) filter (where id % 3 > 0) as conflicts, min(ts) filter (where id % 3 = 0) as min_ts from kp
-union all select 'readings', (select count(*) from rg), (select count(*) from rg) - (select count(*) from rk), (select count(*) from ri), (select count(*) from rk) - (select count(*) from ri), (select min(ts) from ri)""")
-def merge_all(t):
-    """The tables of a batch in order: rows of excluded time left out, new keys inserted, others ignored; a row of counts for each."""
-    p, r = polls(t), readings(t).withColumn("hour", F.date_trunc("hour", "ts"))
-    ex = excluded(t)
-    one = writes.merge_summary(p.where("id % 3 > 0"), p.where("id % 2 = 0"), ex, ["id"], "ts", "polls")
-    return one.union(writes.merge_summary(r.where("id % 3 > 0"), r.where("id % 2 = 0"), ex, ["ap", "sensor", "hour"], "ts", "readings"))
-
-
 @query("retention_prune", V + f"""
 , x as (select *, case when hop_ok is not null then ts else last_value(case when hop_ok is not null then ts end ignore nulls) over (partition by sensor order by id rows unbounded preceding) end as t from polls)
 select sensor, count(*) as kept, min(id) as oldest from x where t is null or t >= timestamp '2024-01-10' group by 1""")
