@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import ingest
 from tidemark.session import shared_folder
 from tidemark.sources.store import Change, Conflict, Store
+from tidemark.streaming import marks
 
 
 @pytest.fixture
@@ -122,3 +123,31 @@ def test_a_batch_that_dies_is_done_again_in_full(spark, store):
     assert content(store) == content(whole)
     assert store.vacuum() > 0
     assert content(store) == content(whole)
+
+
+def arrivals(spark, *rows):
+    return spark.createDataFrame([(s, n, f"2024-01-0{d} 10:00:00") for s, n, d in rows], "sensor long, seq long, at string").select("sensor", "seq", F.col("at").cast("timestamp_ntz").alias("ts"))
+
+
+def test_cursors_survive_a_lost_checkpoint(spark, store):
+    run = marks.append_batch(store, "rows", "sensor", "seq", "ts")
+    run(arrivals(spark, (1, 1, 1), (1, 2, 2), (2, 1, 1)), 0)
+    run(arrivals(spark, (1, 1, 1), (1, 2, 2), (2, 1, 1)), 0)  # the same batch again
+    run(arrivals(spark, (1, 2, 2), (1, 3, 1), (2, 2, 5)), 0)  # another start: one row known, one late
+    snap = store.snapshot()
+    assert (snap.version, marks.cursors(snap)) == (2, {"1": 3, "2": 2})
+    assert sorted((r["sensor"], r["seq"]) for r in snap.read("rows").collect()) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2)]
+
+
+def test_a_refresh_clears_no_later_mark(spark, store):
+    counts = lambda e: e.groupBy("sensor", "day").agg(F.count("*").alias("n"))
+    add = marks.append_batch(store, "rows", "sensor", "seq", "ts")
+    add(arrivals(spark, (1, 1, 2), (1, 2, 3), (2, 1, 4)), 0)
+    assert marks.refresh(store, "rows", "daily", "sensor", "ts", counts) == []
+    add(arrivals(spark, (1, 3, 3)), 1)
+    assert [tuple(map(str, r)) for r in marks.refresh_from(store.snapshot(), "rows", "sensor", "ts").collect()] == [("1", "2024-01-02 10:00:00")]
+    dirty = marks.refresh(store, "rows", "daily", "sensor", "ts", counts, during=lambda: add(arrivals(spark, (1, 4, 2)), 2))
+    assert dirty == ["1"]  # the row that came meanwhile still has to be counted
+    assert marks.refresh(store, "rows", "daily", "sensor", "ts", counts) == []
+    got = {(r["sensor"], str(r["day"])): r["n"] for r in store.snapshot().read("daily").collect()}
+    assert got == {(1, "2024-01-02"): 2, (1, "2024-01-03"): 2, (2, "2024-01-04"): 1}

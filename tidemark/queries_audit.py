@@ -524,25 +524,6 @@ def an_clock_report(t):
 # --- streams as batches ----------------------------------------------------------------------------------------------
 
 
-@query("st_cursor_resume", V + "select sensor, max(id) as seq, max(ts) as ts from (select sensor, id, ts from polls where ok union all select n.sensor, b.win, b.ts_to from batches b join windows n using (win)) group by 1".replace("max(id) as seq", "max_by(id, (ts, id)) as seq"))
-def st_cursor_resume(t):
-    """Where an uploader goes on: the newest of a sensor's stored polls and discarded batches."""
-    from tidemark.queries_domain import batches, windows
-
-    b = batches(t).join(windows(t).select("window", "sensor"), "window").select("sensor", F.col("window").alias("id"), F.col("ts_to").alias("ts"))
-    both = polls(t).where("ok").select("sensor", "id", "ts").union(b)
-    return both.groupBy("sensor").agg(F.max_by("id", F.struct("ts", "id")).alias("seq"), F.max("ts").alias("ts"))
-
-
-@query("st_dirty_mark", V + ", m as (select sensor, min(ts) as mark from polls where id % 7 = 3 and ts >= timestamp '2024-01-20' group by 1) select sensor, date_trunc('hour', coalesce((select max(p.ts) from polls p where p.sensor = m.sensor and p.ts < m.mark), mark)) as refresh_from from m")
-def st_dirty_mark(t):
-    """From which hour a sensor is refreshed: that of the last poll before the earliest late row."""
-    p = polls(t)
-    m = p.where((F.col("id") % 7 == 3) & (F.col("ts") >= at("2024-01-20"))).groupBy("sensor").agg(F.min("ts").alias("mark"))
-    before = p.join(F.broadcast(m), "sensor").where("ts < mark").groupBy("sensor").agg(F.max("ts").alias("b"))
-    return m.join(before, "sensor", "left").select("sensor", F.date_trunc("hour", F.coalesce("b", "mark")).cast("timestamp_ntz").alias("refresh_from"))
-
-
 @query("st_hour_tumbling", "select user_id % 3 as sensor, date_trunc('hour', ts) as hour, count(*) as n from events group by 1, 2")
 def st_hour_tumbling(t):
     w = F.window(F.col("ts").cast("timestamp"), "1 hour")

@@ -9,6 +9,7 @@ from tidemark.queries import _EV, _events, query
 from tidemark.queries_domain import V, aps, at, excluded, hourly, periods, polls, readings
 from tidemark.session import shared_folder
 from tidemark.sources.store import Change, Store
+from tidemark.streaming import marks, merge_stream
 
 
 def _store(t, name: str) -> Store:
@@ -142,3 +143,46 @@ def merge_all(t):
     again = ingest.merge_batch(store, "s", 2, "ingest", _batch(t, _SECOND), windows)
     out = first.withColumn("batch", F.lit(1)).union(second.withColumn("batch", F.lit(2))).union(again.withColumn("batch", F.lit(3)))
     return out.where(F.col("step").isin(*_KEYED))
+
+
+# --- cursors and marks -----------------------------------------------------------------------------------------------
+
+#: Rows arrive in four files; every seventh comes two files late.
+_ARRIVALS = "(select *, user_id % 3 as sensor, (least(hour(ts) // 8 + case when event_id % 7 = 3 then 2 else 0 end, 3)) * 1000000000 + event_id as seq from events)"
+
+
+def _arrivals(t, store: Store):
+    file = F.least(F.floor(F.hour("ts") / 8) + F.when(F.col("event_id") % 7 == 3, 2).otherwise(0), F.lit(3))
+    e = t("events").select("event_id", "ts", "value", (F.col("user_id") % 3).alias("sensor"), file.alias("file")).withColumn("seq", F.col("file") * 1_000_000_000 + F.col("event_id"))
+    e.coalesce(8).write.partitionBy("file").parquet(f"{store.root}-landing")
+    return e.drop("file").schema
+
+
+def _landed(store: Store, schema, files: str):
+    return store.spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{store.root}-landing/file={files}")
+
+
+@query("st_cursor_resume", f"select sensor, max(seq) as seq, count(*) as n, max(ts) as ts from {_ARRIVALS} group by 1")
+def st_cursor_resume(t):
+    """A stream that takes in half of what arrives, then starts again without its checkpoint over all of it: each row is stored once, up to the cursor."""
+    store = _store(t, "cursor")
+    schema = _arrivals(t, store)
+    for run, files in enumerate(("01", "0123")):
+        for file in files:  # in order of arrival
+            merge_stream.run_all(_landed(store, schema, file), marks.append_batch(store, "rows", "sensor", "seq", "ts"), f"{store.root}-run{run}-{file}")
+    snap = store.snapshot()
+    stored = snap.read("rows").groupBy("sensor").agg(F.count("*").alias("n"), F.max("ts").alias("ts"))
+    at = store.spark.createDataFrame([(int(k), v) for k, v in marks.cursors(snap).items()], "sensor long, seq long")
+    return stored.join(F.broadcast(at), "sensor")
+
+
+@query("st_dirty_mark", "select user_id % 3 as sensor, cast(ts as date) as day, date_trunc('hour', ts) as hour, count(*) as n from events group by 1, 2, 3")
+def st_dirty_mark(t):
+    """Hourly counts kept by refreshes after each arrival, of the dirty days alone: the same as counting everything."""
+    store = _store(t, "dirty")
+    schema = _arrivals(t, store)
+    hourly_counts = lambda e: e.groupBy("sensor", "day", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"))
+    for file in "0123":
+        merge_stream.run_all(_landed(store, schema, file), marks.append_batch(store, "rows", "sensor", "seq", "ts"), f"{store.root}-run-{file}")
+        marks.refresh(store, "rows", "hourly", "sensor", "ts", hourly_counts)
+    return store.snapshot().read("hourly").select("sensor", "day", "hour", "n")
