@@ -186,3 +186,35 @@ def st_dirty_mark(t):
         merge_stream.run_all(_landed(store, schema, file), marks.append_batch(store, "rows", "sensor", "seq", "ts"), f"{store.root}-run-{file}")
         marks.refresh(store, "rows", "hourly", "sensor", "ts", hourly_counts)
     return store.snapshot().read("hourly").select("sensor", "day", "hour", "n")
+
+
+_POLLS = "(select event_id as id, user_id % 3 as sensor, ts, user_id as device, k % 20 as boot, value as mono, event_type in ('view', 'click') and k % 20 < 15 as synced, case when k % 17 > 0 then 200 - 3 * k end as level, k as clients, case when event_type = 'error' then k end as hash from ev)"
+
+
+@query("upsert_poll_write", V + f"""
+, pw as {_POLLS}, an as (select sensor, boot, min(id) as poll, min_by(mono, id) as m, min_by(epoch_us(ts) // 1000000, id) as w from pw where synced and mono is not null group by 1, 2),
+ok as (select pw.*, an.w - an.m as epoch from pw left join an using (sensor, boot) where level is null or level between -128 and 127),
+h as (select sensor, device, case when synced then date_trunc('hour', ts) else make_timestamp(cast(floor(floor(epoch + mono + 0.5) / 3600) as bigint) * 3600000000) end as hour, clients from ok where synced or (epoch is not null and mono is not null)),
+al as (select sensor, hash, min(id) as id from pw where hash is not null group by 1, 2)
+select sensor, (select count(*) from pw q where q.sensor = s.sensor) as polls, (select count(*) from ok where ok.sensor = s.sensor) as new_obs, (select count(*) from al where al.sensor = s.sensor) as new_alerts,
+ (select count(*) from pw q where q.sensor = s.sensor and not (level is null or level between -128 and 127)) as skipped, (select count(*) from an where an.sensor = s.sensor) as anchors,
+ (select count(*) from ok where ok.sensor = s.sensor and not synced and mono is not null and epoch is null) as waiting, (select count(distinct (device, hour)) from h where h.sensor = s.sensor) as hours, (select sum(clients)::bigint from h where h.sensor = s.sensor) as clients
+from (select distinct sensor from pw) s""")
+def upsert_poll_write(t):
+    """Polls in two groups, the second sent twice: what is stored of them by sensor."""
+    from tidemark.operators import poll_write
+
+    store = _store(t, "polls")
+    k = F.col("k")
+    e = _events(t).select(
+        F.col("event_id").alias("id"), (F.col("user_id") % 3).alias("sensor"), "ts", F.col("user_id").alias("device"), (k % 20).alias("boot"), F.col("value").alias("mono"), (F.col("event_type").isin("view", "click") & (k % 20 < 15)).alias("synced"),
+        F.when(k % 17 > 0, 200 - 3 * k).alias("level"), k.alias("clients"), F.when(F.col("event_type") == "error", k).alias("hash"),
+    )
+    for seq, rows in ((1, e.where("ts < timestamp_ntz '2024-01-16'")), (2, e.where("ts >= timestamp_ntz '2024-01-16'")), (2, e.where("ts >= timestamp_ntz '2024-01-16'"))):
+        poll_write.write_polls(store, "collector", seq, rows.select("sensor", "id", "ts", "boot", "mono", "synced"), rows.select("sensor", F.col("id").alias("poll"), "ts", "device", "level", "clients"), rows.where("hash is not null").select("sensor", F.col("id").alias("poll"), "hash"))
+    s = store.snapshot()
+    out = s.read("polls").groupBy("sensor").agg(F.count("*").alias("polls"), *(F.sum(c).alias(c) for c in ("new_obs", "new_alerts", "skipped")))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    for table, aggs in (("anchors", [F.count("*").alias("anchors")]), ("load_pending", [F.count("*").alias("waiting")]), ("load_hourly", [F.count("*").alias("hours"), F.sum("clients").alias("clients")])):
+        out = out.join(s.read(table).groupBy("sensor").agg(*aggs), "sensor", "left")
+    return out.select("sensor", "polls", "new_obs", "new_alerts", "skipped", zero("anchors"), zero("waiting"), zero("hours"), "clients")
