@@ -70,8 +70,12 @@ def assessed_episodes(events: DataFrame, subject: str, ts: str, tie: str, is_ale
 
 def shifted_windows(df: DataFrame, keys: list[str], order: list[str], value: str, base: DataFrame, rules: ShiftRules) -> DataFrame:
     """Trailing windows that leave their baseline, with dev and facet. base: keys, median, robust_sd."""
-    w = series.sliding_median_mad(df, keys, order, value, rules.width).where("win_median is not null")
-    at = w.join(base.select(*keys, "median", "robust_sd"), keys)
+    return deviating(series.sliding_median_mad(df, keys, order, value, rules.width), keys, base, rules)
+
+
+def deviating(windows: DataFrame, keys: list[str], base: DataFrame, rules: ShiftRules) -> DataFrame:
+    """The windows (win_median, win_mad) that leave their baseline, with dev and facet."""
+    at = windows.where("win_median is not null").join(base.select(*keys, "median", "robust_sd"), keys)
     sigma = F.greatest("robust_sd", F.lit(rules.sd_floor))
     dev = F.col("win_median") - F.col("median")
     shift = F.abs(dev) >= F.greatest(sigma * rules.k, F.lit(rules.shift_floor))

@@ -16,13 +16,6 @@ from tidemark.queries_functions import _floor_shares
 # --- scans, filters, sorts -------------------------------------------------------------------------------------------
 
 
-@query("scan_stream_cursor", "select user_id, list(event_id order by ts, event_id) as ids from events where event_type = 'error' group by 1")
-def scan_stream_cursor(t):
-    """Each entity's rows in order, as a reader that goes through them once would see them."""
-    e = t("events").where("event_type = 'error'").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("x"))
-    return e.select("user_id", F.transform("x", lambda r: r["event_id"]).alias("ids"))
-
-
 @query("filter_halfopen", "select o_orderkey, count(*) as n from (select o_orderkey, case when o_orderkey % 3 > 0 then o_orderdate end as lo, case when o_orderkey % 4 > 0 then o_orderdate + interval 30 day end as hi from orders) join lineitem on l_orderkey = o_orderkey where (lo is null or l_shipdate >= lo) and (hi is null or l_shipdate < hi) group by 1")
 def filter_halfopen(t):
     k = F.col("o_orderkey")
