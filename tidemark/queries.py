@@ -251,11 +251,6 @@ def agg_having(t):
     return t("events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct(F.to_date("ts")).alias("days")).where("n >= 60 and days >= 20").select("user_id", "days")
 
 
-@query("agg_percentile_cont", "select event_type, round(quantile_cont(value, 0.5), 6) as median, round(quantile_cont(value, 0.9), 6) as p90 from events group by 1")
-def agg_percentile_cont(t):
-    return t("events").groupBy("event_type").agg(F.round(stats.quantile("value", 0.5), 6).alias("median"), F.round(stats.quantile("value", 0.9), 6).alias("p90"))
-
-
 @query("agg_percentile_disc", "select event_type, quantile_disc(value, 0.5) as median from events group by 1")
 def agg_percentile_disc(t):
     return t("events").groupBy("event_type").agg(F.expr("percentile_disc(0.5) within group (order by value)").alias("median"))
@@ -320,12 +315,6 @@ def agg_histogram(t):
     return t("events").groupBy((F.floor(F.col("value") / 5) * 5).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("agg_describe", "select event_type, count(value) as n, round(avg(value), 6) as mean, round(median(value), 6) as median, round(quantile_cont(value, 0.1), 6) as p10, round(quantile_cont(value, 0.9), 6) as p90, min(value) as low, max(value) as high from events group by 1")
-def agg_describe(t):
-    d = stats.describe(t("events"), ["event_type"], "value")
-    return d.withColumns({c: F.round(c, 6) for c in ("mean", "median", "p10", "p90")})
-
-
 @query("agg_wilson", """
 with c as (select source, count(*) as n, count(*) filter (where toxic = 1) as k from labels join documents using (doc_id) group by 1),
 w as (select *, (k::double / n + 1.96 * 1.96 / (2.0 * n)) as centre, 1.96 * sqrt(k::double / n * (1 - k::double / n) / n + 1.96 * 1.96 / (4.0 * n * n)) as half, 1 + 1.96 * 1.96 / n as denom from c)
@@ -695,11 +684,6 @@ def topk(t):
     return paging.top(t("events").select("event_id", "value"), [F.desc("value"), "event_id"], 20)
 
 
-@query("page_offset", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25 offset 50")
-def page_offset(t):
-    return paging.offset_page(t("orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 3, 25)
-
-
 @query("page_keyset", "select event_id, ts from events where ts < timestamp '2024-01-20' or (ts = timestamp '2024-01-20' and event_id < 100) order by ts desc, event_id desc limit 51")
 def page_keyset(t):
     return paging.keyset_page(t("events").select("event_id", "ts"), "ts", "event_id", 50, before=("2024-01-20 00:00:00", 100))

@@ -499,16 +499,6 @@ def an_headline(t):
     return x.join(F.broadcast(periods(t).where("valid_to is not null").agg(F.count("*").alias("changes"))))
 
 
-@query("an_strength", V + """
-, x as (select ap, quantile_cont(level, 0.5) as med, count(*) as n, min(ts) as f, max(ts) as l, any_value(sensor) as sensor from readings group by 1), pp as (select x.ap, count(*) as polls from x join polls q on q.sensor = x.sensor and q.ts >= x.f and q.ts <= x.l and q.ok group by 1)
-select ap, med, round(100.0 * n / polls, 6) as seen_pct, case when med >= -50 then 'close' else 'far' end as place from x join pp using (ap)""")
-def an_strength(t):
-    x = readings(t).groupBy("ap").agg(quantile("level", 0.5).alias("med"), F.count("*").alias("n"), F.min("ts").alias("f"), F.max("ts").alias("l"), F.any_value("sensor").alias("sensor"))
-    span = x.select("ap", "sensor", "f", (F.col("l") + F.expr("interval 1 microsecond")).alias("end"))
-    p = intervals.points_inside(polls(t).where("ok").select("sensor", "ts"), span, ["sensor"], "ts", "f", "end").groupBy("ap").agg(F.count("*").alias("polls"))
-    return x.join(p, "ap").select("ap", "med", F.round(F.col("n") * 100.0 / F.col("polls"), 6).alias("seen_pct"), F.when(F.col("med") >= -50, "close").otherwise("far").alias("place"))
-
-
 @query("an_clock_report", f"select k % 20 as boot, count(*) as n, round(avg(value), 6) as mean_s, round(max(abs(value - 50)), 6) as worst_s, bool_or(event_type = 'view') as verified from {_EV} group by 1")
 def an_clock_report(t):
     return _events(t).groupBy((F.col("k") % 20).alias("boot")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_s"), F.round(F.max(F.abs(F.col("value") - 50)), 6).alias("worst_s"), F.max(F.col("event_type") == "view").alias("verified"))

@@ -113,15 +113,6 @@ def dash_fixed_entities(t):
     return aps(t).where("not random").join(newest, "ap").select("ap", "network", "sensor", "ts")
 
 
-@query("dash_ap_list", V + _AP_SUMMARY + _VERDICT + """
-select s.ap, s.network, s.level, s.typical, s.n_obs, s.n_changes, vd.reason, first_obs < first_poll + interval 24 hour as warmup from ap_summary s left join vd using (ap) left join spans on spans.sensor = s.ap % 3 where s.n_obs > 0""")
-def dash_ap_list(t):
-    s = ap_summary(t).where("n_obs > 0").select("ap", "network", "level", "typical", "n_obs", "n_changes", "first_obs", (F.col("ap") % 3).alias("sensor"))
-    v = N.verdicts(levels(t), networks(t)).select("ap", "reason")
-    warm = F.col("first_obs") < F.col("first_poll") + F.expr("interval 24 hours")
-    return s.join(v, "ap", "left").join(F.broadcast(spans(t)), "sensor", "left").select("ap", "network", "level", "typical", "n_obs", "n_changes", "reason", warm.alias("warmup"))
-
-
 @query("dash_ap_detail", V + f"""
 select ap, sensor, count(*) filter (where ts >= timestamp '{NOW}' - interval 7 day) as obs_7d, count(distinct ts::date) as days_seen, quantile_cont(level, 0.5) as median, count(*) filter (where is_floor) as floors, max(ts) as last_seen from readings group by 1, 2""")
 def dash_ap_detail(t):

@@ -194,11 +194,13 @@ def ts_sensor_summary(t):
     return summaries.sensor_summary(polls(t), hourly(t), notes(t), 1200).withColumns({"gap_s": F.round("gap_s", 3), "longest_s": F.round("longest_s", 3)})
 
 
-@query("ts_account_aps", V + """
+ACCOUNT_APS = """
 select ap, network, hidden, level, class, mobile, n.sensor, last_level from (
  select ap, network, hidden, l.level, case when k.kind = 'managed' then case when ap % 5 = 0 then 'managed' else 'suspicious' end when k.kind is not null then 'friendly' when random then 'ignored' else 'unknown' end as class, coalesce(random, false) or starts_with(lower(vendor), 'mach') as mobile
- from levels l left join networks k using (network)) join (select ap, max_by(sensor, (ts, id)) as sensor, max_by(case when level is null then -999 else level end, (ts, id)) as last_level from readings group by 1) n using (ap)""")
-def ts_account_aps(t):
+ from levels l left join networks k using (network)) join (select ap, max_by(sensor, (ts, id)) as sensor, max_by(case when level is null then -999 else level end, (ts, id)) as last_level from readings group by 1) n using (ap)"""
+
+
+def account_aps(t):
     """The current row of each access point, with network, class and whether it is mobile."""
     c = levels(t).join(networks(t).withColumnRenamed("kind", "net_kind"), "network", "left")
     cls = D.ap_class(F.lit(None).cast("string"), F.col("net_kind"), F.col("ap") % 5 == 0, F.lit(False), F.lit(True), F.col("random"), F.lit(None).cast("double"), True, True, True, -90)
@@ -207,6 +209,11 @@ def ts_account_aps(t):
     return c.select("ap", "network", "hidden", "level", cls.alias("class"), mobile.alias("mobile")).join(newest, "ap")
 
 
+@query("ts_account_aps", V + ACCOUNT_APS)
+def ts_account_aps(t):
+    return account_aps(t)
+
+
 # --- coverage --------------------------------------------------------------------------------------------------------
 
 _DAY0 = "timestamp '2024-01-01'"

@@ -194,13 +194,6 @@ def ts_hourly_profile(t):
     return f.groupBy(F.hour("first").cast("long").alias("hour")).agg(F.count("*").alias("n"), F.count_if(F.col("user_id") % 4 == 2).alias("local"))
 
 
-@query("ts_seen_pct", "select user_id, round(count(distinct date_trunc('hour', ts))::double / (date_diff('hour', min(ts), max(ts)) + 1), 6) as share from events group by 1")
-def ts_seen_pct(t):
-    g = t("events").groupBy("user_id").agg(F.count_distinct(F.date_trunc("hour", "ts")).alias("n"), F.min("ts").alias("a"), F.max("ts").alias("z"))
-    hours = (S.micros(F.date_trunc("hour", "z")) - S.micros(F.date_trunc("hour", "a"))) / 3_600_000_000 + 1
-    return g.select("user_id", F.round(F.col("n") / hours, 6).alias("share"))
-
-
 @query("ts_lifetime_class", "select user_id, case when s < 864000 then 'transient' when s < 2419200 then 'intermediate' else 'sustained' end as lifetime from (select user_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as s from events group by 1)")
 def ts_lifetime_class(t):
     s = (S.micros(F.max("ts")) - S.micros(F.min("ts"))) / 1e6
@@ -241,13 +234,6 @@ def ts_typical(t):
     return h.groupBy("user_id").agg(F.round(stats.quantile("median", 0.5), 6).alias("typical"))
 
 
-@query("ts_latency", "select l_shipmode_, count(*) as n, round(quantile_cont(d, 0.5), 6) as p50, round(quantile_cont(d, 0.95), 6) as p95, round(quantile_cont(d, 0.99), 6) as p99 from (select l_returnflag as l_shipmode_, date_diff('day', o_orderdate, l_shipdate) as d from orders join lineitem on o_orderkey = l_orderkey) group by 1")
-def ts_latency(t):
-    j = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_returnflag").alias("l_shipmode_"), F.datediff("l_shipdate", "o_orderdate").alias("d"))
-    q = lambda p, n: F.round(stats.quantile("d", p), 6).alias(n)
-    return j.groupBy("l_shipmode_").agg(F.count("*").alias("n"), q(0.5, "p50"), q(0.95, "p95"), q(0.99, "p99"))
-
-
 @query("ts_discarded_seqs", "select o_custkey, count(*) as seqs from (select distinct o_custkey, unnest(range(o_orderkey % 50, o_orderkey % 50 + 10)) as s from orders) group by 1")
 def ts_discarded_seqs(t):
     s = t("orders").select("o_custkey", F.explode(F.sequence(F.col("o_orderkey") % 50, F.col("o_orderkey") % 50 + 9)).alias("s"))
