@@ -64,10 +64,14 @@ def gcd(a: Column, b: Column) -> Column:
 
 
 def hop_stride(n: Column) -> Column:
-    """The stride with which a list of n channels is hopped: the first from 4 on (1 for shorter lists) that n // (n // s) does not divide evenly; 1 if there is none below n - 1."""
+    """The stride with which a list of n channels is hopped: the first from 4 on (1 for shorter lists) that n // (n // s) does not divide evenly; 1 if there is none below n - 1.
+
+    A stride up to the root of n is even only if it divides n, and no 64-bit number is divided by all from 4 to 64; so longer
+    lists than 4,096 are settled by the first 64 strides.
+    """
     begin = F.when(n < 4, 1).otherwise(4)
-    even = lambda s: F.pmod(n, F.floor(n / s)) == 0
-    tried = F.filter(F.sequence(begin.cast("long"), F.greatest(n.cast("long") - 2, begin.cast("long"))), lambda s: ~even(s))
+    even = lambda s: F.pmod(n, F.greatest(F.floor(n / s), F.lit(1))) == 0
+    tried = F.filter(F.sequence(begin.cast("long"), F.greatest(F.least(n.cast("long") - 2, F.when(n < 4_096, 4_096).otherwise(64)), begin.cast("long"))), lambda s: ~even(s))
     last = F.greatest(n.cast("long") - 1, begin.cast("long"))
     return F.coalesce(F.get(tried, F.lit(0)), F.when(~even(last), last).otherwise(F.lit(1).cast("long")))
 

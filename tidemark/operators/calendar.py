@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The periods that are shown, as bucket hours and number of buckets.
@@ -58,3 +58,34 @@ def busiest_run(hourly: DataFrame, keys: list[str], hour: str, value: str, width
     each = hourly.select(*keys, F.col(hour).alias("__h"), value, F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("__d"))
     runs = each.groupBy(*keys, F.pmod(F.col("__h") - F.col("__d"), F.lit(24)).alias("start")).agg(F.sum(value).alias("load"))
     return runs.groupBy(*keys).agg(F.max_by(F.struct("start", "load"), F.struct(F.col("load"), -F.col("start"))).alias("x")).select(*keys, "x.*")
+
+
+def local_edges(spans: DataFrame, keys: list[str], lo: str, hi: str, zone: str, step: str) -> DataFrame:
+    """keys, zone, place (from 1), edge (UTC): the local edges, `step` of wall time apart from a local midnight on, that cover [lo, hi]. lo, hi: instants in UTC; zone: a column of zone names. Around a change of the clocks a step is shorter or longer."""
+    wall = lambda c: F.from_utc_timestamp(F.col(c).cast("timestamp"), F.col(zone))
+    last = F.date_trunc("day", wall(hi)) + F.expr("interval 1 day")
+    edges = F.sequence(F.date_trunc("day", wall(lo)), last, F.expr(f"interval {step}"))
+    each = spans.select(*keys, zone, F.posexplode(edges).alias("__i", "__wall"))
+    return each.select(*keys, zone, (F.col("__i") + 1).alias("place"), F.to_utc_timestamp("__wall", F.col(zone)).cast("timestamp_ntz").alias("edge"))
+
+
+def bucket_by_edges(df: DataFrame, edges: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """df with bucket: the place of the last edge of its keys at or before `at`; null before the first and from the last on. edges: keys, place (1 to n), edge.
+
+    The edges' span is cut into as many even cells as there are edges; a row looks at the edges of its own cell alone, and
+    knows how many come before it.
+    """
+    at_us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    e = edges.select(*keys, "place", at_us("edge").alias("__e"))
+    span = e.groupBy(*keys).agg(F.min("__e").alias("__lo"), F.max("__e").alias("__hi"), F.count("*").alias("__n"))
+    cell = lambda x: F.floor((x - F.col("__lo")) / (F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1)) / F.col("__n")))
+    full = e.join(F.broadcast(span), keys).groupBy(*keys, cell(F.col("__e")).alias("__cell")).agg(F.array_sort(F.collect_list("__e")).alias("__edges"), F.min("place").alias("__first"))
+    cells = span.select(*keys, "__n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n"))).alias("__cell")).join(full, [*keys, "__cell"], "left")
+    # cells without edges take over how many edges came before them: one row a cell
+    before = Window.partitionBy(*keys).orderBy(F.desc("__cell")).rowsBetween(Window.unboundedPreceding, 0)
+    known = cells.withColumn("__before", F.coalesce(F.last("__first", ignorenulls=True).over(before), F.col("__n") + 1) - 1).select(*keys, "__cell", "__before", "__edges")
+    rows = df.join(F.broadcast(span), keys, "left").withColumn("__x", at_us(at)).withColumn("__cell", cell(F.col("__x")))
+    out = rows.join(known, [*keys, "__cell"], "left")
+    place = F.col("__before") + F.size(F.filter(F.coalesce("__edges", F.array().cast("array<bigint>")), lambda s: s <= F.col("__x")))
+    inside = (F.col("__x") >= F.col("__lo")) & (F.col("__x") < F.col("__hi"))
+    return out.select(*df.columns, F.when(inside, place).cast("long").alias("bucket"))

@@ -65,12 +65,6 @@ def src_generate_series(t):
     return t("orders").select("o_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), F.col("o_orderkey") % 5)).alias("i"))
 
 
-@query("src_array_params", "select i as pair, s, e from (select unnest([1, 2, 3]) as i, unnest([10, 20, 30]) as s, unnest([15, 25, 35]) as e)")
-def src_array_params(t):
-    z = F.arrays_zip(F.array(*map(F.lit, (10, 20, 30))).alias("s"), F.array(*map(F.lit, (15, 25, 35))).alias("e"))
-    return t("region").limit(1).select(F.posexplode(z).alias("p", "x")).select((F.col("p") + 1).alias("pair"), "x.s", "x.e")
-
-
 @query("filter_any_array", "select event_type, count(*) as n from events where event_type in ('click', 'error') group by 1")
 def filter_any_array(t):
     return t("events").where(F.col("event_type").isin("click", "error")).groupBy("event_type").agg(F.count("*").alias("n"))
@@ -720,20 +714,6 @@ def set_intersect_diff(t):
 # --- calendar and coverage -------------------------------------------------------------------------------------------
 
 
-@query("cal_width_bucket", "select event_id, len(list_filter([timestamp '2024-01-05', timestamp '2024-01-12', timestamp '2024-01-19'], lambda s: s <= ts)) as bucket from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-26'")
-def cal_width_bucket(t):
-    b = calendar.bucket_of(F.col("ts"), ["2024-01-05", "2024-01-12", "2024-01-19"], "2024-01-26")
-    return t("events").select("event_id", b.cast("long").alias("bucket")).where("bucket is not null")
-
-
-@query("cal_buckets", "select cast(i as bigint) as bucket, timestamp '2024-01-01 11:00:00' + to_hours(6 * cast(i as integer)) as lo from (select unnest(range(28)) as i)")
-def cal_buckets(t):
-    """The 7-day period in a zone one hour ahead (Bratislava in winter), ending with the bucket that holds the instant."""
-    edges = calendar.buckets("7d", datetime(2024, 1, 8, 10, 30, tzinfo=timezone.utc), "Europe/Bratislava")
-    rows = F.array(*(F.struct(F.lit(i).cast("long").alias("bucket"), F.lit(a.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz").alias("lo")) for i, (a, _) in enumerate(edges)))
-    return t("region").limit(1).select(F.inline(rows))
-
-
 @query("cov_hour_capture", "select user_id, date_trunc('day', ts) as d, round(case when count(*) > 0 then greatest(86400.0 - max(value), 0) * count(*) filter (where event_type <> 'error') / count(*) else 0 end, 6) as captured_s from events group by 1, 2")
 def cov_hour_capture(t):
     g = t("events").groupBy("user_id", F.date_trunc("day", "ts").alias("d")).agg(F.count("*").alias("polls"), F.count_if(F.col("event_type") != "error").alias("ok"), F.max("value").alias("gap"))

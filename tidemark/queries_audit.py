@@ -364,18 +364,6 @@ def ts_inventory_baseline(t):
     return x.groupBy((F.col("f") < at("2024-01-04")).alias("in_baseline"), gone.alias("absent"), cls.alias("class"), F.coalesce(F.col("med") >= -50, F.lit(False)).alias("strong")).agg(F.count("*").alias("n"))
 
 
-@query("ts_protected_flags", V + """
-, tr as (select network, list(distinct vendor) as vendors, list(distinct kind) as kinds from aps where ap % 5 = 0 group by 1), f as (select ap, min(ts) as first_obs from readings group by 1)
-select a.ap, a.network, not list_contains(vendors, a.vendor) as oui, coalesce(first_obs >= timestamp '2024-01-04', false) as late, not list_contains(kinds, a.kind) as crypt, a.random as rand from aps a join tr using (network) left join f using (ap) where a.ap % 5 <> 0""")
-def ts_protected_flags(t):
-    a = aps(t)
-    tr = a.where("ap % 5 = 0").groupBy("network").agg(F.collect_set("vendor").alias("vendors"), F.collect_set("kind").alias("kinds"))
-    first = readings(t).groupBy("ap").agg(F.min("ts").alias("first_obs"))
-    x = a.where("ap % 5 <> 0").join(tr, "network").join(first, "ap", "left")
-    late = F.coalesce(F.col("first_obs") >= at("2024-01-04"), F.lit(False))
-    return x.select("ap", "network", (~F.array_contains("vendors", F.col("vendor"))).alias("oui"), late.alias("late"), (~F.array_contains("kinds", F.col("kind"))).alias("crypt"), F.col("random").alias("rand"))
-
-
 @query("ts_probe_stats", f"""
 with p as (select distinct user_id as client, case when k % 4 = 0 then '' else 'net' || k % 40 end as ssid from {_EV}), w as (select client from p group by 1 having count(*) filter (where ssid <> '') = 0)
 select ssid, count(distinct client) as clients, ssid in (select 'net' || n_nationkey from nation) as local_ap, (select count(*) from w) as wildcard_only from p where ssid <> '' group by 1""")
@@ -513,18 +501,6 @@ def st_hour_tumbling(t):
     return t("events").groupBy((F.col("user_id") % 3).alias("sensor"), w.alias("w")).agg(F.count("*").alias("n")).select("sensor", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n")
 
 
-@query("st_heartbeat_thin")
-def st_heartbeat_thin(t):
-    """Rows at least six hours after the last one kept, by entity and day. (Each depends on the one kept before: no SQL; tested against the loop.)"""
-    e = t("events").select("user_id", F.to_date("ts").alias("day"), F.struct(F.col("ts"), F.col("event_id").alias("id")).alias("r"))
-    days = e.groupBy("user_id", "day").agg(F.array_sort(F.collect_list("r")).alias("rows"))  # a day of an entity is a bounded list
-    kind = "struct<ts:timestamp_ntz,id:bigint>"
-    start = F.array().cast(f"array<{kind}>")
-    late = lambda kept, r: F.coalesce(S.micros(r["ts"]) - S.micros(F.try_element_at(kept, F.lit(-1))["ts"]) >= 21_600_000_000, F.lit(True))
-    kept = F.aggregate("rows", start, lambda kept, r: F.when(late(kept, r), F.concat(kept, F.array(r))).otherwise(kept))
-    return days.select("user_id", F.inline(kept)).select("user_id", "id", "ts")
-
-
 @query("st_boot_anchors", f"select k % 20 as boot, coalesce(min(value) filter (where event_type = 'view'), min(value) filter (where event_type = 'click')) as anchor, case when bool_or(event_type = 'view') then 'ntp' when bool_or(event_type = 'click') then 'server' end as source, count(*) filter (where event_type = 'error') as held from {_EV} group by 1")
 def st_boot_anchors(t):
     of = lambda kind: F.col("event_type") == kind

@@ -270,14 +270,6 @@ def join_nearest_mac(t):
     return x.where("before_tail is not null or after_tail is not null").select("ap", F.when(F.coalesce(ahead, F.lit(False)), F.col("after_ap")).otherwise(F.col("before_ap")).alias("sibling"))
 
 
-@query("cal_local_days", "select d::date as day, d - interval 1 hour as lo, d + interval 23 hour as hi from (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-30', interval 1 day)) as d)")
-def cal_local_days(t):
-    """The local days of a month with their edges in UTC."""
-    day = F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date"))).alias("day")
-    utc = lambda d: F.to_utc_timestamp(d.cast("timestamp"), "Europe/Bratislava").cast("timestamp_ntz")
-    return t("region").limit(1).select(day).select("day", utc(F.col("day")).alias("lo"), utc(F.date_add("day", 1)).alias("hi"))
-
-
 @query("cal_days_window", "select (ts + interval 1 hour)::date as day, count(*) as n from events where ts >= timestamp '2024-01-23 23:00:00' and ts < timestamp '2024-01-30 23:00:00' group by 1")
 def cal_days_window(t):
     """The last seven local days up to the thirtieth."""

@@ -174,13 +174,6 @@ def fn_key_mac(t):
     return t("events").select("event_id", D.key_mac(key).alias("mac"))
 
 
-@query("fn_hop_stride")
-def fn_hop_stride(t):
-    """Strides of lists of 1 to 200 channels, and what share they visit. (A loop with an exit: no SQL; tested against the loop.)"""
-    n = t("part").where("p_partkey between 1 and 200").select(F.col("p_partkey").alias("n")).withColumn("stride", D.hop_stride(F.col("n")))
-    return n.withColumn("visited", D.hop_visited(F.col("n"), F.lit(True), F.col("stride")))
-
-
 @query("fn_hop_health", """
 select p_partkey, n, case when p_partkey % 3 > 0 then n // gcd(n, 4) else n end as visited,
  case when p_partkey % 7 > 0 then p_partkey % 5 > 0 and case when p_partkey % 3 > 0 then n // gcd(n, 4) else n end = n and p_partkey % 2 = 0 end as ok

@@ -16,12 +16,6 @@ def _w(*more):
     return Window.partitionBy("user_id").orderBy("ts", "event_id", *more)
 
 
-@query("src_values", "select * from (values ('a', 1), ('b', 2), ('c', null)) v(name, n)")
-def src_values(t):
-    rows = F.array(*(F.struct(F.lit(a).alias("name"), F.lit(n).cast("int").alias("n")) for a, n in (("a", 1), ("b", 2), ("c", None))))
-    return t("region").limit(1).select(F.inline(rows))
-
-
 @query("join_cross_scalar", "select user_id, count(*) as n, round(count(*)::double / (select count(*) from events), 8) as share from events group by 1")
 def join_cross_scalar(t):
     total = t("events").agg(F.count("*").alias("total"))
