@@ -86,6 +86,9 @@ def test_formats(spark, tmp_path):
     assert [r.t for r in files.copy_blocks(spark, str(tmp_path / "e.sql"), "polls", ["id", "t"]).collect()] == ["a\\tb\tc\\\\d\ne"]
     (tmp_path / "d.sql").write_text("x\nCOPY public.polls (id, t) FROM stdin;\n1\ta\n2\t\\N\n\\.\nCOPY public.other (id) FROM stdin;\n9\n\\.\n")
     assert sorted(map(tuple, files.copy_blocks(spark, str(tmp_path / "d.sql"), "polls", ["id", "t"]).collect())) == [("1", "a"), ("2", None)]
+    text = "COPY public.polls (t, id) FROM stdin;\na\t1\nCOPY that row please\t2\nCOPY public.other (x) FROM stdin;\t3\n\\.\nCOPY public.other (x) FROM stdin;\n9\n\\.\nCOPY public.polls (t, id) FROM stdin;\nb\t4\n\\.\n"
+    (tmp_path / "c.sql").write_text(text)
+    assert sorted(r.id for r in files.copy_blocks(spark, str(tmp_path / "c.sql"), "polls", ["t", "id"]).collect()) == ["1", "2", "3", "4"]
     old = spark.createDataFrame([("1",)], "id string")
     assert files.aligned(old, {"id": "int", "extra": "double"}).first().extra is None
     df = spark.createDataFrame([(1, "=1+1", datetime(2024, 3, 1))], "id int, s string, at timestamp")

@@ -64,44 +64,6 @@ def project_stage_cast(t):
 # --- validation ------------------------------------------------------------------------------------------------------
 
 
-@query("validate_heartbeat", f"select event_id, case when value is null then 'ts missing' when k > 95 then 'disk out of range' when event_type not in ('view', 'click', 'purchase', 'error') then 'unknown state' when value > 90 then 'temperature out of range' end as reject from {_EV}")
-def validate_heartbeat(t):
-    reject = F.when(F.col("value").isNull(), "ts missing").when(F.col("k") > 95, "disk out of range").when(~F.col("event_type").isin("view", "click", "purchase", "error"), "unknown state").when(F.col("value") > 90, "temperature out of range")
-    return _events(t).select("event_id", reject.alias("reject"))
-
-
-@query("validate_boots_gaps", """
-with l as (select l_orderkey as batch, list_sort(list(l_linenumber)) as boots, list_sort(list({'a': l_linenumber, 'b': l_linenumber + cast(l_quantity as int) - 2})) as gaps from lineitem group by 1)
-select batch, case when len(boots) > 6 then 'too many boots' when len(list_distinct(boots)) < len(boots) then 'duplicate boot' when len(list_filter(gaps, lambda g: g.b < g.a)) > 0 then 'gap ends before it begins' end as reject from l""")
-def validate_boots_gaps(t):
-    gap = F.struct(F.col("l_linenumber").alias("a"), (F.col("l_linenumber") + F.col("l_quantity").cast("int") - 2).alias("b"))
-    lists = t("lineitem").groupBy(F.col("l_orderkey").alias("batch")).agg(F.collect_list("l_linenumber").alias("boots"), F.collect_list(gap).alias("gaps"))
-    reject = F.when(F.size("boots") > 6, "too many boots").when(F.size(F.array_distinct("boots")) < F.size("boots"), "duplicate boot").when(F.exists("gaps", lambda g: g["b"] < g["a"]), "gap ends before it begins")
-    return lists.select("batch", reject.alias("reject"))
-
-
-@query("validate_networks", V + "select network, case when kind = 'managed' and expected is null then 'policy missing' when kind <> 'managed' and require_mfp then 'policy on a friendly network' when length(network) > 4 then 'name too long' end as reject from networks")
-def validate_networks(t):
-    reject = F.when((F.col("kind") == "managed") & F.col("expected").isNull(), "policy missing").when((F.col("kind") != "managed") & F.col("require_mfp"), "policy on a friendly network").when(F.length("network") > 4, "name too long")
-    return networks(t).select("network", reject.alias("reject"))
-
-
-@query("validate_capture_config", """
-with c as (select l_orderkey as config, list_sort(list(l_linenumber * 2)) as channels from lineitem group by 1)
-select config, case when len(list_distinct(channels)) < len(channels) then 'duplicate channel' when len(list_filter(channels, lambda c: c > 13)) > 0 then 'unsupported channel' when len(channels) % 2 = 0 and len(channels) > 3 then 'stride leaves channels out' end as reject from c""")
-def validate_capture_config(t):
-    c = t("lineitem").groupBy(F.col("l_orderkey").alias("config")).agg(F.collect_list(F.col("l_linenumber") * 2).alias("channels"))
-    left_out = (F.size("channels") > 3) & (F.pmod(F.size("channels"), F.lit(2)) == 0)
-    reject = F.when(F.size(F.array_distinct("channels")) < F.size("channels"), "duplicate channel").when(F.exists("channels", lambda x: x > 13), "unsupported channel").when(left_out, "stride leaves channels out")
-    return c.select("config", reject.alias("reject"))
-
-
-@query("validate_writes", "select o_orderkey, case when o_orderkey <= 0 then 'bad id' when o_orderstatus not in ('O', 'F') then 'bad class' when length(o_orderpriority) > 10 then 'note too long' when o_totalprice > 400000 and o_orderstatus = 'F' then 'change needs a date' end as reject from orders")
-def validate_writes(t):
-    reject = F.when(F.col("o_orderkey") <= 0, "bad id").when(~F.col("o_orderstatus").isin("O", "F"), "bad class").when(F.length("o_orderpriority") > 10, "note too long").when((F.col("o_totalprice") > 400000) & (F.col("o_orderstatus") == "F"), "change needs a date")
-    return t("orders").select("o_orderkey", reject.alias("reject"))
-
-
 # --- writes ----------------------------------------------------------------------------------------------------------
 
 

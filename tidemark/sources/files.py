@@ -39,14 +39,18 @@ def copy_blocks(spark: SparkSession, path: str, table: str, columns: list[str])
     """The rows of a table's COPY blocks in plain-text database dumps, as strings; \\N is null, escapes are undone.
 
     A line's place is its split's place in the file and its number in the split. Blocks are told by their first and last
-    lines alone, which are few, and lines find their block by a join; no task sees a whole dump.
+    lines alone, which are few, and lines find their block by a join; no task sees a whole dump. A line that begins with
+    COPY opens a block only if the last one is closed: inside of a block it is data.
     """
     place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"))
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "value")
-    opens = F.regexp_extract("value", r"^COPY (?:\S+\.)?\"?(\w+)\"? ", 1)
-    marks = lines.where(F.col("value").startswith("COPY ") | (F.col("value") == "\\.")).select("file", "place", F.when(F.col("value") != "\\.", opens).alias("table"))
+    end = F.col("value") == "\\."
+    marks = lines.where(F.col("value").startswith("COPY ") | end).withColumn("is_end", end)
     w = Window.partitionBy("file").orderBy("place")
-    blocks = marks.withColumn("end", F.lead("place").over(w)).where(F.col("table") == table).select("file", F.col("place").alias("begin"), "end")
+    opens = marks.withColumn("opens", ~F.col("is_end") & F.coalesce(F.lag("is_end").over(w), F.lit(True)))
+    close = F.first(F.when(F.col("is_end"), F.col("place")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    name = F.regexp_extract("value", r"^COPY (?:\S+\.)?\"?(\w+)\"? ", 1)
+    blocks = opens.withColumn("end", close).where(F.col("opens") & (name == table)).select("file", F.col("place").alias("begin"), "end")
     inside = (lines["place"] > F.col("begin")) & (F.col("end").isNull() | (lines["place"] < F.col("end")))
     rows = lines.join(blocks, "file").where(inside)
     cells = F.split("value", "\t", -1)
@@ -72,3 +76,16 @@ def write_csv(df: DataFrame, path: str, order: list[str], timestamps: tuple[str,
     cell: dict[str, Column] = {f.name: csv_safe(F.col(f.name)).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in df.schema}
     cell |= {c: iso(c) for c in timestamps}
     df.orderBy(*order).select(*cell.values()).write.mode("overwrite").csv(path, header=True)
+
+
+def stage(df: DataFrame, path: str, reject: Column, by: str) -> DataFrame:
+    """Writes the rows that nothing is wrong with (reject is null) to a stage, partitioned by `by`, and what was rejected and why beside it; by, staged, rejected, first_reason."""
+    marked = df.withColumn("_reject", reject)
+    marked.write.partitionBy(by).parquet(path)
+    back = df.sparkSession.read.schema(marked.schema).parquet(path)
+    return back.groupBy(by).agg(F.count_if(F.col("_reject").isNull()).alias("staged"), F.count("_reject").alias("rejected"), F.min("_reject").alias("first_reason"))
+
+
+def staged_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a stage that may be merged."""
+    return spark.read.parquet(path).where("_reject is null").drop("_reject")
