@@ -540,3 +540,18 @@ def test_mixed_pieces_are_the_documents_words_in_order(spark):
             assert whole == [w for w in words(t) if w in set(whole)]
             assert all(0 < len(x.split(" ")) <= 8 for x in got[i].values())
     assert len(got) >= 5
+
+
+def test_toxicity_learns_from_at_most_max_rows_documents(spark, monkeypatch):
+    from tidemark.llm import toxicity
+
+    rows = [(1, "you are a fool", 1)] * 300 + [(k, f"calm words {k}", 0) for k in range(2, 40)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame(sorted({(i, y) for i, _, y in rows}), "doc_id long, toxic int")
+    sent, gathered = [], toxicity._gathered
+    monkeypatch.setattr(toxicity, "_gathered", lambda texted: sent.append(texted.count()) or gathered(texted))
+    model = toxicity.train(docs, labels, max_rows=10)
+    once = toxicity.train(docs.distinct(), labels, max_rows=10)
+    assert sent == [11, 11]
+    assert np.array_equal(model.weight, once.weight)
+    assert model.bias == once.bias

@@ -202,12 +202,12 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """A model of at most max_rows labelled documents of each class, in the order of a hash of their text; more toxic rows or fewer, the bias is set for the classes' share among all labelled rows."""
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("y"))
     mark = F.xxhash64(text)
-    rows = df.where(~held_out(F.col(doc_id)) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), mark.alias("mark")).join(known, "id")
+    rows = df.where(~held_out(F.col(doc_id)) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), mark.alias("mark")).dropDuplicates(["id", "mark"]).join(known, "id")  # equal rows are learned from once
     rows = saved(rows.select("id", "mark", F.col("y").cast("int").alias("y")), "labelled")  # no texts: those of the picked rows come after
     share = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = [rows.where(F.col("y") == c).orderBy("mark", "id").limit(max_rows) for c in (0, 1)]
-    picked = F.broadcast(saved(picked[0].union(picked[1]).distinct(), "picked"))  # at most 2 * max_rows rows
-    texted = df.select(F.col(doc_id).alias("id"), mark.alias("mark"), F.col(text).alias("text")).join(picked, ["id", "mark"])
+    picked = F.broadcast(saved(picked[0].union(picked[1]), "picked"))  # at most 2 * max_rows rows
+    texted = df.select(F.col(doc_id).alias("id"), mark.alias("mark"), F.col(text).alias("text")).join(picked, ["id", "mark"]).dropDuplicates(["id", "mark"])
     docs, vocabulary, y = _gathered(texted)
     if not docs:
         return Model(np.zeros(BUCKETS, np.float32), -3.0)
