@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import detect, twin
 from tidemark.operators.stats import robust_spread
-from tidemark.queries import query
-from tidemark.queries_domain import V, aps, at, readings
+from tidemark.queries import _events, query
+from tidemark.queries_domain import NOW, V, aps, at, readings
+from tidemark.streaming import alarms
 
 _RULES = twin.TwinRules(gap_s=86_400, shift=detect.ShiftRules(k=0.3, shift_floor=3.0, spread_k=0.8), persistence=4, persist_window_s=259_200, med_dev=8.0, high_dev=12.0, guard_s=3_600, close_dbm=-45.0, strong_db=5.0)
 
@@ -80,3 +81,20 @@ def det_evidence_twin(t):
 def scan_stream_cursor(t):
     """Each entity's rows in the order in which a reader goes through them once, by day."""
     return twin.pass_in_order(t("events").select("user_id", "event_id", "ts"), ["user_id"], "ts", "event_id", ["event_id"]).select("user_id", "event_id", "place", "before_event_id")
+
+
+@query("notify_transitions", V + """
+, c as (select user_id % 3 as sensor, event_id as id, ts as t, k % 5 = 0 as capturing, k % 11 = 0 as discarding, k / 2.0 as free from ev),
+l as (select *, max(case when capturing then t end) over (partition by sensor order by t, id rows unbounded preceding) as cap from c),
+f as (select *, not discarding and (cap is null or t > cap + interval 30 minute) as con, coalesce(free < 10, false) as don from l),
+g as (select *, coalesce(lag(con) over w, false) as bc, coalesce(lag(don) over w, false) as bd, lag(t) over w as b, coalesce(t > lag(t) over w + interval 30 minute, false) as silent from f window w as (partition by sensor order by t, id)),
+z as (select sensor, max_by(con, (t, id)) as con, max(t) as t from f group by 1 having max(t) + interval 30 minute < timestamp '2024-01-31 12:00:00'),
+tr as (select sensor, 'contact' as alarm, b + interval 30 minute as t, 'start' as change from g where silent union all select sensor, 'contact', t, 'resolve' from g where silent union all select sensor, 'capture', b + interval 30 minute, 'resolve' from g where silent and bc
+ union all select sensor, 'capture', t, 'start' from g where con and (silent or not bc) union all select sensor, 'capture', t, 'resolve' from g where not silent and bc and not con union all select sensor, 'disk', t, 'start' from g where don and not bd union all select sensor, 'disk', t, 'resolve' from g where not don and bd
+ union all select sensor, 'contact', t + interval 30 minute, 'start' from z union all select sensor, 'capture', t + interval 30 minute, 'resolve' from z where con)
+select sensor, alarm, t as at, change, case when change = 'resolve' then (epoch_us(t) - epoch_us(lag(t) over (partition by sensor, alarm order by t, change desc))) / 1e6 end as lasted_s from tr""")
+def notify_transitions(t):
+    """When each sensor's alarms start and resolve, from its whole history; the stream of the same is in tidemark.streaming."""
+    k = F.col("k")
+    c = _events(t).select((F.col("user_id") % 3).alias("sensor"), F.col("event_id").alias("id"), F.col("ts").alias("at"), (k % 5 == 0).alias("capturing"), (k % 11 == 0).alias("discarding"), (k / 2.0).alias("free_gb"))
+    return alarms.alarm_history(c, 1_800, 10.0, at(NOW))
