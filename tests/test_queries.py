@@ -3,7 +3,7 @@
 import compare
 import pytest
 
-from tidemark import queries_audit, queries_boards, queries_domain, queries_events, queries_fuller, queries_functions, queries_names, queries_passes, queries_ranks, queries_relational, queries_store, queries_writes  # noqa: F401  register more
+from tidemark import queries_audit, queries_boards, queries_cards, queries_domain, queries_events, queries_fuller, queries_functions, queries_names, queries_passes, queries_ranks, queries_relational, queries_store, queries_writes  # noqa: F401  register more
 from tidemark.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

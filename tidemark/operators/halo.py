@@ -51,7 +51,7 @@ def inside(df: DataFrame) -> DataFrame:
     return df.where(~F.col(HALO)).drop(HALO)
 
 
-def _numbered(marked: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+def numbered(marked: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """marked (blocks, with __new: 1 where a run begins) with the running number of each row's run, added up over blocks."""
     own = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     new = marked.groupBy(*keys, BLOCK).agg(F.sum("__new").alias("__sum"))
@@ -64,14 +64,14 @@ def sessionized(df: DataFrame, keys: list[str], ts: str, tie: str, gap_s: float,
     """df with the running number of its episode, as series.sessionize gives it, without a whole history in one task."""
     away = micros(ts) - F.lag(micros(ts)).over(Window.partitionBy(*keys, BLOCK).orderBy(ts, tie))
     new = F.coalesce(away > int(gap_s * 1e6), F.lit(False)).cast("long")
-    return _numbered(inside(with_rows_before(df, keys, ts, tie, 1, unit).withColumn("__new", new)), keys, [ts, tie], name)
+    return numbered(inside(with_rows_before(df, keys, ts, tie, 1, unit).withColumn("__new", new)), keys, [ts, tie], name)
 
 
 def islands(df: DataFrame, keys: list[str], ts: str, tie: str, value: str, name: str = "island", unit: str = "day") -> DataFrame:
     """df with the running number of its run of equal values (null is a value); keys must not be null."""
     before = F.lag(F.struct(value)).over(Window.partitionBy(*keys, BLOCK).orderBy(ts, tie))
     new = (~F.struct(value).eqNullSafe(before)).cast("long")
-    return _numbered(inside(with_rows_before(df, keys, ts, tie, 1, unit).withColumn("__new", new)), keys, [ts, tie], name)
+    return numbered(inside(with_rows_before(df, keys, ts, tie, 1, unit).withColumn("__new", new)), keys, [ts, tie], name)
 
 
 def most_in_span(df: DataFrame, keys: list[str], ts: str, span_s: float, count: Column | None = None, unit: str = "day") -> DataFrame:

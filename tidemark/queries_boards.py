@@ -65,16 +65,6 @@ def dash_network_bssids(t):
     return N.verdicts(levels(t), networks(t)).join(r, "ap").select("ap", "network", "net_kind", "level", "reason", "sensor", "rssi", "last_hour")
 
 
-@query("dash_status", V + _VERDICT + """
-, f as (select network, reason, count(*) as n from vd where net_kind = 'managed' and reason is not null group by 1, 2), top as (select network, reason from (select *, row_number() over (partition by network order by n desc, reason) as k from f) where k = 1)
-select network, count(*) as bssids, count(reason) as failing, any_value(top.reason) as main_reason from (select network, reason from vd where net_kind = 'managed') v left join top using (network) group by 1""".replace("count(reason)", "count(v.reason)"))
-def dash_status(t):
-    v = N.verdicts(levels(t), networks(t)).where("net_kind = 'managed'")
-    n = v.where("reason is not null").groupBy("network", "reason").agg(F.count("*").alias("n"))
-    top = N.newest_each(n, "network", [F.desc("n"), "reason"]).select("network", F.col("reason").alias("main_reason"))
-    return v.groupBy("network").agg(F.count("*").alias("bssids"), F.count("reason").alias("failing")).join(top, "network", "left")
-
-
 _SEEN = f", seen as (select {_BUCKET} as bucket, ap, min(hour) as lo, max(hour) + interval 1 hour as hi, max(hour) as last_hour from hourly where {_IN} group by 1, 2)"
 
 
@@ -113,13 +103,6 @@ def dash_fixed_entities(t):
     return aps(t).where("not random").join(newest, "ap").select("ap", "network", "sensor", "ts")
 
 
-@query("dash_ap_detail", V + f"""
-select ap, sensor, count(*) filter (where ts >= timestamp '{NOW}' - interval 7 day) as obs_7d, count(distinct ts::date) as days_seen, quantile_cont(level, 0.5) as median, count(*) filter (where is_floor) as floors, max(ts) as last_seen from readings group by 1, 2""")
-def dash_ap_detail(t):
-    week = F.count_if(F.col("ts") >= at(NOW) - F.expr("interval 7 days")).alias("obs_7d")
-    return readings(t).groupBy("ap", "sensor").agg(week, F.count_distinct(F.to_date("ts")).alias("days_seen"), quantile("level", 0.5).alias("median"), F.count_if("is_floor").alias("floors"), F.max("ts").alias("last_seen"))
-
-
 @query("dash_ap_rssi", V + """
 , h as (select ap, hour, median, n_valid, n_floor from hourly join aps using (ap) where network = 'net3'), g as (select ap, unnest(generate_series(min(hour), max(hour), interval 1 hour)) as hour from h group by ap),
 b as (select ap, quantile_cont(level, 0.05) as p5, quantile_cont(level, 0.95) as p95 from readings group by 1)
@@ -178,19 +161,6 @@ def dash_utilization(t):
     return h.groupBy(here, "channel").agg(F.round(F.avg("u"), 6).alias("util"), F.max("u").alias("peak"), F.sum("aps").alias("ap_hours"))
 
 
-@query("dash_sensors", V + f"""
-, c as (select sensor, quantile_cont((epoch_us(hi) - epoch_us(lo)) / 1e6, 0.5) as cadence from gaps where lo is not null group by 1), a as (select sensor, count(distinct ap) as aps_7d from readings where ts >= timestamp '{NOW}' - interval 7 day group by 1),
-o as (select sensor, count(*) as only_here from (select ap, min(sensor) as sensor from readings group by 1 having count(distinct sensor) = 1) group by 1)
-select sensor, round(cadence, 3) as cadence_s, last_poll, coalesce(aps_7d, 0) as aps_7d, coalesce(only_here, 0) as only_here from spans left join c using (sensor) left join a using (sensor) left join o using (sensor)""")
-def dash_sensors(t):
-    w = Window.partitionBy("sensor").orderBy("ts", "id")
-    step = polls(t).withColumn("s", (S.micros("ts") - F.lag(S.micros("ts")).over(w)) / 1e6).where("s is not null")
-    cadence = step.groupBy("sensor").agg(F.round(quantile("s", 0.5), 3).alias("cadence_s"))
-    recent = readings(t).where(F.col("ts") >= at(NOW) - F.expr("interval 7 days")).groupBy("sensor").agg(F.count_distinct("ap").alias("aps_7d"))
-    only = readings(t).groupBy("ap").agg(F.min("sensor").alias("sensor"), F.count_distinct("sensor").alias("n")).where("n = 1").groupBy("sensor").agg(F.count("*").alias("only_here"))
-    return spans(t).select("sensor", "last_poll").join(cadence, "sensor", "left").join(recent, "sensor", "left").join(only, "sensor", "left").na.fill(0, ["aps_7d", "only_here"])
-
-
 @query("dash_outages", V + f"""
 select sensor, 'outage' as type, starts_at, ends_at, 'polls' as source from outages union all
 select sensor, 'outage', starts_at, ends_at, 'annotation' from notes n where kind = 'gap' and not exists (select 1 from outages o where o.sensor = n.sensor and o.starts_at < coalesce(n.ends_at, n.starts_at + interval 1 microsecond) and o.ends_at > n.starts_at)
