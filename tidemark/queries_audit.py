@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import decisions as D
 from tidemark.functions import scalars as S
-from tidemark.operators import audit, detect, intervals, series, stats, summaries, writes
+from tidemark.operators import audit, detect, intervals, series, summaries, writes
 from tidemark.operators.stats import quantile
 from tidemark.queries import _EV, _events, query
-from tidemark.queries_domain import _AP_SUMMARY, NOW, V, ap_summary, aps, at, captured, excluded, hourly, levels, networks, notes, outages, periods, polls, readings, spans
+from tidemark.queries_domain import NOW, V, aps, at, notes, outages, periods, polls, readings
 from tidemark.queries_functions import _floor_shares
 
 # --- scans, filters, sorts -------------------------------------------------------------------------------------------

@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import intervals, series, summaries
+from tidemark.operators import intervals, summaries
 from tidemark.operators.stats import quantile
 from tidemark.plans import networks as N
 from tidemark.queries import _events, query
-from tidemark.queries_domain import _AP_SUMMARY, NOW, V, ap_summary, aps, at, excluded, hourly, levels, networks, notes, outages, periods, polls, readings, sensor_hours, spans
+from tidemark.queries_domain import V, aps, at, excluded, hourly, levels, networks, notes, outages, periods, polls, readings, sensor_hours, spans
 
 ZONE = "Europe/Bratislava"
 _FROM, _TO = "2024-01-05", "2024-01-20"

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import decisions as D
 from tidemark.functions import scalars as S
-from tidemark.operators import audit, detect, intervals, summaries
+from tidemark.operators import audit, detect, intervals
 from tidemark.plans import dashboards
 from tidemark.plans import networks as N
 from tidemark.queries import _EV, _events, query
 from tidemark.queries_boards import _FROM, _IN, _TO, _VERDICT, _within
-from tidemark.queries_domain import NOW, V, at, excluded, levels, networks, polls, sensor_hours
+from tidemark.queries_domain import NOW, V, at, levels, networks, polls, sensor_hours
 
 
 @query("upsert_replay_count", "select user_id, event_type, min(ts) as first_at, count(*) - 1 as replays, count(*) > 1 as replayed from events group by 1, 2")
