@@ -555,3 +555,19 @@ def test_toxicity_learns_from_at_most_max_rows_documents(spark, monkeypatch):
     assert sent == [11, 11]
     assert np.array_equal(model.weight, once.weight)
     assert model.bias == once.bias
+
+
+def test_line_dedup_counts_alike_in_both_sql_modes_and_refuses_texts_as_ids(spark):
+    from tidemark.llm.line_dedup import dedup_lines
+
+    docs = spark.createDataFrame([(1, "a\nb\nc"), (2, "x\na\nb\nc"), (3, "alone"), (4, None), (5, "")], "doc_id long, text string")
+    got = []
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    for mode in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", mode)
+        got.append(sorted((r.doc_id, r.n_lines, r.n_removed, r.text) for r in dedup_lines(docs).collect()))
+    spark.conf.set("spark.sql.ansi.enabled", before)
+    assert got[0] == got[1]
+    assert [r[2] for r in got[0]] == [0, 3, 0, 0, 0]
+    with pytest.raises(ValueError, match="whole number"):
+        dedup_lines(docs.withColumn("doc_id", F.col("doc_id").cast("string")))

@@ -109,16 +109,19 @@ def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", li
 
 
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lines: int = 2, long_line: int = 100) -> DataFrame:
-    """df with the later copies of repeated line runs cut out of its text, and n_lines, n_removed."""
+    """df with the later copies of repeated line runs cut out of its text, and n_lines, n_removed. Ids are whole numbers; others are refused."""
+    if dict(df.dtypes)[doc_id] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{doc_id} has to be a whole number, not {dict(df.dtypes)[doc_id]}")
     gone = repeated_lines(df, doc_id, text, lines, long_line).select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("gone").alias("__gone"))
     out = df.join(gone, (F.col(doc_id).cast("long") == F.col("__doc")) & (F.xxhash64(F.col(text)) == F.col("__tag")), "left")
     # the lines as a column: inside the lambda the text would be split for each line
     out = out.withColumn("__lines", _lines(F.col(text)))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     kept = F.array_join(F.transform(stay, lambda i: F.get(F.col("__lines"), i)), "\n")
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")  # noqa: E731  the size of null depends on the session's mode
     columns = {
-        "n_lines": F.coalesce(F.size("__lines"), F.lit(0)).cast("long"),
-        "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
+        "n_lines": size("__lines"),
+        "n_removed": size("__gone"),
         text: F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept),
     }
     return out.withColumns(columns).drop("__doc", "__tag", "__gone", "__lines")
