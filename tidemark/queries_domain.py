@@ -241,8 +241,8 @@ lim as (select sensor, starts_at as lo, coalesce(ends_at, timestamp '{NOW}') as
 nt as (select sensor, h as hour, least(3600, sum(greatest((least(epoch_us(hi), epoch_us(h) + 3600000000) - greatest(epoch_us(lo), epoch_us(h))) / 1e6, 0))) as noted from (select *, unnest(generate_series(date_trunc('hour', lo), hi, interval 1 hour)) as h from lim where lo < hi) group by 1, 2),
 c as (select sensor, hour::date as day, sum(capture_s) as cap, sum(capture_s * greatest(limited::double / capture, coalesce(noted, 0) / 3600)) as lim from captured left join nt using (sensor, hour) where capture > 0 group by 1, 2),
 g as (select sensor, day, lo, hi, first_poll, last_poll + interval 30 second as data_end from spans, days),
-x as (select g.*, coalesce(sum(case when data_end > greatest(g.lo, first_poll) then greatest((least(epoch_us(coalesce(e.hi, timestamp '{NOW}')), epoch_us(least(g.hi, data_end))) - greatest(epoch_us(e.lo), epoch_us(greatest(g.lo, first_poll)))) / 1e6, 0) end), 0) as ex_data,
-  coalesce(sum(case when g.hi > greatest(g.lo, first_poll, data_end) then greatest((least(epoch_us(coalesce(e.hi, timestamp '{NOW}')), epoch_us(g.hi)) - greatest(epoch_us(e.lo), epoch_us(greatest(g.lo, first_poll, data_end)))) / 1e6, 0) end), 0) as ex_after
+x as (select g.*, coalesce(sum(case when e.lo is not null and data_end > greatest(g.lo, first_poll) then greatest((least(epoch_us(coalesce(e.hi, timestamp '{NOW}')), epoch_us(least(g.hi, data_end))) - greatest(epoch_us(e.lo), epoch_us(greatest(g.lo, first_poll)))) / 1e6, 0) end), 0) as ex_data,
+  coalesce(sum(case when e.lo is not null and g.hi > greatest(g.lo, first_poll, data_end) then greatest((least(epoch_us(coalesce(e.hi, timestamp '{NOW}')), epoch_us(g.hi)) - greatest(epoch_us(e.lo), epoch_us(greatest(g.lo, first_poll, data_end)))) / 1e6, 0) end), 0) as ex_after
   from g left join excluded e on e.sensor = g.sensor group by all),
 y as (select x.*, coalesce(cap, 0) as cap, coalesce(lim, 0) as lim, (epoch_us(hi) - epoch_us(lo)) / 1e6 as total from x left join c using (sensor, day))
 select sensor, day, round((cap - lim) / total, 3) as ok, round(lim / total, 3) as limited, round(greatest(greatest((least(epoch_us(hi), epoch_us(data_end)) - greatest(epoch_us(lo), epoch_us(first_poll))) / 1e6, 0) - cap - ex_data, 0) / total, 3) as outage,
