@@ -40,6 +40,8 @@ SEGMENT = 16
 PIECE = 66
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _MEMO = 300_000
+#: Rows that a worker sends back together.
+SLICE = 1_000
 
 
 @dataclass
@@ -220,14 +222,20 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3, segment: int = SEGMENT) -> DataFrame:
     """The columns of `keep`, score, predicted (1 if score >= threshold) for each row of df."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.select(*keep, F.col(text).alias("__text"))
+    own = text in keep  # a text that is kept goes to the workers once
+    rows = df.select(*keep) if own else df.select(*keep, F.col(text).alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"), "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value, segment)
-        for b in batches:
-            rest = [k for k, name in enumerate(b.schema.names) if name != "__text"]
-            scores = pa.array([scorer(x.as_py()) for x in b.column(b.schema.get_field_index("__text"))], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in rest), scores], [*(b.schema.names[k] for k in rest), "score"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                rest = [k for k, name in enumerate(b.schema.names) if name != "__text"]
+                scores = pa.array([scorer(x.as_py()) for x in b.column(b.schema.get_field_index(text if own else "__text"))], pa.float64())
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in rest), scores], [*(b.schema.names[k] for k in rest), "score"])
+            b = whole = None
+        scorer.memo.clear()  # a worker that waits for its next task holds nothing of this one
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
