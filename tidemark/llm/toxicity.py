@@ -42,6 +42,8 @@ _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _MEMO = 300_000
 #: Rows that a worker sends back together.
 SLICE = 1_000
+#: Segments that training scores together.
+PART = 20_000
 
 
 @dataclass
@@ -108,6 +110,8 @@ def fit(docs: list[np.ndarray], vocabulary: list[np.ndarray], toxic: np.ndarray,
     seg_words = np.concatenate([w for w, _ in cut])
     doc_segs = np.concatenate([[0], np.cumsum([len(n) for _, n in cut])])
     seg_at = np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in cut]))])
+    n_docs = len(docs)
+    del cut, docs, vocabulary
     emb = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     soft = rng.normal(0, 0.1, (dim, 2)).astype(np.float32)
     bias = np.log(np.maximum(np.bincount(toxic, minlength=2), 1) / max(1, len(toxic))).astype(np.float32)
@@ -116,14 +120,15 @@ def fit(docs: list[np.ndarray], vocabulary: list[np.ndarray], toxic: np.ndarray,
         # n-gram weights of this epoch pick each document's worst segment
         line = emb @ (soft[:, 1] - soft[:, 0])
         word_sum = np.add.reduceat(line[grams], gram_at[:-1]) if len(grams) else np.zeros(0)
-        words, of = seg_words, np.repeat(np.arange(len(seg_at) - 1), np.diff(seg_at))
-        total = np.bincount(of, word_sum[words], len(seg_at) - 1)
-        count = np.bincount(of, gram_n[words], len(seg_at) - 1)
-        score = total / np.maximum(count, 1)
-        order = np.lexsort((score, np.repeat(np.arange(len(docs)), np.diff(doc_segs))))
+        score = np.empty(len(seg_at) - 1)
+        for lo in range(0, len(score), PART):  # in parts: all words of all documents are many
+            hi = min(lo + PART, len(score))
+            words, of = seg_words[seg_at[lo] : seg_at[hi]], np.repeat(np.arange(hi - lo), np.diff(seg_at[lo : hi + 1]))
+            score[lo:hi] = np.bincount(of, word_sum[words], hi - lo) / np.maximum(np.bincount(of, gram_n[words], hi - lo), 1)
+        order = np.lexsort((score, np.repeat(np.arange(n_docs), np.diff(doc_segs))))
         worst = order[doc_segs[1:] - 1]
-        pick = rng.permutation(len(docs))
-        for lo in range(0, len(docs), batch):
+        pick = rng.permutation(n_docs)
+        for lo in range(0, n_docs, batch):
             rows = pick[lo : lo + batch]
             y = toxic[rows]
             seg = worst[rows]
@@ -197,6 +202,7 @@ def _gathered(texted: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], li
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in x.as_py()], np.int32) for x in t.column("words")]
     keys = [*zip(t.column("y").to_pylist(), t.column("mark").to_pylist(), t.column("id").to_pylist(), strict=True)]
     order = sorted(range(len(keys)), key=keys.__getitem__)
+    del t
     return [docs[k] for k in order], [n_grams(w) for w in vocabulary], [keys[k][0] for k in order]
 
 
@@ -210,10 +216,10 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     picked = [rows.where(F.col("y") == c).orderBy("mark", "id").limit(max_rows) for c in (0, 1)]
     picked = F.broadcast(saved(picked[0].union(picked[1]), "picked"))  # at most 2 * max_rows rows
     texted = df.select(F.col(doc_id).alias("id"), mark.alias("mark"), F.col(text).alias("text")).join(picked, ["id", "mark"]).dropDuplicates(["id", "mark"])
-    docs, vocabulary, y = _gathered(texted)
-    if not docs:
+    *learned, y = _gathered(texted)
+    if not y:
         return Model(np.zeros(BUCKETS, np.float32), -3.0)
-    model = fit(docs, vocabulary, np.array(y, np.int64), segment=segment)
+    model = fit(learned.pop(0), learned.pop(0), np.array(y, np.int64), segment=segment)  # what is learned from goes while it is
     in_sample, in_all = (max(y.count(1), 1) / max(y.count(0), 1), max(share.get(1, 0), 1) / max(share.get(0, 0), 1))
     model.bias += float(np.log(in_all / in_sample))
     return model
