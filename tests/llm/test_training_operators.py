@@ -548,8 +548,8 @@ def test_toxicity_learns_from_at_most_max_rows_documents(spark, monkeypatch):
     rows = [(1, "you are a fool", 1)] * 300 + [(k, f"calm words {k}", 0) for k in range(2, 40)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame(sorted({(i, y) for i, _, y in rows}), "doc_id long, toxic int")
-    sent, gathered = [], toxicity._gathered
-    monkeypatch.setattr(toxicity, "_gathered", lambda texted: sent.append(texted.count()) or gathered(texted))
+    sent, learned = [], toxicity._learned
+    monkeypatch.setattr(toxicity, "_learned", lambda texted, segment: sent.append(texted.count()) or learned(texted, segment))
     model = toxicity.train(docs, labels, max_rows=10)
     once = toxicity.train(docs.distinct(), labels, max_rows=10)
     assert sent == [11, 11]

@@ -7,8 +7,8 @@ drown in the mean of all words, texts are cut into segments of SEGMENT words (th
 equally long) and a document scores as its worst segment; in training, too, a document's gradient goes to its worst segment.
 With a segment longer than any text the score is the plain mean of all words.
 
-The model is fitted on the driver on a sample of labelled rows that is bounded by rows alone (`max_rows` documents of each
-class, picked by a hash of the text); texts are learned from whole. Tasks cut them into words, which the driver numbers.
+The model is fitted in one task on a sample of labelled rows that is bounded by rows alone (`max_rows` documents of each
+class, picked by a hash of the text); texts are learned from whole. Tasks cut them into words; the driver gets the weights.
 Scoring covers all rows and whole texts, in tasks, with the model folded into one number for each n-gram bucket (mean and
 softmax are linear), whatever the number of documents.
 
@@ -188,22 +188,31 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _gathered(texted: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], list[int]]:
-    """Of rows of id, mark, y and text: the word numbers of each document, the n-grams of each word, and the documents' classes."""
+def _learned(texted: DataFrame, segment: int) -> tuple[Model, list[int]] | None:
+    """A model of rows of id, mark, y and text, and how many of each class there were; None without rows. One task learns: the rows are a bounded sample, and the driver gets the weights alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [marked_words(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("mark"), b.column("id"), b.column("y"), pa.array(words, pa.list_(pa.string()))], ["mark", "id", "y", "words"])
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary: dict[str, int] = {}
+        docs, keys = [], []
+        for b in batches:
+            docs += [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in x.as_py()], np.int32) for x in b.column("words")]
+            keys += zip(*(b.column(c).to_pylist() for c in ("y", "mark", "id")), strict=True)
+        if docs:
+            order = sorted(range(len(keys)), key=keys.__getitem__)
+            y = np.array([keys[k][0] for k in order], np.int64)
+            model = fit([docs[k] for k in order], [n_grams(w) for w in vocabulary], y, segment=segment)
+            n = np.bincount(y, minlength=2).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()]), pa.array([model.bias]), pa.array([n[0]]), pa.array([n[1]])], ["weight", "bias", "n0", "n1"])
+
     part = texted.select("mark", "id", "y", "text")
-    t = part.mapInArrow(run, f"mark long, id {part.schema['id'].dataType.simpleString()}, y int, words array<string>").toArrow()
-    vocabulary: dict[str, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in x.as_py()], np.int32) for x in t.column("words")]
-    keys = [*zip(t.column("y").to_pylist(), t.column("mark").to_pylist(), t.column("id").to_pylist(), strict=True)]
-    order = sorted(range(len(keys)), key=keys.__getitem__)
-    del t
-    return [docs[k] for k in order], [n_grams(w) for w in vocabulary], [keys[k][0] for k in order]
+    words = part.mapInArrow(run, f"mark long, id {part.schema['id'].dataType.simpleString()}, y int, words array<string>")
+    row = words.repartition(1).mapInArrow(learn, "weight binary, bias double, n0 long, n1 long").first()
+    return None if row is None else (Model(np.frombuffer(row["weight"], np.float32).copy(), row["bias"]), [row["n0"], row["n1"]])
 
 
 def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 4000, segment: int = SEGMENT) -> Model:
@@ -216,11 +225,11 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     picked = [rows.where(F.col("y") == c).orderBy("mark", "id").limit(max_rows) for c in (0, 1)]
     picked = F.broadcast(saved(picked[0].union(picked[1]), "picked"))  # at most 2 * max_rows rows
     texted = df.select(F.col(doc_id).alias("id"), mark.alias("mark"), F.col(text).alias("text")).join(picked, ["id", "mark"]).dropDuplicates(["id", "mark"])
-    *learned, y = _gathered(texted)
-    if not y:
+    learned = _learned(texted, segment)
+    if learned is None:
         return Model(np.zeros(BUCKETS, np.float32), -3.0)
-    model = fit(learned.pop(0), learned.pop(0), np.array(y, np.int64), segment=segment)  # what is learned from goes while it is
-    in_sample, in_all = (max(y.count(1), 1) / max(y.count(0), 1), max(share.get(1, 0), 1) / max(share.get(0, 0), 1))
+    model, n = learned
+    in_sample, in_all = (max(n[1], 1) / max(n[0], 1), max(share.get(1, 0), 1) / max(share.get(0, 0), 1))
     model.bias += float(np.log(in_all / in_sample))
     return model
 
