@@ -32,7 +32,11 @@ def beyond(rows: DataFrame, snap: Snapshot, source: str, seq: str) -> DataFrame:
 
 
 def append_batch(store: Store, table: str, source: str, seq: str, ts: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: new rows join the days they belong to; cursors, and dirty marks of the earliest new times, are part of the commit."""
+    """A foreachBatch function: new rows join the days they belong to; cursors, and dirty marks of the earliest new times, are part of the commit.
+
+    Batches have to come in the order of a source's numbers, since what a cursor has passed is taken as stored: rows whose
+    numbers are in no order among them belong into one batch.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         base = store.snapshot()
