@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from tidemark import queries_store
+from tidemark import queries_audit, queries_functions, queries_passes, queries_relational, queries_store, queries_writes  # noqa: F401  register more
 from tidemark.queries import ORACLE_SQL, QUERIES
 from tidemark.session import shared_folder
 from tidemark.sources.store import Store
@@ -38,3 +38,11 @@ def test_an_arrival_of_many_files_is_stored_whole(spark):
     rows.repartition(9, "seq").withColumn("file", F.lit(0)).write.partitionBy("file").parquet(f"{store.root}-landing")
     merge_stream.run_all(queries_store._landed(store, rows.schema, "0"), marks.append_batch(store, "rows", "sensor", "seq", "ts"), f"{store.root}-run")
     assert store.snapshot().read("rows").count() == 90
+
+
+def test_an_order_of_seventeen_lines(spark, tmp_path):
+    n = 17 + 101
+    line = {
+        "l_orderkey": [1] * 17 + [2] * 101, "l_partkey": [9] + [1] * (n - 1), "l_linenumber": pa.array([1] * n, pa.int32()), "l_quantity": [5.0] * (n - 1) + [0.0], "l_extendedprice": [float(i) for i in range(n)], "l_returnflag": ["A"] * n,
+    }
+    same_as_sql(spark, tmp_path, "validate_boots_gaps", lineitem=line)

@@ -42,20 +42,22 @@ def heartbeat(h: dict[str, Column]) -> Column:
     )
 
 
-def boots(items: Column) -> Column:
-    """items: at most 16 of boot_id, source, epoch_true, polls_corrected; the first entry that breaks a rule decides."""
+def boots(items: Column, most: int | None = 16) -> Column:
+    """items: at most 16 (most; None: any number) of boot_id, source, epoch_true, polls_corrected; the first entry that breaks a rule decides."""
     one = lambda b: first_broken(
         (b["source"].isNull() | ~b["source"].isin("ntp", "server") | b["epoch_true"].isNull() | ~_finite(b["epoch_true"]), "boots: boot_id, source ntp|server and epoch_true are required"),
         (b["boot_id"].isNull() | ~b["boot_id"].rlike(UUID), "boots: boot_id is invalid"), (b["polls_corrected"] < 0, "boots: polls_corrected must be a count"),
     )
     found = F.filter(F.transform(items, one), lambda x: x.isNotNull())
-    return F.when(F.size(items) > 16, "boots: a list of at most 16 expected").otherwise(F.get(found, F.lit(0)))
+    first = F.get(found, F.lit(0))
+    return first if most is None else F.when(F.size(items) > most, f"boots: a list of at most {most} expected").otherwise(first)
 
 
-def gaps(items: Column) -> Column:
-    """items: at most 100 of seq_from, seq_to, reason."""
+def gaps(items: Column, most: int | None = 100) -> Column:
+    """items: at most 100 (most; None: any number) of seq_from, seq_to, reason."""
     broken = lambda g: F.coalesce((g["seq_from"] < 1) | (g["seq_to"] < g["seq_from"]) | ~g["reason"].isin("lost", "unverified"), F.lit(True))
-    return F.when(F.size(items) > 100, "gaps: a list of at most 100 expected").when(F.exists(items, broken), "gaps: seq_from <= seq_to and reason lost|unverified required")
+    wrong = F.when(F.exists(items, broken), "gaps: seq_from <= seq_to and reason lost|unverified required")
+    return wrong if most is None else F.when(F.size(items) > most, f"gaps: a list of at most {most} expected").otherwise(wrong)
 
 
 def row_time(seconds: Column, now_s: Column) -> Column:
