@@ -46,3 +46,9 @@ def test_an_order_of_seventeen_lines(spark, tmp_path):
         "l_orderkey": [1] * 17 + [2] * 101, "l_partkey": [9] + [1] * (n - 1), "l_linenumber": pa.array([1] * n, pa.int32()), "l_quantity": [5.0] * (n - 1) + [0.0], "l_extendedprice": [float(i) for i in range(n)], "l_returnflag": ["A"] * n,
     }
     same_as_sql(spark, tmp_path, "validate_boots_gaps", lineitem=line)
+
+
+def test_durations_beside_a_half_hundredth(spark, tmp_path):
+    key = [i % 1000 for i in range(20_000)]
+    price = [(i // 20 + 0.5) / 100 * (1 + k) for i, k in zip(range(20_000), key, strict=True)]
+    same_as_sql(spark, tmp_path, "fn_fmt_dur", orders={"o_orderkey": key, "o_totalprice": price})

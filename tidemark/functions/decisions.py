@@ -154,7 +154,9 @@ def parse_when(text: Column) -> Column:
 def _hundredths(x: Column) -> Column:
     """x to two decimals as text, rounded by its binary value: halves that are exact go to the even digit."""
     low = F.floor(x * 100)
-    n = F.when(x * 8 == F.floor(x * 8), F.rint(x * 100)).otherwise(low + (x - low / 100 >= 0.005).cast("int")).cast("long")
+    head = F.floor(x * (1 << 26)) / (1 << 26)  # 200 * head, less the half's 2 * low + 1, and 200 * the rest are exact, so the sign of their sum is
+    over = (head * 200 - (low * 2 + 1)) + (x - head) * 200
+    n = low + ((over > 0) | ((over == 0) & (low % 2 == 1))).cast("int")
     return F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
 
 
