@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tidemark import queries_audit, queries_functions, queries_passes, queries_relational, queries_store, queries_writes  # noqa: F401  register more
+from tidemark.operators import intervals
 from tidemark.queries import ORACLE_SQL, QUERIES
 from tidemark.session import shared_folder
 from tidemark.sources.store import Store
@@ -63,3 +64,28 @@ def test_a_customer_without_orders(spark, tmp_path):
     customer = {"c_custkey": [3, 6, 7, 200, 203, 20]}
     orders = {"o_custkey": [6, 3], "o_orderkey": [1, 5], "o_totalprice": [1.0, 2.0]}
     same_as_sql(spark, tmp_path, "fn_ap_band", customer=customer, orders=orders)
+
+
+def plan_of(spark, name):
+    return QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dealt_intervals_are_not_broadcast(spark):
+    for name in ("filter_not_exists_interval", "join_interval_overlap", "join_point_in_interval"):
+        assert "Broadcast" not in plan_of(spark, name)
+
+
+def test_intervals_of_any_length_are_dealt_twice_at_most(spark):
+    rows = [(i, f"2023-12-31 23:{i % 60:02d}:00", 60 * 3 ** (i % 15)) for i in range(60)]
+    spans = spark.createDataFrame(rows, "id int, lo string, s int").select("id", F.col("lo").cast("timestamp_ntz").alias("lo"), F.expr("cast(lo as timestamp_ntz) + make_dt_interval(0, 0, 0, s)").alias("hi"))
+    assert intervals._dealt(spans, "lo", "hi").groupBy("id").count().agg(F.max("count")).first()[0] == 2
+
+
+def test_audits_that_share_an_instant_with_readings(spark, tmp_path):
+    start = dt.datetime(2024, 1, 2, 9, 59, 59)
+    seconds = [0, 0, 1, 7200, 7201, 7199, 7200, 14400, 3600, 1, 7200, 0]  # window ends, doubles and hours' turns
+    kinds = ["signup", "view", "view", "signup", "view", "error", "view", "signup", "view", "signup", "view", "signup"]
+    e = events(12, lambda i: start + dt.timedelta(seconds=seconds[i]), lambda i: (0, 3, 3, 0, 1, 3, 3, 6, 0, 2, 6, 5)[i], kinds.__getitem__, k=lambda i: 17 * (i % 2))
+    assert len(same_as_sql(spark, tmp_path, "ts_audit_windows", events=e)) > 0
+    same_as_sql(spark, tmp_path, "ts_audit_summary", events=e)
+    assert not any(">= lo" in plan_of(spark, name) for name in ("ts_audit_windows", "ts_audit_summary"))  # no pairs
