@@ -89,3 +89,11 @@ def test_audits_that_share_an_instant_with_readings(spark, tmp_path):
     assert len(same_as_sql(spark, tmp_path, "ts_audit_windows", events=e)) > 0
     same_as_sql(spark, tmp_path, "ts_audit_summary", events=e)
     assert not any(">= lo" in plan_of(spark, name) for name in ("ts_audit_windows", "ts_audit_summary"))  # no pairs
+
+
+def test_the_next_other_of_equal_times(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    day = [0, 29, 0, 29, 0, 30, 1, 3, 1, 45, 2, 2]
+    e = events(12, lambda i: start + dt.timedelta(days=day[i]), lambda i: (10, 10, 20, 20, 30, 30, 40, 40, 50, 50, 60, 11)[i])
+    assert len(same_as_sql(spark, tmp_path, "join_self_range", events=e)) == 5
+    assert ">= lo" not in plan_of(spark, "join_self_range")  # no pairs

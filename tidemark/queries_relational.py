@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import intervals, series
+from tidemark.operators import intervals, ranks, series
 from tidemark.queries import _EV, _events, query
 
 _BY = "(partition by user_id order by ts, event_id)"
@@ -69,7 +69,7 @@ def join_self_range(t):
     s = t("events").groupBy("user_id").agg(F.min("ts").alias("f"), F.max("ts").alias("l")).withColumn("g", F.col("user_id") % 10)
     x = s.select("g", F.col("user_id").alias("a"), (F.col("l") - F.expr("interval 29 days")).alias("lo"), F.col("l").alias("hi"))
     y = s.select("g", F.col("user_id").alias("b"), "f")
-    near = intervals.points_inside(y, x, ["g"], "f", "lo", "hi").where("a <> b")
+    near = ranks.next_rows(x, y, ["g"], "lo", "f", "b", 2).where("a <> b and f < hi")  # the first two, as one may be the row itself
     return near.groupBy("a").agg(F.min_by("b", F.struct("f", "b")).alias("b"))
 
 
