@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tidemark import queries_audit, queries_functions, queries_passes, queries_relational, queries_store, queries_writes  # noqa: F401  register more
-from tidemark.operators import intervals
+from tidemark.operators import intervals, twin
 from tidemark.queries import ORACLE_SQL, QUERIES
 from tidemark.session import shared_folder
 from tidemark.sources.store import Store
@@ -97,3 +97,10 @@ def test_the_next_other_of_equal_times(spark, tmp_path):
     e = events(12, lambda i: start + dt.timedelta(days=day[i]), lambda i: (10, 10, 20, 20, 30, 30, 40, 40, 50, 50, 60, 11)[i])
     assert len(same_as_sql(spark, tmp_path, "join_self_range", events=e)) == 5
     assert ">= lo" not in plan_of(spark, "join_self_range")  # no pairs
+
+
+def test_covered_times_of_a_network_are_few(spark):
+    d = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(hours=n)
+    rows = [("a", d(i), d(i + 2)) for i in range(48)] + [("a", d(60), d(61)), ("b", d(5), d(100)), ("b", d(30), d(31))]
+    got = twin._times(spark.createDataFrame(rows, "network string, lo timestamp_ntz, hi timestamp_ntz"), "lo", "hi")
+    assert sorted(map(tuple, got.collect())) == [("a", d(0), d(49)), ("a", d(60), d(61)), ("b", d(5), d(100))]

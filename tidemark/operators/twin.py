@@ -65,14 +65,14 @@ def shift_episodes(readings: DataFrame, base: DataFrame, changes: DataFrame | No
 
 
 def strangers(readings: DataFrame, aps: DataFrame, advertised: DataFrame, alerts: DataFrame, rules: TwinRules) -> DataFrame:
-    """Access points that advertise an established name without being trusted: network, ap, win_first, win_last, win_obs, span_s, win_median, group_median, vendor_known, kind_matches, dominant, sustained, close, trusted_aps, alert_ids.
+    """Access points that advertise an established name without being trusted: network, ap, win_first, win_last, win_obs, span_s, win_median, group_median, vendor_known, kind_matches, dominant, sustained, close, alert_ids.
 
     A name is established if a trusted access point has advertised it. advertised: ap, network, past names included.
     """
     seen = readings.groupBy("ap").agg(F.count("level").alias("win_obs"), F.min("ts").alias("win_first"), F.max("ts").alias("win_last"), quantile("level", 0.5).alias("win_median"))
     every = advertised.distinct().join(aps.drop("network"), "ap").join(seen, "ap", "left")
     known = every.where("trusted")
-    groups = known.groupBy("network").agg(quantile("win_median", 0.5).alias("group_median"), F.array_sort(F.collect_set("ap")).alias("trusted_aps"))  # the members of one network
+    groups = known.groupBy("network").agg(quantile("win_median", 0.5).alias("group_median"))
     kinds = known.where("kind is not null").groupBy("network", "kind").agg(F.count("*").alias("n")).groupBy("network").agg(F.min_by("kind", F.struct(-F.col("n"), "kind")).alias("dominant"))
     vendors = known.select("network", "vendor").distinct().withColumn("vendor_known", F.lit(True))
     ids = alerts.groupBy("ap").agg(F.array_sort(F.collect_list("alert_id")).alias("alert_ids"))
@@ -82,10 +82,22 @@ def strangers(readings: DataFrame, aps: DataFrame, advertised: DataFrame, alerts
     close = F.coalesce((F.col("win_median") >= rules.close_dbm) | F.coalesce(F.col("win_median") >= F.col("group_median") + rules.strong_db, F.lit(False)), F.lit(False))
     return u.select(
         "network", "ap", "win_first", "win_last", "win_obs", span.alias("span_s"), "win_median", "group_median", F.coalesce("vendor_known", F.lit(False)).alias("vendor_known"),
-        F.coalesce(F.col("kind") == F.col("dominant"), F.lit(False)).alias("kind_matches"), "dominant", sustained.alias("sustained"), close.alias("close"), "trusted_aps", F.coalesce("alert_ids", F.array().cast("array<bigint>")).alias("alert_ids"),
+        F.coalesce(F.col("kind") == F.col("dominant"), F.lit(False)).alias("kind_matches"), "dominant", sustained.alias("sustained"), close.alias("close"), F.coalesce("alert_ids", F.array().cast("array<bigint>")).alias("alert_ids"),
     )
 
 
+def members(aps: DataFrame, advertised: DataFrame) -> DataFrame:
+    """network, trusted_aps: the trusted access points that advertise a name, one row a network."""
+    known = advertised.distinct().join(aps.where("trusted").select("ap"), "ap", "left_semi")
+    return known.groupBy("network").agg(F.array_sort(F.collect_set("ap")).alias("trusted_aps"))
+
+
+def _times(spans: DataFrame, lo: str, hi: str) -> DataFrame:
+    """The times that a network's intervals cover, as intervals apart from each other: first those of a day's begins, then all."""
+    by_day = intervals.merged(spans.withColumn("__day", F.to_date(lo)), ["network", "__day"], lo, hi)
+    return intervals.merged(by_day.select("network", lo, hi), ["network"], lo, hi).drop("n")
+
+
 def evidence_of_shift(rules: TwinRules) -> Column:
     """What a shift's finding shows: rules, place, baseline, what was observed and the thresholds."""
     return F.to_json(F.struct(
@@ -126,16 +138,18 @@ def twin_run(readings: DataFrame, base: DataFrame, aps: DataFrame, advertised: D
     lo, hi = _widened("win_first", "win_last", rules.gap_s)
     x = u.where("sustained").select("network", F.col("ap").alias("u_ap"), lo.alias("u_lo"), hi.alias("u_hi"))
     y = e.join(names, ["ap", "network"], "left_semi").select("network", F.col("ap").alias("e_ap"), "episode", F.col("first_at").alias("e_lo"), (F.col("last_at") + F.expr("interval 1 microsecond")).alias("e_hi"))
-    met = kept(intervals.overlapping(x, y, ["network"], ("u_lo", "u_hi"), ("e_lo", "e_hi")), "met")
+    # which of one side meet any of the other is asked of the times that the other covers, so no pairs of the two arise
+    of_e = intervals.overlapping(_times(x, "u_lo", "u_hi"), y, ["network"], ("u_lo", "u_hi"), ("e_lo", "e_hi"))
+    of_u = intervals.overlapping(x, _times(y, "e_lo", "e_hi"), ["network"], ("u_lo", "u_hi"), ("e_lo", "e_hi"))
     yes = F.lit(True).alias("corroborated")
     sure = lambda df: df.withColumn("corroborated", F.coalesce("corroborated", F.lit(False)))
-    e = sure(e.join(met.select(F.col("e_ap").alias("ap"), "episode", yes).distinct(), ["ap", "episode"], "left"))
-    u = sure(u.join(met.select(F.col("u_ap").alias("ap"), "network", yes).distinct(), ["ap", "network"], "left"))
+    e = sure(e.join(of_e.select(F.col("e_ap").alias("ap"), "episode", yes).distinct(), ["ap", "episode"], "left"))
+    u = sure(u.join(of_u.select(F.col("u_ap").alias("ap"), "network", yes).distinct(), ["ap", "network"], "left"))
 
     severity_b = D.grade_shift(F.abs("peak"), F.col("direction") == "stronger", F.col("trusted"), F.col("corroborated"), rules.high_dev, rules.med_dev)
     severity_a = D.grade_unknown(F.col("vendor_known"), F.col("kind_matches"), F.col("close"), F.col("corroborated"))
     found = e.select(F.lit("b").alias("signal"), "ap", "network", F.col("first_at").alias("ts"), F.col("last_at").alias("ts_end"), severity_b.alias("severity"), evidence_of_shift(rules).alias("evidence")).unionByName(
-        u.where("sustained").select(F.lit("a").alias("signal"), "ap", "network", F.col("win_first").alias("ts"), F.col("win_last").alias("ts_end"), severity_a.alias("severity"), evidence_of_stranger().alias("evidence"))
+        u.where("sustained").join(members(aps, advertised), "network", "left").select(F.lit("a").alias("signal"), "ap", "network", F.col("win_first").alias("ts"), F.col("win_last").alias("ts_end"), severity_a.alias("severity"), evidence_of_stranger().alias("evidence"))
     )
     info = w.agg(F.count("*").alias("baselined"), F.count_if(F.col("reason") == "random_bssid").alias("random_bssid"), F.count_if(F.col("reason") == "floor_share").alias("floor_share"))
     other = levels.agg(F.count_if(~F.col("same")).alias("other_hardware"), F.count_distinct(F.when(F.col("same"), F.col("ap"))).alias("scanned"))
