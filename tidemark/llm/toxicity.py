@@ -22,7 +22,7 @@ than 0 and 1 are not learned from; nor are held-out ones. Every row gives one ro
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -44,6 +44,10 @@ _MEMO = 300_000
 SLICE = 1_000
 #: Segments that training scores together.
 PART = 20_000
+#: Words that a scorer looks up together; words and bytes whose n-grams are hashed together.
+LOOKUP, HASHED, HASHED_BYTES = 100_000, 1 << 13, 1 << 16
+#: Of CRC-32, by byte.
+_CRC = np.array([crc32(bytes([i ^ 255])) ^ 0xFF000000 for i in range(256)], np.uint32)
 
 
 @dataclass
@@ -61,6 +65,51 @@ def n_grams(word: str) -> np.ndarray:
     return np.array([crc32(g) % BUCKETS for g in sorted(grams)], np.int32)
 
 
+def _hashed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """n_grams of at most HASHED words, none empty, one word's behind the other's, and how many each word has.
+
+    An n-gram is a number: its word's place (13 bits), its first six bytes (48 bits), its length (3 bits; 7 for any word of more than six bytes), so numbers sort as the words' n-grams do.
+    """
+    n = np.array([len(w) for w in words])
+    end = np.cumsum(n)
+    of = np.repeat(np.arange(len(words), dtype=np.uint64), n)
+    data = np.frombuffer(b"".join(words) + bytes(6), np.uint8)
+    left = np.repeat(end, n) - np.arange(len(of))
+    six = sum(data[k : k + len(of)].astype(np.uint64) << np.uint64(40 - 8 * k) for k in range(6))
+
+    def number(at: np.ndarray, size) -> np.ndarray:
+        """Of the n-grams of these lengths that begin at these bytes."""
+        size = np.broadcast_to(np.asarray(size), len(at)).astype(np.uint64)
+        drop = np.uint64(48) - np.uint64(8) * np.minimum(size, np.uint64(6))
+        return of[at] << np.uint64(51) | six[at] >> drop << drop << np.uint64(3) | np.minimum(size, np.uint64(7))
+
+    grams = np.concatenate([number(end - n, n), *(number(np.flatnonzero(left >= size), size) for size in SIZES)])
+    grams.sort()
+    grams = grams[np.diff(grams, prepend=~grams[:1]) != 0]  # a repeated n-gram counts once
+    size = grams & np.uint64(7)
+    crc = np.full(len(grams), 0xFFFFFFFF, np.uint32)
+    for k in range(6):
+        byte = (grams >> np.uint64(43 - 8 * k)).astype(np.uint32)
+        crc = np.where(size > k, _CRC[(crc ^ byte) & 255] ^ crc >> 8, crc)
+    crc = ~crc
+    crc[size == 7] = [crc32(w) for w in words if len(w) > 6]
+    return (crc % BUCKETS).astype(np.int32), np.bincount((grams >> np.uint64(51)).astype(np.int64), minlength=len(words))
+
+
+def n_grams_of(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """n_grams of many words without Python's loops over n-grams: for parts of the words, in order, the buckets of all words and how many each word has."""
+    part, size = [], 0
+    for word in words:
+        w = word.encode()
+        if part and (len(part) == HASHED or size + len(w) > HASHED_BYTES):
+            yield _hashed(part)
+            part, size = [], 0
+        part.append(w)
+        size += len(w)
+    if part:
+        yield _hashed(part)
+
+
 def marked_words(text: str | None) -> list[str]:
     """The lower-case words of a text with marks for their ends, long runs in pieces."""
     out = []
@@ -74,11 +123,6 @@ def marked_words(text: str | None) -> list[str]:
     return out
 
 
-def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(x) for x in lists])
-    return np.concatenate(lists).astype(np.int64) if len(lists) else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum(sizes)])
-
-
 def _segment_starts(n: int, segment: int) -> np.ndarray:
     """Where the segments of a text of n words begin; a text of fewer words than a segment has one, a wordless one an empty one."""
     return np.minimum(np.arange(0, max(n, 1), segment), max(0, n - segment))
@@ -98,20 +142,22 @@ def _ragged(flat: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.
     return flat[at], np.repeat(np.arange(len(rows)), n)
 
 
-def fit(docs: list[np.ndarray], vocabulary: list[np.ndarray], toxic: np.ndarray, dim: int = 16, epochs: int = 12, rate: float = 0.5, batch: int = 256, seed: int = 7, segment: int = SEGMENT) -> Model:
+def fit(docs: list[np.ndarray], vocabulary: list[str], toxic: np.ndarray, dim: int = 16, epochs: int = 12, rate: float = 0.5, batch: int = 256, seed: int = 7, segment: int = SEGMENT) -> Model:
     """Jointly trained embeddings (BUCKETS x dim) and softmax (dim x 2), by Adagrad; classes weigh as in the sample.
 
-    docs: the numbers of each document's words in vocabulary, which holds each word's n-grams.
+    docs: the numbers of each document's words in vocabulary.
     """
     rng = np.random.default_rng(seed)
-    grams, gram_at = _flat(vocabulary)
-    gram_n = np.diff(gram_at)
+    parts = [*n_grams_of(vocabulary)]
+    grams = np.concatenate([np.zeros(0, np.int64), *(g for g, _ in parts)])
+    gram_n = np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
+    gram_at = np.concatenate([[0], np.cumsum(gram_n)])
     cut = [_segments(d, segment) for d in docs]
     seg_words = np.concatenate([w for w, _ in cut])
     doc_segs = np.concatenate([[0], np.cumsum([len(n) for _, n in cut])])
     seg_at = np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in cut]))])
     n_docs = len(docs)
-    del cut, docs, vocabulary
+    del cut, docs, vocabulary, parts
     emb = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     soft = rng.normal(0, 0.1, (dim, 2)).astype(np.float32)
     bias = np.log(np.maximum(np.bincount(toxic, minlength=2), 1) / max(1, len(toxic))).astype(np.float32)
@@ -157,30 +203,67 @@ def fit(docs: list[np.ndarray], vocabulary: list[np.ndarray], toxic: np.ndarray,
     return Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
+class _Numbers(dict):
+    """Numbers of words; a new word gets the next one and is noted in `fresh`."""
+
+    def __init__(self):
+        self.fresh = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class Scorer:
-    """Scores texts; one for each worker process."""
+    """Scores texts; one for each worker process. Words that it has met keep their sums of weights, up to _MEMO words and those of one lookup."""
 
     def __init__(self, model: Model, segment: int = SEGMENT):
-        self.model, self.memo, self.segment = model, {}, segment
-
-    def word(self, w: str) -> tuple[float, int]:
-        if w not in self.memo:
-            if len(self.memo) >= _MEMO:
-                self.memo.clear()
-            g = n_grams(w)
-            self.memo[w] = (float(self.model.weight[g].sum()), len(g))
-        return self.memo[w]
+        self.model, self.segment = model, segment
+        self.clear()
+
+    def clear(self) -> None:
+        self.number, self.sums, self.sizes = _Numbers(), np.zeros(0), np.zeros(0, np.int64)
+
+    def _weigh(self) -> None:
+        """Fresh words get their sums of weights and numbers of n-grams."""
+        sums, sizes = [self.sums], [self.sizes]
+        for grams, n in n_grams_of(self.number.fresh):
+            at = np.cumsum(n) - n
+            sums.append(np.add.reduceat(np.insert(self.model.weight[grams], at, 0), at + np.arange(len(n))))  # each word's sum begins with 0, so that it is the one of sum(), to the bit
+            sizes.append(n)
+        self.number.fresh.clear()
+        self.sums, self.sizes = np.concatenate(sums), np.concatenate(sizes)
+
+    def _worst(self, words: np.ndarray) -> float:
+        """The worst segment's mean weight in a text of these words."""
+        if not len(words):
+            return 0.0
+        sums, sizes = (np.concatenate([[0], np.cumsum(x[words])]) for x in (self.sums, self.sizes))
+        at = _segment_starts(len(words), self.segment)
+        to = np.minimum(at + self.segment, len(words))
+        return ((sums[to] - sums[at]) / (sizes[to] - sizes[at])).max()
+
+    def _scores(self, texts: list[np.ndarray]) -> list[float]:
+        self._weigh()
+        worst = np.array([self._worst(x) for x in texts])
+        if len(self.number) >= _MEMO:
+            self.clear()
+        return (1 / (1 + np.exp(-np.clip(worst + self.model.bias, -60, 60)))).tolist()
+
+    def scores(self, texts: Iterable[str | None]) -> list[float]:
+        out, held, n = [], [], 0
+        for text in texts:
+            words = marked_words(text)
+            held.append(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
+            n += len(words)
+            if n >= LOOKUP:
+                out += self._scores(held)
+                held, n = [], 0
+        return out + self._scores(held)
 
     def __call__(self, text: str | None) -> float:
-        words = marked_words(text)
-        worst = 0.0
-        if words:
-            parts = np.array([self.memo.get(w) or self.word(w) for w in words])
-            sums = np.concatenate([np.zeros((1, 2)), np.cumsum(parts, axis=0)])
-            at = _segment_starts(len(parts), self.segment)
-            whole = sums[np.minimum(at + self.segment, len(parts))] - sums[at]
-            worst = float((whole[:, 0] / whole[:, 1]).max())
-        return float(1 / (1 + np.exp(-np.clip(worst + self.model.bias, -60, 60))))
+        return self.scores([text])[0]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -205,7 +288,7 @@ def _learned(texted: DataFrame, segment: int) -> tuple[Model, list[int]] | None:
         if docs:
             order = sorted(range(len(keys)), key=keys.__getitem__)
             y = np.array([keys[k][0] for k in order], np.int64)
-            model = fit([docs[k] for k in order], [n_grams(w) for w in vocabulary], y, segment=segment)
+            model = fit([docs[k] for k in order], [*vocabulary], y, segment=segment)
             n = np.bincount(y, minlength=2).tolist()
             yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()]), pa.array([model.bias]), pa.array([n[0]]), pa.array([n[1]])], ["weight", "bias", "n0", "n1"])
 
@@ -247,10 +330,10 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
             for at in range(0, whole.num_rows, SLICE):
                 b = whole.slice(at, SLICE)
                 rest = [k for k, name in enumerate(b.schema.names) if name != "__text"]
-                scores = pa.array([scorer(x.as_py()) for x in b.column(b.schema.get_field_index(text if own else "__text"))], pa.float64())
+                scores = pa.array(scorer.scores(x.as_py() for x in b.column(b.schema.get_field_index(text if own else "__text"))), pa.float64())
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in rest), scores], [*(b.schema.names[k] for k in rest), "score"])
             b = whole = None
-        scorer.memo.clear()  # a worker that waits for its next task holds nothing of this one
+        scorer.clear()  # a worker that waits for its next task holds nothing of this one
         pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
