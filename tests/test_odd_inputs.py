@@ -99,6 +99,13 @@ def test_the_next_other_of_equal_times(spark, tmp_path):
     assert ">= lo" not in plan_of(spark, "join_self_range")  # no pairs
 
 
+def test_orders_without_a_date(spark, tmp_path):
+    day = lambda n: n and dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    rows = [(1, 1), (1, 21), (1, None), (1, 60), (1, 60), (1, None), (2, None), (2, None), (3, None), (3, 5), (None, 4), (None, None)]
+    orders = {"o_custkey": [c for c, _ in rows], "o_orderkey": list(range(12)), "o_orderdate": pa.array([day(n) for _, n in rows], pa.timestamp("us"))}
+    assert len(same_as_sql(spark, tmp_path, "ts_interval_merge", orders=orders)) == 5  # the two of customer 2 are equal
+
+
 def test_covered_times_of_a_network_are_few(spark):
     d = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(hours=n)
     rows = [("a", d(i), d(i + 2)) for i in range(48)] + [("a", d(60), d(61)), ("b", d(5), d(100)), ("b", d(30), d(31))]
