@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tidemark import queries_audit, queries_functions, queries_passes, queries_relational, queries_store, queries_writes  # noqa: F401  register more
-from tidemark.operators import intervals, twin
+from tidemark.operators import intervals, ranks, twin
 from tidemark.queries import ORACLE_SQL, QUERIES
 from tidemark.session import shared_folder
 from tidemark.sources.store import Store
@@ -91,6 +91,23 @@ def test_audits_that_share_an_instant_with_readings(spark, tmp_path):
     assert not any(">= lo" in plan_of(spark, name) for name in ("ts_audit_windows", "ts_audit_summary"))  # no pairs
 
 
+def test_audits_of_one_id(spark, tmp_path):
+    hour = [0, 1, 5, 0.5, 1.5, 5.5, 6, 1, 5.5, 0]  # windows of id 0 that overlap, lie apart and are another sensor's; the last two audits have no id
+    e = events(10, lambda i: dt.datetime(2024, 1, 2) + dt.timedelta(hours=hour[i]), lambda i: (0, 3, 0, 6, 6, 6, 9, 1, 3, 0)[i], lambda i: "signup" if i in (0, 1, 2, 7, 8, 9) else "view", k=lambda i: 17 * (i % 2))
+    e["event_id"] = pa.array([0, 0, 0, 3, 4, 5, 6, 0, None, None], pa.int64())
+    assert len(same_as_sql(spark, tmp_path, "ts_audit_windows", events=e)) == 2
+    same_as_sql(spark, tmp_path, "ts_audit_summary", events=e)
+
+
+def test_points_without_a_member_or_a_key(spark):
+    ts = lambda h, m=0: dt.datetime(2024, 1, 2, h, m)
+    windows = spark.createDataFrame([(0, 1, ts(10)), (None, 2, ts(10)), (1, 3, ts(10))], "sensor int, audit int, lo timestamp_ntz")
+    rows = [(0, None, ts(10, 30), True), (0, None, ts(10, 30), None), (0, 5, ts(11), False), (0, 5, ts(11, 30), True), (0, None, ts(12), True), (None, 7, ts(10, 30), True), (1, None, ts(10), True)]
+    points = spark.createDataFrame(rows, "sensor int, ap int, ts timestamp_ntz, floor boolean")
+    got = ranks.seen_in_windows(windows, points, ["sensor"], "audit", "lo", 7200, "ts", "ap", {"n": F.lit(True), "floors": F.col("floor")})
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 4, 2), (2, 0, 0, 0), (3, 0, 1, 1)]
+
+
 def test_the_next_other_of_equal_times(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     day = [0, 29, 0, 29, 0, 30, 1, 3, 1, 45, 2, 2]
